@@ -55,8 +55,13 @@ class Alphabet:
         """The sequence itself; the job fails where it is not a whole number of
         known letters."""
         seq = _col(seq)
-        any_letter = "|".join(_regex_quote(x) for x in self.letters)
-        return F.when(seq.rlike(f"^(?:{any_letter})*$"), seq).otherwise(
+        if self.single_char:
+            ok = F.length(F.translate(seq, "".join(self.letters), "")) == 0
+        else:
+            table = F.array(*[F.lit(x) for x in self.letters])
+            ok = (F.length(seq) % self.letter_len == 0) & F.forall(
+                self.tokens(seq), lambda x: F.array_contains(table, x))
+        return F.when(ok, seq).otherwise(
             F.raise_error(F.concat(F.lit("not a sequence over the alphabet: "), seq)))
 
     def tokens(self, seq) -> Column:
@@ -160,9 +165,5 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _regex_quote(text):
-    return "".join("\\" + c if not c.isalnum() else c for c in text)
-
-
 DNA = Alphabet("ACGT")
 DNA_LOWER = Alphabet("acgt")

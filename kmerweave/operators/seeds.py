@@ -78,12 +78,14 @@ def self_seeds(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
                            .withColumn("t_id", F.col("s_id")))
 
 
-def enumerate_seeds(seeds: DataFrame, d_band=None, exclude_trivial=False) -> DataFrame:
-    """Seeds in a closed diagonal band. Seeds of a self comparison are stored once
-    and mirrored here (after the band filter); with ``exclude_trivial`` the main
-    diagonal of self comparisons is left out."""
+def enumerate_seeds(seeds: DataFrame, d_band=None, exclude_trivial=False, own=False) -> DataFrame:
+    """Seeds in a closed diagonal band. With ``own`` the two sides are one set, so
+    equal ids mean a self comparison: its seeds are stored once and mirrored here
+    (after the band filter), and ``exclude_trivial`` leaves out its main diagonal."""
     if d_band is not None:
         seeds = seeds.where(F.col("d").between(*d_band))
+    if not own:
+        return seeds
     own = F.col("s_id") == F.col("t_id")
     if exclude_trivial:
         seeds = seeds.where(~(own & (F.col("i") == F.col("j"))))
@@ -119,3 +121,14 @@ def pair_seed_counts(s_seqs: DataFrame, t_seqs: DataFrame, alphabet, wordlen, ma
     t = t_kmers.groupBy("kmer", F.col("seq_id").alias("t_id")).agg(F.count(F.lit(1)).alias("n_t"))
     return salted_join(s, t, "kmer", ["t_id"]).groupBy(*PAIR).agg(
         F.sum(F.col("n_s") * F.col("n_t")).alias("n_seeds"))
+
+
+def pair_seed_counts_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
+    """Number of seeds of all pairs ``s_id < t_id`` of one set, likewise from word
+    counts; hot words are split on one side."""
+    counts = kmer_scan(seqs, alphabet, wordlen, mask).groupBy("kmer", "seq_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    s = counts.select("kmer", F.col("seq_id").alias("s_id"), F.col("n").alias("n_s"))
+    t = counts.select("kmer", F.col("seq_id").alias("t_id"), F.col("n").alias("n_t"))
+    return salted_join(s, t, "kmer", ["t_id"]).where("s_id < t_id").groupBy(*PAIR).agg(
+        F.sum(F.col("n_s") * F.col("n_t")).alias("n_seeds"))

@@ -141,9 +141,10 @@ def with_lengths(pairs: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame) -> Data
 
 def similar_segments(seeds: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, *, k_min: int,
                      p_min: float, g_max: float, sensitivity: float, n_letters: int,
-                     wordlen: int, at_least_one=False, order="kmer") -> DataFrame:
+                     wordlen: int, at_least_one=False, order="kmer", own=False) -> DataFrame:
     """All maximal local similarities of at least the given length and match
-    probability, for every pair of a stored seed table at once.
+    probability, for every pair of a stored seed table at once. ``own`` says that both
+    sides are one set, as in :func:`enumerate_seeds`.
 
     Columns: pair, box, ``p``, ``n_qualified`` (seeds that formed the segment),
     ``n_seeds`` (stored seeds inside the clipped box), ``z_h0``, ``z_h1``.
@@ -151,7 +152,7 @@ def similar_segments(seeds: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, *,
     d_radius = stats.band_radius_value(k_min, g_max, sensitivity)
     d_size, a_size = _tile_sizes(d_radius, k_min)
     seeds = cut_lineage(seeds, "seeds")  # read twice below
-    scored = score_seeds(enumerate_seeds(seeds, exclude_trivial=True), k_min, g_max,
+    scored = score_seeds(enumerate_seeds(seeds, exclude_trivial=True, own=own), k_min, g_max,
                          sensitivity, n_letters, wordlen)
     good = qualifying_seeds(scored, p_min, at_least_one, order)
     boxes = cut_lineage(segments_of(good, s_seqs, t_seqs, d_radius, k_min, order), "boxes")
