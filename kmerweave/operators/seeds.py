@@ -57,6 +57,12 @@ def seeds_between(s_seqs: DataFrame, t_seqs: DataFrame, alphabet, wordlen, mask=
                       broadcast_s=fits_broadcast(s_seqs, allowed_memory))
 
 
+def swap_sides(seeds: DataFrame) -> DataFrame:
+    """The same seeds with the roles of both sets exchanged."""
+    return seeds.select(F.col("t_id").alias("s_id"), F.col("s_id").alias("t_id"), "kmer", F.col("j").alias("i"),
+                        F.col("i").alias("j"), (-F.col("d")).alias("d"), "a")
+
+
 def seeds_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     """Seeds of all pairs ``s_id < t_id`` of one set."""
     kmers = kmer_scan(seqs, alphabet, wordlen, mask)

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerweave.functions import coords, stats
+from kmerweave.functions import coords, stats, transcripts as X
 from kmerweave.functions.alphabet import Alphabet, DNA_LOWER, content_id
-from kmerweave.operators import kmers as K, multi as M, neighbors as N, overlap as O
-from kmerweave.operators import seeds as S, segments as G
-from kmerweave.plans import sql as Q
-from kmerweave.sources import tables as T
+from kmerweave.functions.mutation import MutationModel, letter_distribution, log_odds_table
+from kmerweave.functions.render import render
+from kmerweave.operators import align as L, evaluate as E, kmers as K, multi as M, neighbors as N
+from kmerweave.operators import overlap as O, seeds as S, segments as G, simulate as R
+from kmerweave.operators.lineage import scratch_path
+from kmerweave.plans import genotyping, overlaps, similarity, sql as Q, variants
+from kmerweave.sources import alignments as AL, fasta, tables as T
 
 # Parameters shared by both sides.
 A = DNA_LOWER
@@ -41,6 +44,12 @@ def r6(x):
     return F.round(x, 6) + F.lit(0.0)
 
 
+def r3(x):
+    """For z-scores: next to ``p = 1`` they magnify the last bits of a mean, whose
+    order of summation is free, some million times."""
+    return F.round(x, 3) + F.lit(0.0)
+
+
 def big(*names):
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
@@ -413,7 +422,7 @@ def seed_neighbors(spark, d):
 
 def _segment_rows(df):
     return df.select("s_id", "t_id", *big("d_min", "d_max", "a_min", "a_max"), r6("p").alias("p"),
-                     *big("n_qualified", "n_seeds"), r6("z_h0").alias("z_h0"), r6("z_h1").alias("z_h1"))
+                     *big("n_qualified", "n_seeds"), r3("z_h0").alias("z_h0"), r3("z_h1").alias("z_h1"))
 
 
 def _segments_sql(**kw):
@@ -481,3 +490,824 @@ def overlap_all_pairs(spark, d):
     docs = T.documents(spark, d)
     return _overlap_rows(O.best_overlap_band(
         S.seeds_within(docs, A, W_LONG), docs, docs, g_max=G_MAX, sensitivity=SENS, n_letters=4, wordlen=W_LONG))
+
+
+# -- groups of sequences -----------------------------------------------------
+
+MOST = 8  # turns of the longest conversation
+
+
+def _multi_ctes(w):
+    steps = [Q.TURNS, Q.words("tk", "turns", w, "group_id, ord"), """sizes AS (
+  SELECT group_id, count(*) AS n_seqs FROM turns GROUP BY group_id HAVING count(*) >= 3),
+ranks AS (SELECT group_id, ord, row_number() OVER (PARTITION BY group_id ORDER BY ord) - 1 AS rank FROM turns),
+shared AS (SELECT * FROM tk JOIN sizes USING (group_id) JOIN ranks USING (group_id, ord)
+  QUALIFY len(list_distinct(list(rank) OVER (PARTITION BY group_id, kmer))) = n_seqs),
+m0 AS (SELECT group_id, n_seqs, kmer, [pos] AS idxs FROM shared WHERE rank = 0)"""]
+    for k in range(1, MOST):
+        steps.append(f"""m{k} AS (SELECT x.group_id, x.n_seqs, x.kmer,
+  CASE WHEN y.pos IS NULL THEN x.idxs ELSE list_append(x.idxs, y.pos) END AS idxs
+  FROM m{k - 1} x LEFT JOIN (SELECT * FROM shared WHERE rank = {k}) y
+    ON x.group_id = y.group_id AND x.kmer = y.kmer)""")
+    ds = ", ".join(f"coalesce(idxs[1] - idxs[{k + 1}], 0) AS d{k}" for k in range(1, MOST))
+    steps.append(f"""seeds AS (SELECT group_id, n_seqs, kmer, idxs, list_sum(idxs) AS a,
+  array_to_string(idxs, '-') AS at, {ds} FROM m{MOST - 1})""")
+    return ",\n".join(steps)
+
+
+def _at(col="idxs"):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), "-")
+
+
+@query("seed_multi_shared_words", Q.select(
+    _multi_ctes(W_MULTI), "SELECT group_id, kmer, count(*) AS n FROM shared GROUP BY group_id, kmer"))
+def seed_multi_shared_words(spark, d):
+    return M.shared_kmers(T.conversations(spark, d), A, W_MULTI).groupBy("group_id", "kmer").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("seed_multi_join", Q.select(_multi_ctes(W_MULTI), """SELECT group_id, n_seqs, kmer, at, CAST(a AS BIGINT) AS a,
+  CAST(d1 AS BIGINT) AS d1, CAST(d2 AS BIGINT) AS d2 FROM seeds"""))
+def seed_multi_join(spark, d):
+    return M.seeds_multi(T.conversations(spark, d), A, W_MULTI).select(
+        "group_id", "n_seqs", "kmer", _at().alias("at"), *big("a"),
+        F.get("ds", F.lit(0)).cast("bigint").alias("d1"), F.get("ds", F.lit(1)).cast("bigint").alias("d2"))
+
+
+@query("seed_multi_band_count", Q.select(_multi_ctes(W_MULTI), """SELECT group_id,
+  count(*) FILTER (WHERE d1 BETWEEN -40 AND 40 AND a BETWEEN 30 AND 900) AS n_seeds FROM seeds GROUP BY group_id"""))
+def seed_multi_band_count(spark, d):
+    return M.seed_count_multi(M.seeds_multi(T.conversations(spark, d), A, W_MULTI),
+                              ds_band=[(-40, 40), None], a_band=(30, 900))
+
+
+@query("seed_multi_ij_roundtrip", Q.select(_multi_ctes(W_MULTI), "SELECT group_id, kmer, at FROM seeds"))
+def seed_multi_ij_roundtrip(spark, d):
+    seeds = M.seeds_multi(T.conversations(spark, d), A, W_MULTI)
+    return seeds.select("group_id", "kmer", _at(coords.to_positions_multi("ds", "a")).alias("at"))
+
+
+W_GROUP, K_GROUP = 7, 10
+R_GROUP = stats.band_radius_value(K_GROUP, G_MAX, SENS)
+_GROUP_DIMS = _multi_ctes(W_GROUP) + """, per_group AS (
+  SELECT group_id, n_seqs, count(*) AS n, max(a) - min(a) + 1 AS len, CAST(1 AS DOUBLE) AS one
+  FROM seeds GROUP BY group_id, n_seqs)"""
+_VOLUME = f"pow({2 * R_GROUP}e0, n_seqs - 1) * len"
+_NULL = f"pow(0.25e0, {W_GROUP} * (n_seqs - 1))"
+_MMP = Q.root(f"((n - {_VOLUME} * {_NULL}) / len)", W_GROUP)
+
+
+def _group_dims(spark, d):
+    seeds = M.seeds_multi(T.conversations(spark, d), A, W_GROUP)
+    dims = seeds.groupBy("group_id", "n_seqs").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("a") - F.min("a") + 1).alias("len"))
+    return dims.withColumn("volume", F.pow(F.lit(2.0 * R_GROUP), (F.col("n_seqs") - 1).cast("double")) * F.col("len"))
+
+
+@query("multi_match_prob", Q.select(_GROUP_DIMS, f"SELECT group_id, {Q.r6(_MMP)} AS p FROM per_group"))
+def multi_match_prob(spark, d):
+    return _group_dims(spark, d).select(
+        "group_id", r6(stats.match_probability_multi("n", "volume", "len", 4, "n_seqs", W_GROUP)).alias("p"))
+
+
+_P0, _PW0 = "pow(0.25e0, n_seqs - 1)", f"pow(pow(0.25e0, n_seqs - 1), {W_GROUP})"
+_V0 = f"({_VOLUME} * {Q.variance(_P0, _PW0, W_GROUP)})"
+_Q1 = f"(CASE WHEN p = 1 THEN {Q.dbl(1 - stats.MACHINE_EPS)} ELSE p END)"
+_PW1 = f"pow({_Q1}, {W_GROUP})"
+
+
+@query("multi_z_scores", Q.select(
+    _GROUP_DIMS + f", scored AS (SELECT *, {_MMP} AS p FROM per_group)",
+    f"""SELECT group_id, {Q.r6(f'(n - {_VOLUME} * {_PW0}) / sqrt({_V0})').replace(', 6)', ', 3)')} AS z_h0,
+  {Q.r6(f'(n - {_VOLUME} * {_PW0} - len * {_PW1}) / sqrt({_V0} + len * {Q.variance(_Q1, _PW1, W_GROUP)})').replace(', 6)', ', 3)')} AS z_h1
+FROM scored"""))
+def multi_z_scores(spark, d):
+    dims = _group_dims(spark, d).withColumn(
+        "p", stats.match_probability_multi("n", "volume", "len", 4, "n_seqs", W_GROUP))
+    z0, z1 = stats.score_num_seeds_multi("n", "volume", "len", "p", 4, "n_seqs", W_GROUP)
+    return dims.select("group_id", r3(z0).alias("z_h0"), r3(z1).alias("z_h1"))
+
+
+_NEAR = " AND ".join(f"abs(x.d{k} - y.d{k}) <= {R_GROUP}" for k in range(1, MOST))
+_MULTI_SCORED = f"""{_multi_ctes(W_GROUP)},
+boxed AS (SELECT x.group_id, x.at, count(*) - 1 AS n_neigh FROM seeds x JOIN seeds y ON x.group_id = y.group_id
+  AND abs(x.a - y.a) <= ceil(x.n_seqs * {K_GROUP} / 2.0) AND {_NEAR} GROUP BY ALL),
+scored AS (SELECT seeds.*, n_neigh,
+  {Q.root(f"((n_neigh + 1 - pow({2 * R_GROUP}e0, n_seqs - 1) * {K_GROUP} * {_NULL}) / {K_GROUP})", W_GROUP)} AS p
+  FROM seeds JOIN boxed USING (group_id, at))"""
+
+
+@query("multi_neighbors", Q.select(
+    _MULTI_SCORED, f"SELECT group_id, at, CAST(n_neigh AS BIGINT) AS n_neigh, {Q.r6('p')} AS p FROM scored"))
+def multi_neighbors(spark, d):
+    seeds = M.seeds_multi(T.conversations(spark, d), A, W_GROUP)
+    return M.score_seeds_multi(seeds, K_GROUP, G_MAX, SENS, 4, W_GROUP).select(
+        "group_id", _at().alias("at"), *big("n_neigh"), r6("p").alias("p"))
+
+
+P_GROUP = 0.8
+
+
+def _multi_segments_sql():
+    dims = range(1, MOST)
+    lo = ", ".join(f"least(min_by(d{k}, id) - {R_GROUP}, min(d{k})) AS lo{k}, "
+                   f"greatest(min_by(d{k}, id) + {R_GROUP}, max(d{k})) AS hi{k}" for k in dims)
+    clip = ", ".join(
+        f"CASE WHEN n_seqs > {k} THEN least(lens[1], greatest({e}{k}, -lens[{k + 1}])) END AS {e}{k}"
+        for k in dims for e in ("lo", "hi"))
+    inside = " AND ".join(f"(b.lo{k} IS NULL OR z.d{k} BETWEEN b.lo{k} AND b.hi{k})" for k in dims)
+    box = "concat_ws(' ', " + ", ".join(f"lo{k} || ':' || hi{k}" for k in dims) + ")"
+    volume = "(a_max - a_min)::DOUBLE" + "".join(f" * coalesce(hi{k} - lo{k}, 1)" for k in dims)
+    ctes = _MULTI_SCORED + f""",
+good AS (SELECT *, row_number() OVER (ORDER BY group_id, kmer, idxs) AS id FROM (
+  SELECT * FROM scored WHERE p >= {Q.dbl(P_GROUP)})),
+links AS (SELECT x.id AS u, y.id AS v FROM good x JOIN good y ON x.group_id = y.group_id AND x.id <> y.id
+  AND abs(x.a - y.a) <= ceil(x.n_seqs * {K_GROUP} / 2.0) AND {_NEAR}),
+reach(id, label) AS (SELECT id, id FROM good UNION
+  SELECT links.v, reach.label FROM reach JOIN links ON reach.id = links.u WHERE reach.label < links.v),
+roots AS (SELECT id, min(label) AS root FROM reach GROUP BY id),
+merged AS (SELECT group_id, n_seqs, root, {lo}, min(a) - ceil(n_seqs * {K_GROUP} / 2.0) AS a0,
+  max(a) + ceil(n_seqs * {K_GROUP} / 2.0) AS a1, (sum(p) + min_by(p, id)) / (count(*) + 1) AS p, count(*) AS n_qualified
+  FROM good JOIN roots USING (id) GROUP BY group_id, n_seqs, root),
+lens AS (SELECT group_id, list(length(seq) ORDER BY ord) AS lens FROM turns GROUP BY group_id),
+boxes AS (SELECT group_id, n_seqs, root, p, n_qualified, {clip}, CAST(greatest(a0, 0) AS BIGINT) AS a_min,
+  CAST(least(a1, list_sum(lens)) AS BIGINT) AS a_max FROM merged JOIN lens USING (group_id)),
+counted AS (SELECT b.*, {volume} AS volume, (a_max - a_min) // n_seqs AS len, (SELECT count(*) FROM seeds z WHERE z.group_id = b.group_id
+  AND z.a BETWEEN b.a_min AND b.a_max AND {inside}) AS n FROM boxes b),
+ready AS (SELECT *, {box} AS d_ranges, volume * {Q.variance(_P0, _PW0, W_GROUP)} AS v0 FROM counted)"""
+    z0 = f"CASE WHEN volume = 0 THEN CAST('-inf' AS DOUBLE) ELSE (n - volume * {_PW0}) / nullif(sqrt(v0), 0) END"
+    z1 = (f"CASE WHEN volume = 0 THEN CAST('-inf' AS DOUBLE) ELSE (n - volume * {_PW0} - len * {_PW1}) / "
+          f"nullif(sqrt(v0 + len * {Q.variance(_Q1, _PW1, W_GROUP)}), 0) END")
+    return Q.select(ctes, f"""SELECT group_id, d_ranges, a_min, a_max, {Q.r6('p')} AS p,
+  CAST(n_qualified AS BIGINT) AS n_qualified, CAST(n AS BIGINT) AS n_seeds,
+  round({z0}, 3) + 0e0 AS z_h0, round({z1}, 3) + 0e0 AS z_h1 FROM ready""", recursive=True)
+
+
+@query("multi_segments", _multi_segments_sql())
+def multi_segments(spark, d):
+    out = M.similar_segments_multi(T.conversations(spark, d), A, W_GROUP, k_min=K_GROUP, p_min=P_GROUP,
+                                   g_max=G_MAX, sensitivity=SENS)
+    ranges = F.array_join(F.transform("d_ranges", lambda r: F.concat_ws(
+        ":", r["lo"].cast("string"), r["hi"].cast("string"))), " ")
+    return out.select("group_id", ranges.alias("d_ranges"), *big("a_min", "a_max"), r6("p").alias("p"),
+                      *big("n_qualified", "n_seeds"), r3("z_h0").alias("z_h0"), r3("z_h1").alias("z_h1"))
+
+
+# -- self comparison ---------------------------------------------------------
+
+def _turn_ids(spark, d):
+    return T.conversations(spark, d).select((F.col("group_id") * 1000 + F.col("ord")).alias("seq_id"), "seq")
+
+
+_TURN_IDS = f"{Q.TURNS}, ids AS (SELECT group_id * 1000 + ord AS seq_id, seq FROM turns)"
+_MIRRORED = f"""{_TURN_IDS}, {Q.words('tk', 'ids', W_SHORT)},
+{Q.seeds('tk', 'tk', 'AND s.seq_id = t.seq_id AND s.pos <= t.pos')},
+shown AS (SELECT * FROM seeds WHERE i <> j UNION ALL
+  SELECT s_id, t_id, kmer, j, i, -d, a FROM seeds WHERE i <> j)"""
+
+
+@query("repeats_self", Q.select(",\n".join([
+    _MIRRORED, Q.scored("shown", K_MIN, RADIUS, W_SHORT),
+    Q.segment_ctes(K_MIN, RADIUS, P_MIN, "ids", "ids")]), Q.segment_rows(W_SHORT), recursive=True))
+def repeats_self(spark, d):
+    return _segment_rows(similarity.repeats(_turn_ids(spark, d), A, W_SHORT, k_min=K_MIN, p_min=P_MIN,
+                                            g_max=G_MAX, sensitivity=SENS))
+
+
+# -- transcripts -------------------------------------------------------------
+#
+# Texts spell transcripts when their letters are read as operations; neighbouring
+# turns of a conversation, compared letter by letter, give valid alignments.
+
+def _doc_tx(spark, d):
+    return T.documents(spark, d).select("seq_id", F.translate("seq", "acgt", "MSID").alias("tx")).where("tx <> ''")
+
+
+_DOC_TX = f"{Q.DOCS}, t AS (SELECT seq_id, translate(seq, 'acgt', 'MSID') AS tx FROM docs WHERE seq <> '')"
+_OPS = """o AS (SELECT seq_id, idx, substr(tx, idx + 1, 1) AS op, length(tx) AS n FROM (
+  SELECT *, unnest(range(0, length(tx))) AS idx FROM t)),
+w AS (SELECT *, coalesce(count(*) FILTER (WHERE op IN ('M', 'S', 'D')) OVER before, 0) AS i,
+  coalesce(count(*) FILTER (WHERE op IN ('M', 'S', 'I')) OVER before, 0) AS j FROM o
+  WINDOW before AS (PARTITION BY seq_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("tx_projected_len", Q.select(_DOC_TX, """SELECT seq_id, length(replace(tx, 'I', '')) AS on_origin,
+  length(replace(tx, 'D', '')) AS on_mutant FROM t"""))
+def tx_projected_len(spark, d):
+    return _doc_tx(spark, d).select("seq_id", X.projected_len("tx").cast("bigint").alias("on_origin"),
+                                    X.projected_len("tx", "mutant").cast("bigint").alias("on_mutant"))
+
+
+@query("tx_truncate", Q.select(_DOC_TX, """SELECT seq_id, CASE WHEN length(tx2) > 1 THEN tx2 END AS tx2,
+  CASE WHEN length(tx2) > 1 THEN length(replace(lead, 'I', '')) END AS i,
+  CASE WHEN length(tx2) > 1 THEN length(replace(lead, 'D', '')) END AS j FROM (
+    SELECT seq_id, regexp_extract(tx, 'M.*M') AS tx2, regexp_extract(tx, '^[^M]*') AS lead FROM t)"""))
+def tx_truncate(spark, d):
+    cut, i, j = X.truncate_to_match("tx", F.lit(0), F.lit(0))
+    return _doc_tx(spark, d).select("seq_id", cut.alias("tx2"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"))
+
+
+@query("opseq_clean", Q.select(_DOC_TX, """SELECT seq_id, regexp_replace(tx, 'D{3,}|I{3,}', '', 'g') AS tx2,
+  length(tx) - length(regexp_replace(tx, 'D{3,}|I{3,}', '', 'g')) AS removed FROM t"""))
+def opseq_clean(spark, d):
+    cleaned = _doc_tx(spark, d).withColumn("tx2", X.remove_long_gaps("tx", 3))
+    return cleaned.select("seq_id", "tx2", (F.length("tx") - F.length("tx2")).cast("bigint").alias("removed"))
+
+
+@query("opseq_path", Q.select(f"{_DOC_TX}, {_OPS}", """SELECT seq_id, count(*) + 1 AS n_points,
+  CAST(sum(i) + max(i + (op <> 'I')::INT) AS BIGINT) AS x_total,
+  CAST(sum(j * (idx % 31)) + max(j + (op <> 'D')::INT) * (max(n) % 31) AS BIGINT) AS y_weighted FROM w GROUP BY seq_id"""))
+def opseq_path(spark, d):
+    points = X.path(_doc_tx(spark, d))
+    return points.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_points"), F.sum("x").alias("x_total"),
+                                        F.sum(F.col("y") * (F.col("step") % 31)).alias("y_weighted"))
+
+
+@query("opseq_seeds", Q.select(f"{_DOC_TX}, {_OPS}", """SELECT seq_id, idx, i, j FROM (
+  SELECT *, count(*) FILTER (WHERE op = 'M') OVER (PARTITION BY seq_id ORDER BY idx
+    ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m FROM w) WHERE m = 3"""))
+def opseq_seeds(spark, d):
+    return X.matching_words(_doc_tx(spark, d), 3).select("seq_id", *big("idx", "i", "j"))
+
+
+def _rate(ops):
+    return f"""count(*) FILTER (WHERE op IN ({ops})) OVER (PARTITION BY seq_id ORDER BY idx
+  ROWS BETWEEN 8 PRECEDING AND 7 FOLLOWING) / 16e0"""
+
+
+_RATES = f"""{_DOC_TX}, {_OPS}, r AS (SELECT *, {_rate("'M'")} AS m, {_rate("'M', 'S'")} AS ms,
+  idx >= 8 AND idx < n - 8 AS inner_ FROM w WHERE n > 16)"""
+
+
+@query("opseq_match_profile", Q.select(_RATES, f"""SELECT seq_id, count(*) AS n, {Q.r6("sum(CASE WHEN inner_ THEN m ELSE 0 END)")} AS total,
+  {Q.r6("max(CASE WHEN inner_ THEN m ELSE 0 END)")} AS highest,
+  {Q.r6("sum(CASE WHEN inner_ THEN m * (idx % 7) ELSE 0 END)")} AS weighted FROM r GROUP BY seq_id"""))
+def opseq_match_profile(spark, d):
+    rate = X.match_rate(_doc_tx(spark, d), 8)
+    return rate.groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("p_match")).alias("total"), r6(F.max("p_match")).alias("highest"),
+        r6(F.sum(F.col("p_match") * (F.col("idx") % 7))).alias("weighted"))
+
+
+@query("opseq_gap_profile", Q.select(_RATES, f"""SELECT seq_id, {Q.r6("sum(CASE WHEN inner_ THEN 1 - ms ELSE 0 END)")} AS total,
+  {Q.r6("max(CASE WHEN inner_ THEN 1 - ms ELSE 0 END)")} AS highest FROM r GROUP BY seq_id"""))
+def opseq_gap_profile(spark, d):
+    return X.gap_rate(_doc_tx(spark, d), 8).groupBy("seq_id").agg(
+        r6(F.sum("p_gap")).alias("total"), r6(F.max("p_gap")).alias("highest"))
+
+
+@query("opseq_projected_profile", Q.select(_RATES, f"""SELECT seq_id, i AS pos,
+  {Q.r6("max_by(CASE WHEN inner_ THEN m ELSE 0e0 END, idx)")} AS p FROM r GROUP BY seq_id, i"""))
+def opseq_projected_profile(spark, d):
+    return X.projected_match_rate(_doc_tx(spark, d), 8).select("seq_id", *big("pos"), r6("p_match").alias("p"))
+
+
+@query("find_peaks", Q.select(_RATES, """SELECT seq_id, min(l) AS "left", max(r) AS "right" FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY seq_id ORDER BY idx) AS peak FROM (
+    SELECT *, CASE WHEN l < lag(r) OVER (PARTITION BY seq_id ORDER BY idx) + 5 THEN 0 ELSE 1 END AS fresh FROM (
+      SELECT seq_id, idx, greatest(idx - 1, 0) AS l, least(idx + 1, n - 1) AS r FROM r WHERE inner_ AND m >= 0.5))
+) GROUP BY seq_id, peak"""))
+def find_peaks(spark, d):
+    return similarity.similar_regions(_doc_tx(spark, d), 8, 0.5).select("seq_id", *big("left", "right"))
+
+
+RADIUS_TX = 6
+
+
+@query("time_in_band", Q.select(f"{_DOC_TX}, {_OPS}", f"""SELECT seq_id,
+  {Q.r6(f"count(*) FILTER (WHERE i - j > -{RADIUS_TX} AND i - j <= {RADIUS_TX}) / count(*)::DOUBLE")} AS in_band FROM w GROUP BY seq_id"""))
+def time_in_band(spark, d):
+    return E.time_in_band(X.positions(_doc_tx(spark, d)), RADIUS_TX).select("seq_id", r6("in_band").alias("in_band"))
+
+
+@query("diagonal_profile", Q.select(f"{_DOC_TX}, {_OPS}", """SELECT d, n, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS upto FROM (
+  SELECT i - j AS d, count(*) AS n FROM w GROUP BY 1)"""))
+def diagonal_profile(spark, d):
+    return E.diagonal_profile(X.positions(_doc_tx(spark, d))).select(*big("d"), "n", "upto")
+
+
+@query("sample_windows")
+def sample_windows(spark, d):
+    return X.sample_windows(_doc_tx(spark, d), 16, 5, match=0.25, resolution=0.1)
+
+
+def _turn_pairs(spark, d):
+    """Every turn with the next one and their letter-by-letter transcript."""
+    turns = T.conversations(spark, d)
+    nxt = turns.select("group_id", (F.col("ord") - 1).alias("ord"), F.col("seq").alias("mutant"))
+    pairs = turns.withColumnRenamed("seq", "origin").join(nxt, ["group_id", "ord"])
+    ops = F.zip_with(A.tokens("origin"), A.tokens("mutant"), lambda x, y: F.when(x.isNull(), "I").when(
+        y.isNull(), "D").when(x == y, "M").otherwise("S"))
+    return pairs.withColumn("tx", F.array_join(ops, ""))
+
+
+_TURN_PAIRS = f"""{Q.TURNS}, p AS (SELECT x.group_id, x.ord, x.seq AS origin, y.seq AS mutant,
+  length(x.seq) AS n, length(y.seq) AS m FROM turns x JOIN turns y ON x.group_id = y.group_id AND y.ord = x.ord + 1),
+tx AS (SELECT *, array_to_string(list_transform(range(1, greatest(n, m) + 1), lambda k:
+  CASE WHEN k > n THEN 'I' WHEN k > m THEN 'D' WHEN substr(origin, k, 1) = substr(mutant, k, 1) THEN 'M' ELSE 'S' END), '') AS tx FROM p)"""
+
+
+@query("tx_rescore", Q.select(_TURN_PAIRS, """SELECT group_id, ord, (length(tx) - length(replace(tx, 'M', '')))
+  - 0.5e0 * (length(tx) - length(replace(tx, 'S', '')))
+  + CASE WHEN n <> m THEN -2e0 - 0.25e0 * abs(n - m) ELSE 0e0 END AS score FROM tx"""))
+def tx_rescore(spark, d):
+    score = X.score("tx", "origin", "mutant", F.lit(0), F.lit(0), L.score_matrix(4, 1, -0.5), -2, -0.25, A)
+    return _turn_pairs(spark, d).select("group_id", "ord", score.alias("score"))
+
+
+@query("tx_valid", Q.select(_TURN_PAIRS, "SELECT group_id, ord, true AS valid, tx = '' OR n < 1 AS shifted FROM tx"))
+def tx_valid(spark, d):
+    pairs = _turn_pairs(spark, d)
+    return pairs.select(
+        "group_id", "ord", X.is_valid("tx", F.lit(0), F.lit(0), F.length("origin"), F.length("mutant")).alias("valid"),
+        X.is_valid("tx", F.lit(1), F.lit(0), F.length("origin"), F.length("mutant")).alias("shifted"))
+
+
+@query("tx_render", Q.select(_TURN_PAIRS, """SELECT group_id, ord,
+  'origin[0]: ' || origin || repeat('-', greatest(m - n, 0)) || chr(10) ||
+  'mutant[0]: ' || mutant || repeat('-', greatest(n - m, 0)) || chr(10) AS shown,
+  origin || repeat('-', greatest(m - n, 0)) AS line FROM tx"""))
+def tx_render(spark, d):
+    return _turn_pairs(spark, d).select(
+        "group_id", "ord", render("origin", "mutant", "tx", F.lit(0), F.lit(0), width=1_000_000, colored=False).alias("shown"),
+        X.gapped("origin", "tx", F.lit(0), "I").alias("line"))
+
+
+# -- alignment ---------------------------------------------------------------
+#
+# Scores of realistic schemes have no feasible SQL; their queries check what must
+# hold for every optimum. Schemes under which an optimum has a closed form (a
+# longest common run, a common prefix or suffix, one fixed diagonal) are compared
+# score by score.
+
+HUGE = 1e6
+SCORES = dict(match=1.0, mismatch=-1.0, go_score=-1.0, ge_score=-1.0)
+RUNS = dict(match=1.0, mismatch=-HUGE, go_score=0.0, ge_score=-HUGE)
+DIAGONAL = dict(match=1.0, mismatch=-1.0, go_score=0.0, ge_score=-HUGE)
+
+
+def _aligned_turns(spark, d, kind, scores, band=None):
+    pairs = _turn_pairs(spark, d).select("group_id", "ord", "origin", "mutant")
+    if band:
+        n, m = F.length("origin"), F.length("mutant")
+        pairs = pairs.withColumn("lo", band[0](n, m)).withColumn("hi", band[1](n, m))
+    return L.align_pairs(pairs, alphabet=A, kind=kind, diag_range=("lo", "hi") if band else None, **scores)
+
+
+def _consistent(out, scores=SCORES):
+    again = X.score("transcript", "origin", "mutant", "origin_start", "mutant_start",
+                    L.score_matrix(4, scores["match"], scores["mismatch"]), scores["go_score"], scores["ge_score"], A)
+    n, m = F.length("origin"), F.length("mutant")
+    i1 = F.col("origin_start") + X.projected_len("transcript")
+    j1 = F.col("mutant_start") + X.projected_len("transcript", "mutant")
+    empty = F.col("transcript").isNull()
+    at_start = (F.col("origin_start") == 0) | (F.col("mutant_start") == 0)
+    at_end = (i1 == n) | (j1 == m)
+    return out.select("group_id", "ord", (empty | (again == F.col("score"))).alias("consistent"),
+                      (empty | at_start).alias("at_start"), (empty | at_end).alias("at_end"),
+                      (empty | ((i1 - F.col("origin_start") == n) & (j1 - F.col("mutant_start") == m))).alias("whole"))
+
+
+def _holds(whole):
+    cols = "true AS consistent, true AS at_start, true AS at_end" + (", true AS whole" if whole else "")
+    return Q.select(_TURN_PAIRS, f"SELECT group_id, ord, {cols} FROM p")
+
+
+_WIDE = (lambda n, m: F.least(F.lit(0), n - m) - F.least(m + F.least(F.lit(0), n - m), F.lit(8)),
+         lambda n, m: F.greatest(F.lit(0), n - m) + F.least(n - F.greatest(F.lit(0), n - m), F.lit(8)))
+_ALL = (lambda n, m: -m, lambda n, m: n)
+
+
+@query("aln_score_global", _holds(True))
+def aln_score_global(spark, d):
+    return _consistent(_aligned_turns(spark, d, "GLOBAL", SCORES))
+
+
+@query("aln_score_b_global", _holds(True))
+def aln_score_b_global(spark, d):
+    return _consistent(_aligned_turns(spark, d, "B_GLOBAL", SCORES, _WIDE))
+
+
+@query("aln_score_overlap", _holds(False))
+def aln_score_overlap(spark, d):
+    return _consistent(_aligned_turns(spark, d, "OVERLAP", SCORES)).drop("whole")
+
+
+@query("aln_score_b_overlap", _holds(False))
+def aln_score_b_overlap(spark, d):
+    return _consistent(_aligned_turns(spark, d, "B_OVERLAP", SCORES, _WIDE)).drop("whole")
+
+
+_RUN = f"""{_TURN_PAIRS}, cells AS (
+  SELECT group_id, ord, i, j, i - j AS d FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM (
+    SELECT *, unnest(range(1, n + 1)) AS i FROM p)) WHERE substr(origin, i, 1) = substr(mutant, j, 1)),
+islands AS (SELECT group_id, ord, count(*) AS n FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY group_id, ord, d ORDER BY i) AS island FROM cells)
+  GROUP BY group_id, ord, d, island),
+runs AS (SELECT group_id, ord, max(n) AS score FROM islands GROUP BY group_id, ord)"""
+
+
+@query("aln_score_local", Q.select(_RUN, "SELECT p.group_id, p.ord, CAST(score AS DOUBLE) AS score "
+                                   "FROM p LEFT JOIN runs USING (group_id, ord)"))
+def aln_score_local(spark, d):
+    return _aligned_turns(spark, d, "LOCAL", RUNS).select("group_id", "ord", "score")
+
+
+@query("aln_score_b_local", Q.select(_RUN, "SELECT p.group_id, p.ord, CAST(coalesce(score, 0) AS DOUBLE) AS score "
+                                     "FROM p LEFT JOIN runs USING (group_id, ord)"))
+def aln_score_b_local(spark, d):
+    return _aligned_turns(spark, d, "B_LOCAL", RUNS, _ALL).select("group_id", "ord", "score")
+
+
+def _common(end):
+    x = "origin" if end == "prefix" else "reverse(origin)"
+    y = "mutant" if end == "prefix" else "reverse(mutant)"
+    return f"""coalesce(list_max(list_filter(range(1, least(n, m) + 1), lambda k:
+      substr({x}, 1, k) = substr({y}, 1, k))), 0)"""
+
+
+@query("aln_score_start_anchored", Q.select(
+    _TURN_PAIRS, f"SELECT group_id, ord, CAST(nullif({_common('prefix')}, 0) AS DOUBLE) AS score FROM p"))
+def aln_score_start_anchored(spark, d):
+    return _aligned_turns(spark, d, "START_ANCHORED", RUNS).select("group_id", "ord", "score")
+
+
+@query("aln_score_end_anchored", Q.select(
+    _TURN_PAIRS, f"SELECT group_id, ord, CAST({_common('suffix')} AS DOUBLE) AS score FROM p"))
+def aln_score_end_anchored(spark, d):
+    return _aligned_turns(spark, d, "END_ANCHORED", RUNS).select("group_id", "ord", "score")
+
+
+def _on_diagonal(x, y):
+    return f"""CAST(coalesce(list_sum(list_transform(range(1, least(n, m) + 1), lambda k:
+      CASE WHEN substr({x}, k, 1) = substr({y}, k, 1) THEN 1 ELSE -1 END)), 0) AS DOUBLE)"""
+
+
+@query("aln_score_start_anchored_overlap", Q.select(
+    _TURN_PAIRS, f"SELECT group_id, ord, {_on_diagonal('origin', 'mutant')} AS score FROM p"))
+def aln_score_start_anchored_overlap(spark, d):
+    return _aligned_turns(spark, d, "START_ANCHORED_OVERLAP", DIAGONAL).select("group_id", "ord", "score")
+
+
+@query("aln_score_end_anchored_overlap", Q.select(
+    _TURN_PAIRS, f"SELECT group_id, ord, {_on_diagonal('reverse(origin)', 'reverse(mutant)')} AS score FROM p"))
+def aln_score_end_anchored_overlap(spark, d):
+    return _aligned_turns(spark, d, "END_ANCHORED_OVERLAP", DIAGONAL).select("group_id", "ord", "score")
+
+
+@query("aln_min_score", Q.select(_RUN, "SELECT p.group_id, p.ord, CAST(CASE WHEN score >= 5 THEN score END AS DOUBLE) AS score "
+                                 "FROM p LEFT JOIN runs USING (group_id, ord)"))
+def aln_min_score(spark, d):
+    return _aligned_turns(spark, d, "LOCAL", {**RUNS, "min_score": 5}).select("group_id", "ord", "score")
+
+
+@query("aln_traceback", Q.select(_RUN, "SELECT p.group_id, p.ord, repeat('M', CAST(score AS INTEGER)) AS transcript "
+                                 "FROM p LEFT JOIN runs USING (group_id, ord)"))
+def aln_traceback(spark, d):
+    return _aligned_turns(spark, d, "LOCAL", RUNS).select("group_id", "ord", "transcript")
+
+
+@query("aln_table_scores", Q.select(_TURN_PAIRS, f"""SELECT group_id, ord, n AS n_rows, CASE WHEN n > 0 THEN m END AS n_cols,
+  CASE WHEN n > 0 AND m > 0 THEN list_sum(list_transform(range(1, least(n, m)), lambda k:
+    CASE WHEN substr(origin, k, 1) = substr(mutant, k, 1) THEN 1e0 ELSE -1e0 END)) END AS corner FROM p"""))
+def aln_table_scores(spark, d):
+    table = L.table_scores("origin", "mutant", A, **DIAGONAL)
+    pairs = _turn_pairs(spark, d).repartition(4 * spark.sparkContext.defaultParallelism).withColumn("t", table)
+    k = F.least(F.length("origin"), F.length("mutant")) - 1
+    corner = F.get(F.get("t", k), k)
+    return pairs.select("group_id", "ord", F.size("t").cast("bigint").alias("n_rows"),
+                        F.when(F.size("t") > 0, F.size(F.get("t", F.lit(0)))).cast("bigint").alias("n_cols"),
+                        F.when((F.length("origin") > 0) & (F.length("mutant") > 0) & (k > 0), corner).alias("corner"))
+
+
+# -- random data -------------------------------------------------------------
+
+MODEL_R = MutationModel(A, subst_probs=0.1, ge_prob=0.2, go_prob=0.1)
+
+
+@query("log_odds", Q.select(Q.DOCS + """, q AS (SELECT letter, n / sum(n) OVER () AS q FROM (
+  SELECT letter, sum(length(seq) - length(replace(seq, letter, ''))) AS n FROM docs, (VALUES ('a'), ('c'), ('g'), ('t')) v(letter)
+  GROUP BY letter))""", f"""SELECT x.letter AS from_letter, y.letter AS to_letter,
+  {Q.r6("ln(0.8e0) + ln(CASE WHEN x.letter = y.letter THEN 0.9e0 ELSE 0.1e0 / 3 END) - ln(y.q)")} AS score FROM q x, q y"""))
+def log_odds(spark, d):
+    null = letter_distribution(T.documents(spark, d), A)
+    return log_odds_table(MODEL_R, null).select("from_letter", "to_letter", r6("score").alias("score"))
+
+
+def _long_docs(spark, d):
+    return T.documents(spark, d).where(F.length("seq") >= 4)
+
+
+@query("lossless_reads", Q.select(Q.DOCS, """SELECT seq_id, CAST(length(seq) * 10 // (length(seq) / 2e0) AS BIGINT) AS n_reads,
+  true AS exact FROM docs WHERE length(seq) >= 4"""))
+def lossless_reads(spark, d):
+    docs = _long_docs(spark, d)
+    reads = R.lossless_reads(docs, F.length("seq") / 2, F.length("seq") / 10, expected_coverage=10, seed=1)
+    whole = docs.select("seq_id", F.col("seq").cast("binary").alias("whole"))
+    same = F.substring("whole", F.col("start") + 1, F.length("seq")).cast("string") == F.col("seq")
+    return reads.join(whole, "seq_id").groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("n_reads"), F.every(same & (F.length("seq") > 0)).alias("exact"))
+
+
+@query("mutate_reads", Q.select(Q.DOCS, "SELECT seq_id, length(seq) AS n, true AS fits, true AS known FROM docs"))
+def mutate_reads(spark, d):
+    out = R.mutants(T.documents(spark, d), MODEL_R, seed=2)
+    return out.select("seq_id", X.projected_len("transcript").cast("bigint").alias("n"),
+                      (X.projected_len("transcript", "mutant") == F.length("mutant")).alias("fits"),
+                      (F.translate("transcript", "MSID", "") == "").alias("known"))
+
+
+@query("mutate_nothing", Q.select(Q.DOCS, "SELECT seq_id, seq AS mutant, repeat('M', length(seq)) AS transcript FROM docs"))
+def mutate_nothing(spark, d):
+    return R.mutants(T.documents(spark, d), MutationModel(A)).select("seq_id", "mutant", "transcript")
+
+
+@query("noisy_reads")
+def noisy_reads(spark, d):
+    return R.noisy_reads(_long_docs(spark, d), MODEL_R, seed=3, len_mean=F.length("seq") / 2, len_sd=F.length("seq") / 10,
+                         expected_coverage=4)
+
+
+@query("structural_variants", Q.select(Q.DOCS, """SELECT seq_id, substr(seq, 1, length(seq) // 3) || substr(seq, length(seq) // 3 + 11) AS deleted,
+  substr(seq, 1, length(seq) // 3) || substr(seq, 1, 10) || substr(seq, length(seq) // 3 + 1) AS doubled,
+  length(seq) + 10 AS n FROM docs"""))
+def structural_variants(spark, d):
+    at = F.floor(F.length("seq") / 3).cast("int")
+    return T.documents(spark, d).select(
+        "seq_id", R.structural_variant("seq", "deletion", at, 10).alias("deleted"),
+        R.structural_variant("seq", "duplication", at, 10).alias("doubled"),
+        F.length(R.structural_variant("seq", "insertion", at, 10, A, seed=4)).cast("bigint").alias("n"))
+
+
+# -- files -------------------------------------------------------------------
+
+@query("fasta_roundtrip", Q.select(Q.DOCS, "SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM docs WHERE seq <> ''"))
+def fasta_roundtrip(spark, d):
+    path = scratch_path(spark, "fasta")
+    fasta.write_fasta(T.documents(spark, d), path, name="seq_id")
+    return fasta.read_fasta(spark, path).select("name", "seq")
+
+
+@query("mapped_reads", Q.select(Q.DOCS, """SELECT CASE WHEN seq_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  seq_id * 100 AS map_from, seq_id * 100 + length(seq) AS map_to, seq FROM docs WHERE seq <> ''"""))
+def mapped_reads(spark, d):
+    path = scratch_path(spark, "mapped")
+    at = F.col("seq_id") * 100
+    named = T.documents(spark, d).withColumn("name", F.concat(
+        F.when(F.col("seq_id") % 2 == 0, "+").otherwise("-"), F.lit(" "), at, F.lit(":"), at + F.length("seq")))
+    fasta.write_fasta(named, path)
+    return fasta.read_mapped_reads(spark, path).select("strand", *big("map_from", "map_to"), "seq")
+
+
+@query("sam_opseqs", Q.select(f"{Q.DOCS}, r AS (SELECT seq_id, seq, translate(seq, 'acgt', 'MMID') AS op FROM docs WHERE seq LIKE '%a%')",
+    """SELECT CAST(seq_id AS VARCHAR) AS qname, regexp_replace(regexp_replace(op, '^(I+|D+)', ''), '(I+|D+)$', '') AS opseq FROM r"""))
+def sam_opseqs(spark, d):
+    path = scratch_path(spark, "sam")
+    op = F.translate("seq", "acgt", "MMID")
+    runs = F.regexp_extract_all(op, F.lit("(M+|I+|D+)"), F.lit(1))
+    cigar = F.array_join(F.transform(runs, lambda r: F.concat(F.length(r).cast("string"), F.left(r, F.lit(1)))), "")
+    line = F.concat_ws("\t", F.col("seq_id").cast("string"), F.lit("0"), F.lit("ref"), F.lit("1"), F.lit("60"), cigar,
+                       F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"))
+    T.documents(spark, d).where(F.col("seq").contains("a")).select(line.alias("value")).write.text(path)
+    return AL.read_sam(spark, path).select("qname", "opseq")
+
+
+def _turn_blocks(spark, d):
+    """Conversations written and read back as alignment blocks, one row per turn,
+    padded to the longest turn."""
+    path = scratch_path(spark, "maf")
+    turns = T.conversations(spark, d)
+    longest = turns.groupBy("group_id").agg(F.max(F.length("seq")).alias("n"))
+    rows = turns.join(longest, "group_id").select(
+        F.col("group_id").alias("block"), F.col("ord").alias("row"), F.concat(F.lit("turn"), F.col("ord")).alias("id"),
+        F.rpad("seq", F.col("n"), "-").alias("aligned"))
+    AL.maf_text(rows).orderBy("block").select("value").write.text(path)
+    return AL.read_blocks(spark, path)
+
+
+@query("maf_sequences", Q.select(Q.TURNS, """SELECT 'turn' || ord AS id, string_agg(seq, '' ORDER BY group_id) AS seq
+FROM turns GROUP BY ord"""))
+def maf_sequences(spark, d):
+    return AL.sequences(_turn_blocks(spark, d))
+
+
+@query("maf_pairwise", Q.select(f"""{Q.TURNS}, ids AS (SELECT ord FROM turns WHERE group_id = (SELECT min(group_id) FROM turns)),
+l AS (SELECT group_id, max(length(seq)) AS n FROM turns GROUP BY group_id),
+b AS (SELECT group_id, ids.ord, n, rpad(coalesce(seq, ''), CAST(n AS INTEGER), '-') AS row, seq IS NOT NULL AS here
+  FROM l CROSS JOIN ids LEFT JOIN turns USING (group_id, ord)),
+pieces AS (SELECT x.group_id, x.ord AS o1, y.ord AS o2, array_to_string(list_transform(range(1, x.n + 1), lambda k:
+  CASE WHEN substr(x.row, k, 1) = '-' AND substr(y.row, k, 1) = '-' THEN '' WHEN substr(x.row, k, 1) = '-' THEN 'I'
+  WHEN substr(y.row, k, 1) = '-' THEN 'D' WHEN substr(x.row, k, 1) = substr(y.row, k, 1) THEN 'M' ELSE 'S' END), '') AS piece
+  FROM b x JOIN b y ON x.group_id = y.group_id AND x.ord < y.ord)""",
+    """SELECT 'turn' || o1 AS id1, 'turn' || o2 AS id2, string_agg(piece, '' ORDER BY group_id) AS opseq
+FROM pieces GROUP BY o1, o2"""))
+def maf_pairwise(spark, d):
+    return AL.pairwise(_turn_blocks(spark, d))
+
+
+@query("maf_exact_seeds")
+def maf_exact_seeds(spark, d):
+    seeds = AL.exact_seeds(_turn_blocks(spark, d), 2, ids=["turn0", "turn1"])
+    return seeds.select("col", _at("positions").alias("at"))
+
+
+@query("hits_table", """SELECT o_orderstatus AS gene_type,
+  CAST(o_custkey AS VARCHAR) AS read, CAST(o_orderkey AS VARCHAR) AS gene, (o_orderkey % 100) / 100e0 AS p,
+  CAST(o_orderkey % 50 AS INTEGER) AS num_matches, CAST(o_orderkey % 50 + 7 AS INTEGER) AS length FROM orders""")
+def hits_table(spark, d):
+    path = scratch_path(spark, "hits")
+    k = F.col("o_orderkey")
+    T.table(spark, d, "orders").select(F.concat_ws(
+        " ", "o_orderstatus", "o_custkey", k, k % 100, F.concat(k % 50, F.lit("/"), k % 50 + 7)).alias("value")
+    ).write.text(path)
+    return AL.read_hits(spark, path)
+
+
+# -- reports -----------------------------------------------------------------
+
+@query("ecdf", """WITH s AS (SELECT n_chars AS v FROM documents), x AS (SELECT conv_id, turn, length(text) AS x FROM conversations),
+e AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM s)
+SELECT conv_id, turn, round(CASE WHEN x >= hi THEN 1e0 WHEN x <= lo THEN 0e0
+  ELSE (SELECT count(*) FROM s WHERE v < x) / n::DOUBLE END, 6) + 0e0 AS cdf FROM x, e""")
+def ecdf(spark, d):
+    at = T.table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("x"))
+    sample = T.table(spark, d, "documents").select("n_chars")
+    return E.empirical_cdf(sample, "n_chars", at, "x").select("conv_id", "turn", r6("cdf").alias("cdf"))
+
+
+# An item lies in a document where a diagonal holds seeds at all of its words.
+_LABELLED = f"""{_OVERLAP},
+held AS (SELECT DISTINCT s_id, t_id FROM hist JOIN bench ON seq_id = s_id WHERE n = length(seq) - {W - 1}),
+scores AS (SELECT b.s_id, b.t_id, round(b.p, 9) AS p, h.s_id IS NOT NULL AS positive
+  FROM banded b LEFT JOIN held h ON b.s_id = h.s_id AND b.t_id = h.t_id)"""
+
+
+def _held(spark, d):
+    hist = O.diagonal_histogram(_doc_seeds(spark, d)).join(
+        T.benchmark(spark, d).select(F.col("seq_id").alias("s_id"), F.length("seq").alias("s_len")), "s_id")
+    return hist.where(F.col("n") == F.col("s_len") - (W - 1)).select("s_id", "t_id").distinct()
+
+
+def _labelled(spark, d):
+    bands = O.best_overlap_band(_doc_seeds(spark, d), T.benchmark(spark, d), T.documents(spark, d), **MODEL)
+    held = _held(spark, d).withColumn("positive", F.lit(True))
+    return bands.join(held, ["s_id", "t_id"], "left").select(
+        "s_id", "t_id", F.round("p", 9).alias("p"), F.coalesce("positive", F.lit(False)).alias("positive"))
+
+
+def _grid(margin, points=200):
+    def cdf(flag):
+        n = f"(SELECT count(*) FROM scores WHERE positive = {flag})"
+        return f"""CASE WHEN x >= (SELECT max(p) FROM scores WHERE positive = {flag}) THEN 1e0
+    WHEN x <= (SELECT min(p) FROM scores WHERE positive = {flag}) THEN 0e0
+    ELSE (SELECT count(*) FROM scores WHERE positive = {flag} AND p < x) / {n}::DOUBLE END"""
+    return f"""{_LABELLED}, ends AS (SELECT min(p) - (max(p) - min(p)) * {margin}e0 AS lo, max(p) + (max(p) - min(p)) * {margin}e0 AS hi FROM scores),
+grid AS (SELECT k, CASE WHEN k = {points - 1} THEN hi ELSE lo + k * ((hi - lo) / {points - 1}) END AS x FROM ends, range({points}) t(k)),
+curve AS (SELECT k, x, {cdf('true')} AS pos, {cdf('false')} AS neg, (SELECT count(*) FROM scores WHERE positive) AS n_pos,
+  (SELECT count(*) FROM scores WHERE NOT positive) AS n_neg FROM grid)"""
+
+
+@query("roc", Q.select(_grid(0.25), f"SELECT k, {Q.r6('x')} AS threshold, {Q.r6('1 - neg')} AS fpr, {Q.r6('1 - pos')} AS tpr FROM curve"))
+def roc(spark, d):
+    return E.roc(_labelled(spark, d), "p", num_points=200).select(
+        "k", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("ppv_npv", Q.select(_grid(0), f"""SELECT k, {Q.r6('x')} AS threshold,
+  {Q.r6("(1 - pos) * n_pos / nullif((1 - pos) * n_pos + (1 - neg) * n_neg, 0)")} AS ppv,
+  {Q.r6("neg * n_neg / nullif(pos * n_pos + neg * n_neg, 0)")} AS npv FROM curve"""))
+def ppv_npv(spark, d):
+    return E.predictive_values(_labelled(spark, d), "p", num_points=200).select(
+        "k", r6("threshold").alias("threshold"), r6("ppv").alias("ppv"), r6("npv").alias("npv"))
+
+
+@query("call_stats", Q.select(_LABELLED + """, calls AS (SELECT * FROM scores WHERE p >= 0.8),
+m AS (SELECT coalesce(c.t_id, h.t_id) AS t_id, c.t_id IS NOT NULL AS c, h.t_id IS NOT NULL AS h
+  FROM calls c FULL JOIN held h ON c.s_id = h.s_id AND c.t_id = h.t_id),
+s AS (SELECT t_id, count(*) FILTER (WHERE c AND h) AS tp, count(*) FILTER (WHERE c AND NOT h) AS fp,
+  count(*) FILTER (WHERE h AND NOT c) AS fn, (SELECT count(*) FROM benchmark) - count(*) AS tn FROM m GROUP BY t_id)""",
+    f"""SELECT t_id, tp, fp, fn, tn, {Q.r6("CASE WHEN tp + fn = 0 THEN 1e0 ELSE tp / (tp + fn)::DOUBLE END")} AS tpr,
+  {Q.r6("fp / nullif(fp + tn, 0)::DOUBLE")} AS fpr FROM s"""))
+def call_stats(spark, d):
+    calls = _labelled(spark, d).where("p >= 0.8")
+    n_items = T.table(spark, d, "benchmark").count()
+    stats_ = E.rates(E.call_stats(_held(spark, d), calls, n_items, "t_id", "s_id"))
+    return stats_.select("t_id", *big("tp", "fp", "fn", "tn"), r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
+
+
+@query("mean_sd", Q.select(Q.doc_seeds(W), f"""SELECT s_id, {Q.r6('avg(n)')} AS mean, {Q.r6('stddev_pop(n)')} AS sd
+FROM (SELECT s_id, t_id, count(*) AS n FROM seeds GROUP BY ALL) GROUP BY s_id"""))
+def mean_sd(spark, d):
+    return E.mean_sd(seed_pairs(spark, d), "n_seeds", ["s_id"]).select("s_id", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
+@query("seed_moments", Q.select(_PAIR_DIMS + f""", m AS (SELECT *, {Q.h0(4, W, 'area')[0]} AS mu0, {Q.h0(4, W, 'area')[1]} AS sd0,
+  {Q.h1(4, W, 'area', 'len', '0.9e0')[0]} AS mu1, {Q.h1(4, W, 'area', 'len', '0.9e0')[1]} AS sd1 FROM pairs)""",
+    f"""SELECT s_id, count(*) AS n, {Q.r6('avg(n)')} AS mean, {Q.r6('stddev_pop(n)')} AS sd, {Q.r6('avg(mu0)')} AS mu0,
+  {Q.r6('avg(sd0)')} AS sd0, {Q.r6('avg(mu1)')} AS mu1, {Q.r6('avg(sd1)')} AS sd1 FROM m GROUP BY s_id"""))
+def seed_moments(spark, d):
+    out = similarity.seed_moments(_pair_dims(spark, d).withColumnRenamed("len", "length"), ["s_id"], 4, W, 0.9)
+    return out.select("s_id", "n", *[r6(c).alias(c) for c in ("mean", "sd", "mu0", "sd0", "mu1", "sd1")])
+
+
+@query("top3_candidates", Q.select(_OVERLAP, f"""SELECT s_id, t_id, {Q.r6('round(p, 9) * len')} AS matches, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY round(p, 9) * len DESC, s_id) AS rank FROM banded) WHERE rank <= 3"""))
+def top3_candidates(spark, d):
+    bands = O.best_overlap_band(_doc_seeds(spark, d), T.benchmark(spark, d), T.documents(spark, d), **MODEL)
+    return genotyping.top_per_read(bands.withColumn("matches", F.round("p", 9) * F.col("len")), "t_id", "s_id", 3).select(
+        "s_id", "t_id", r6("matches").alias("matches"), *big("rank"))
+
+
+@query("interval_truth_join", """WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS strand, o_orderkey * 20 AS start,
+  o_orderkey * 20 + 60 + o_custkey % 200 AS stop FROM orders)
+SELECT x.id AS id1, y.id AS id2, least(x.stop, y.stop) - greatest(x.start, y.start) AS overlap
+FROM r x JOIN r y ON x.strand = y.strand AND x.id < y.id AND y.start < x.stop - 50 AND x.start < y.stop - 50
+WHERE least(x.stop, y.stop) - greatest(x.start, y.start) > 50""")
+def interval_truth_join(spark, d):
+    k = F.col("o_orderkey")
+    reads = T.table(spark, d, "orders").select(
+        k.alias("id"), F.col("o_orderstatus").alias("strand"), (k * 20).alias("start"),
+        (k * 20 + 60 + F.col("o_custkey") % 200).alias("stop"))
+    return E.overlapping_intervals(reads)
+
+
+@query("overlap_confusion", Q.select(f"""{Q.DOCS}, {Q.words('dk', 'docs', W_LONG)}, {Q.seeds('dk', 'dk', 'AND s.seq_id < t.seq_id')},
+{Q.overlap_ctes(W_LONG, G_MAX, SENS, 'docs', 'docs')},
+truth AS (SELECT x.seq_id AS s_id, y.seq_id AS t_id FROM docs x JOIN docs y ON x.seq = y.seq AND x.seq_id < y.seq_id AND x.seq <> ''),
+m AS (SELECT coalesce(round(p, 9), 0) >= 0.8 AS c, t.s_id IS NOT NULL AS h FROM banded b FULL JOIN truth t
+  ON b.s_id = t.s_id AND b.t_id = t.t_id),
+s AS (SELECT count(*) FILTER (WHERE c AND h) AS tp, count(*) FILTER (WHERE c AND NOT h) AS fp,
+  count(*) FILTER (WHERE NOT c AND h) AS fn, (SELECT count(*) * (count(*) - 1) // 2 FROM docs) AS total FROM m)""",
+    f"""SELECT tp, fp, fn, CAST(total - tp - fp - fn AS BIGINT) AS tn, {Q.r6('tp / (tp + fn)::DOUBLE')} AS sensitivity,
+  {Q.r6('(total - tp - fp - fn) / (total - tp - fn)::DOUBLE')} AS specificity FROM s"""))
+def overlap_confusion(spark, d):
+    docs = T.documents(spark, d)
+    bands = overlaps.read_overlaps(docs, A, W_LONG, g_max=G_MAX, sensitivity=SENS).withColumn("p", F.round("p", 9))
+    # Identical sequences are the known overlaps.
+    ids = docs.where("seq <> ''").select("seq_id", content_id("seq").alias("c"))
+    truth = ids.select(F.col("seq_id").alias("id1"), "c").join(ids.select(F.col("seq_id").alias("id2"), "c"), "c").where("id1 < id2")
+    out = overlaps.confusion(overlaps.labelled_pairs(bands, truth), docs.count(), 0.8)
+    return out.select(*big("tp", "fp", "fn", "tn"), r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
+
+
+MARGIN = 15
+
+
+def _chain_sql():
+    def axis(name, start, end):
+        return f"""{name}_links AS (SELECT x.s_id, x.t_id, x.root AS u, y.root AS v FROM placed x JOIN placed y
+  ON x.s_id = y.s_id AND x.t_id = y.t_id AND x.root <> y.root
+  AND least(x.{name}1, y.{name}1) - greatest(x.{name}0, y.{name}0) > -{MARGIN}),
+{name}_walk(root, depth) AS (SELECT root, 1 FROM placed WHERE {start}
+  UNION SELECT l.v, w.depth + 1 FROM {name}_walk w JOIN {name}_links l ON l.u = w.root WHERE w.depth < 30),
+{name}_paths AS (SELECT s_id, t_id, min(depth) FILTER (WHERE {end}) AS depth FROM placed
+  LEFT JOIN {name}_walk USING (root) GROUP BY s_id, t_id)"""
+    return Q.select(",\n".join([
+        Q.doc_seeds(W), Q.scored("seeds", K_MIN, RADIUS, W), Q.segment_ctes(K_MIN, RADIUS, P_MIN, "bench", "docs"),
+        """spots AS (SELECT c.*, length(seq) AS t_len, greatest(CAST(floor((a_min + d_min) / 2.0) AS BIGINT), 0) AS i0,
+  CAST(floor((a_max + d_max) / 2.0) AS BIGINT) AS i1, greatest(CAST(floor((a_min - d_max) / 2.0) AS BIGINT), 0) AS j0,
+  CAST(floor((a_max - d_min) / 2.0) AS BIGINT) AS j1 FROM counted c JOIN docs ON seq_id = t_id),
+placed AS (SELECT *, min(i0) OVER (PARTITION BY s_id, t_id) AS first_i, max(i1) OVER (PARTITION BY s_id, t_id) AS last_i FROM spots)""",
+        axis("j", f"j0 < {MARGIN}", f"j1 > t_len - {MARGIN}"), axis("i", "i0 = first_i", "i1 = last_i")]),
+        """SELECT j.s_id, j.t_id, coalesce(j.depth > 1, false) AS deletion, coalesce(i.depth > 1, false) AS insertion
+FROM j_paths j JOIN i_paths i USING (s_id, t_id)""", recursive=True)
+
+
+@query("sv_chain_paths", _chain_sql())
+def sv_chain_paths(spark, d):
+    calls = variants.call_variants(_segments(spark, d), T.documents(spark, d), MARGIN)
+    return calls.select("s_id", "t_id", "deletion", "insertion")
+
+
+@query("annotate_elements", Q.select(",\n".join([
+    Q.doc_seeds(W), Q.scored("seeds", K_MIN, stats.band_radius_value(K_MIN, 0.2, 0.9), W),
+    Q.segment_ctes(K_MIN, stats.band_radius_value(K_MIN, 0.2, 0.9), P_MIN, "bench", "docs")]),
+    f"SELECT s_id, t_id, count(*) AS n_segments, {Q.r6('max(p)')} AS best_p FROM counted GROUP BY s_id, t_id", recursive=True))
+def annotate_elements(spark, d):
+    return similarity.annotate(T.documents(spark, d), T.benchmark(spark, d), A, W, k_min=K_MIN, p_min=P_MIN).select(
+        "s_id", "t_id", "n_segments", r6("best_p").alias("best_p"))
+
+
+@query("genotype_reads")
+def genotype_reads(spark, d):
+    """Benchmark items as genes, documents as reads."""
+    settings = {"V": dict(wordlen=W, k_min=K_MIN, mismatch=-1.0)}
+    out = genotyping.genotype(T.documents(spark, d), {"V": T.benchmark(spark, d)}, A, settings,
+                              go_score=-1.0, ge_score=-0.5, p_min=P_MIN)
+    return out.select("gene_type", "s_id", "t_id", "rank", r6("matches").alias("matches"), "score", "num_matches",
+                      "len_aln", "p_aln", "start_pos", "end_pos")
+
+
+@query("align_segments")
+def align_segments(spark, d):
+    out = similarity.align_segments(_segments(spark, d), T.benchmark(spark, d), T.documents(spark, d), A, W, P_MIN)
+    return out.select("s_id", "t_id", "i_from", "i_to", "j_from", "j_to", r6("score").alias("score"), "trimmed",
+                      "trim_i", "trim_j", r6("p_aln").alias("p_aln"))
+
+
+@query("kmer_rank_model", Q.select(
+    f"{Q.DOCS}, {Q.words('dk', 'docs', W_SHORT)}, c AS (SELECT kmer, count(*) AS n FROM dk GROUP BY kmer)",
+    f"SELECT kmer, n, {Q.r6(f'{W_SHORT} + {Q.dbl(0.25 ** W_SHORT)} * n + ln(n) / 4')} AS neg_log FROM c"))
+def kmer_rank_model(spark, d):
+    counts = kmer_spectrum(spark, d)
+    return counts.select("kmer", "n", r6(stats.neg_log_kmer_rank_prob("n", W_SHORT)).alias("neg_log"))

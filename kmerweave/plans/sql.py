@@ -139,7 +139,7 @@ def segment_rows(w, n_letters=4):
     return f"""SELECT s_id, t_id, CAST(d_min AS BIGINT) AS d_min, CAST(d_max AS BIGINT) AS d_max,
   CAST(a_min AS BIGINT) AS a_min, CAST(a_max AS BIGINT) AS a_max, {r6('p')} AS p,
   CAST(n_qualified AS BIGINT) AS n_qualified, CAST(n_seeds AS BIGINT) AS n_seeds,
-  {r6(z0)} AS z_h0, {r6(z1)} AS z_h1 FROM counted"""
+  round({z0}, 3) + 0e0 AS z_h0, round({z1}, 3) + 0e0 AS z_h1 FROM counted"""
 
 
 # -- overlaps ----------------------------------------------------------------
