@@ -511,7 +511,7 @@ m0 AS (SELECT group_id, n_seqs, kmer, [pos] AS idxs FROM shared WHERE rank = 0)"
     ON x.group_id = y.group_id AND x.kmer = y.kmer)""")
     ds = ", ".join(f"coalesce(idxs[1] - idxs[{k + 1}], 0) AS d{k}" for k in range(1, MOST))
     steps.append(f"""seeds AS (SELECT group_id, n_seqs, kmer, idxs, list_sum(idxs) AS a,
-  array_to_string(idxs, '-') AS at, {ds} FROM m{MOST - 1})""")
+  array_to_string(idxs, '-') AS spots, {ds} FROM m{MOST - 1})""")
     return ",\n".join(steps)
 
 
@@ -526,11 +526,11 @@ def seed_multi_shared_words(spark, d):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("seed_multi_join", Q.select(_multi_ctes(W_MULTI), """SELECT group_id, n_seqs, kmer, at, CAST(a AS BIGINT) AS a,
+@query("seed_multi_join", Q.select(_multi_ctes(W_MULTI), """SELECT group_id, n_seqs, kmer, spots, CAST(a AS BIGINT) AS a,
   CAST(d1 AS BIGINT) AS d1, CAST(d2 AS BIGINT) AS d2 FROM seeds"""))
 def seed_multi_join(spark, d):
     return M.seeds_multi(T.conversations(spark, d), A, W_MULTI).select(
-        "group_id", "n_seqs", "kmer", _at().alias("at"), *big("a"),
+        "group_id", "n_seqs", "kmer", _at().alias("spots"), *big("a"),
         F.get("ds", F.lit(0)).cast("bigint").alias("d1"), F.get("ds", F.lit(1)).cast("bigint").alias("d2"))
 
 
@@ -541,10 +541,10 @@ def seed_multi_band_count(spark, d):
                               ds_band=[(-40, 40), None], a_band=(30, 900))
 
 
-@query("seed_multi_ij_roundtrip", Q.select(_multi_ctes(W_MULTI), "SELECT group_id, kmer, at FROM seeds"))
+@query("seed_multi_ij_roundtrip", Q.select(_multi_ctes(W_MULTI), "SELECT group_id, kmer, spots FROM seeds"))
 def seed_multi_ij_roundtrip(spark, d):
     seeds = M.seeds_multi(T.conversations(spark, d), A, W_MULTI)
-    return seeds.select("group_id", "kmer", _at(coords.to_positions_multi("ds", "a")).alias("at"))
+    return seeds.select("group_id", "kmer", _at(coords.to_positions_multi("ds", "a")).alias("spots"))
 
 
 W_GROUP, K_GROUP = 7, 10
@@ -590,19 +590,19 @@ def multi_z_scores(spark, d):
 
 _NEAR = " AND ".join(f"abs(x.d{k} - y.d{k}) <= {R_GROUP}" for k in range(1, MOST))
 _MULTI_SCORED = f"""{_multi_ctes(W_GROUP)},
-boxed AS (SELECT x.group_id, x.at, count(*) - 1 AS n_neigh FROM seeds x JOIN seeds y ON x.group_id = y.group_id
+boxed AS (SELECT x.group_id, x.spots, count(*) - 1 AS n_neigh FROM seeds x JOIN seeds y ON x.group_id = y.group_id
   AND abs(x.a - y.a) <= ceil(x.n_seqs * {K_GROUP} / 2.0) AND {_NEAR} GROUP BY ALL),
 scored AS (SELECT seeds.*, n_neigh,
   {Q.root(f"((n_neigh + 1 - pow({2 * R_GROUP}e0, n_seqs - 1) * {K_GROUP} * {_NULL}) / {K_GROUP})", W_GROUP)} AS p
-  FROM seeds JOIN boxed USING (group_id, at))"""
+  FROM seeds JOIN boxed USING (group_id, spots))"""
 
 
 @query("multi_neighbors", Q.select(
-    _MULTI_SCORED, f"SELECT group_id, at, CAST(n_neigh AS BIGINT) AS n_neigh, {Q.r6('p')} AS p FROM scored"))
+    _MULTI_SCORED, f"SELECT group_id, spots, CAST(n_neigh AS BIGINT) AS n_neigh, {Q.r6('p')} AS p FROM scored"))
 def multi_neighbors(spark, d):
     seeds = M.seeds_multi(T.conversations(spark, d), A, W_GROUP)
     return M.score_seeds_multi(seeds, K_GROUP, G_MAX, SENS, 4, W_GROUP).select(
-        "group_id", _at().alias("at"), *big("n_neigh"), r6("p").alias("p"))
+        "group_id", _at().alias("spots"), *big("n_neigh"), r6("p").alias("p"))
 
 
 P_GROUP = 0.8
@@ -1108,7 +1108,7 @@ def maf_pairwise(spark, d):
 @query("maf_exact_seeds")
 def maf_exact_seeds(spark, d):
     seeds = AL.exact_seeds(_turn_blocks(spark, d), 2, ids=["turn0", "turn1"])
-    return seeds.select("col", _at("positions").alias("at"))
+    return seeds.select("col", _at("positions").alias("spots"))
 
 
 @query("hits_table", """SELECT o_orderstatus AS gene_type,
