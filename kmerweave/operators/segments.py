@@ -132,11 +132,23 @@ def count_in_boxes(boxes: DataFrame, seeds: DataFrame, d_size: int, a_size: int)
     return boxes.join(counts, [*PAIR, *box], "left").fillna(0, ["n_seeds"])
 
 
+def keyed(seqs: DataFrame, id_name: str, value, value_name: str) -> DataFrame:
+    """A per-sequence value ready to be joined by id. It is computed before the
+    shuffle that a join on the id needs anyway; otherwise Spark evaluates a costly
+    derivation once per joined row instead of once per sequence."""
+    return seqs.select(F.col("seq_id").alias(id_name), value.alias(value_name)).repartition(id_name)
+
+
 def with_lengths(pairs: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame) -> DataFrame:
     """Adds the lengths of both sequences to rows keyed by pair."""
-    s = s_seqs.select(F.col("seq_id").alias("s_id"), F.length("seq").alias("s_len"))
-    t = t_seqs.select(F.col("seq_id").alias("t_id"), F.length("seq").alias("t_len"))
-    return pairs.join(s, "s_id").join(t, "t_id")
+    return (pairs.join(keyed(s_seqs, "s_id", F.length("seq"), "s_len"), "s_id")
+            .join(keyed(t_seqs, "t_id", F.length("seq"), "t_len"), "t_id"))
+
+
+def with_sequences(pairs: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame) -> DataFrame:
+    """Adds both sequences, ``origin`` and ``mutant``, to rows keyed by pair."""
+    return (pairs.join(keyed(s_seqs, "s_id", F.col("seq"), "origin"), "s_id")
+            .join(keyed(t_seqs, "t_id", F.col("seq"), "mutant"), "t_id"))
 
 
 def similar_segments(seeds: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, *, k_min: int,

@@ -487,9 +487,7 @@ def overlap_ref_probe(spark, d):
     f"""{Q.DOCS}, {Q.words('dk', 'docs', W_LONG)}, {Q.seeds('dk', 'dk', 'AND s.seq_id < t.seq_id')},
 {Q.overlap_ctes(W_LONG, G_MAX, SENS, 'docs', 'docs')}""", Q.overlap_rows(W_LONG)))
 def overlap_all_pairs(spark, d):
-    docs = T.documents(spark, d)
-    return _overlap_rows(O.best_overlap_band(
-        S.seeds_within(docs, A, W_LONG), docs, docs, g_max=G_MAX, sensitivity=SENS, n_letters=4, wordlen=W_LONG))
+    return _overlap_rows(overlaps.read_overlaps(T.documents(spark, d), A, W_LONG, g_max=G_MAX, sensitivity=SENS))
 
 
 # -- groups of sequences -----------------------------------------------------
