@@ -62,6 +62,10 @@ def _first_tied(ties):
     return np.where(ties & 1, BEGIN, np.where(ties & 2, DELETE, np.where(ties & 4, INSERT, PAIR)))
 
 
+# Lowest set bit of every tie mask, for walking back cell by cell.
+FIRST = [next((op for op in range(4) if mask >> op & 1), PAIR) for mask in range(16)]
+
+
 def _extend(score, ties, own, go, ge):
     """Best way to put a gap of kind ``own`` behind cells: scores and the tied
     operation extended (the first one where several are equally good)."""
@@ -150,20 +154,23 @@ class _Group:
         x, y = map(int, self.end[r])
         if x < 0 or self.best[r] < min_score:
             return None, None, None, None
-        ops = []
-        op = int(_first_tied(self._cell(r, x, y) & 15))
+        ops, origin, mutant = [], self.origins[r], self.mutants[r]
+        cell = self._cell(r, x, y)
+        op = FIRST[cell & 15]
         while op != BEGIN:
-            cell = self._cell(r, x, y)
             if op == PAIR:
-                ops.append("M" if self.origins[r][x - 1] == self.mutants[r][y - 1] else "S")
                 x, y = x - 1, y - 1
-                op = int(_first_tied(self._cell(r, x, y) & 15))
-            elif op == DELETE:
+                ops.append("M" if origin[x] == mutant[y] else "S")
+                cell = self._cell(r, x, y)
+                op = FIRST[cell & 15]
+                continue
+            if op == DELETE:
                 ops.append("D")
                 x, op = x - 1, cell >> 4 & 3
             else:
                 ops.append("I")
                 y, op = y - 1, cell >> 6 & 3
+            cell = self._cell(r, x, y)
         if not ops:
             return float(self.best[r]), None, None, None
         return float(self.best[r]), "".join(reversed(ops)), x, y

@@ -90,7 +90,7 @@ def segments_of(good: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, d_radius:
                 a_radius: int, order="kmer") -> DataFrame:
     """Bounding boxes of the connected groups of qualifying seeds, clipped to the
     table, with the mean match probability in which a group's first seed counts
-    twice: ``(s_id, t_id, d_min, d_max, a_min, a_max, p, n_qualified)``."""
+    twice: ``(s_id, t_id, root, d_min, d_max, a_min, a_max, p, n_qualified)``."""
     d_size, a_size = _tile_sizes(d_radius, a_radius)
     # Numbered as they are written, so the numbers stay the same afterwards.
     runs = cut_lineage(diagonal_runs(good, a_radius, a_size, order).withColumn(
@@ -108,7 +108,7 @@ def segments_of(good: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, d_radius:
         return F.least(s_len, F.greatest(F.col(d), -t_len))
 
     return with_lengths(boxes, s_seqs, t_seqs).select(
-        *PAIR, clip("d_min").alias("d_min"), clip("d_max").alias("d_max"),
+        *PAIR, "root", clip("d_min").alias("d_min"), clip("d_max").alias("d_max"),
         F.greatest("a_min", F.lit(0)).alias("a_min"),
         F.least(F.col("a_max"), s_len + t_len).alias("a_max"),
         ((F.col("p_sum") + F.col("first.p")) / (F.col("n_qualified") + 1)).alias("p"),
@@ -116,39 +116,51 @@ def segments_of(good: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, d_radius:
 
 
 def count_in_boxes(boxes: DataFrame, seeds: DataFrame, d_size: int, a_size: int) -> DataFrame:
-    """Adds ``n_seeds``, the stored seeds inside each closed box, by an equi-join on
-    the tiles a box covers."""
-    box = ["d_min", "d_max", "a_min", "a_max"]
-    covered = (boxes.select(*PAIR, *box).distinct()
-               .withColumn("bd", F.explode(F.sequence(
-                   F.floor(F.col("d_min") / d_size), F.floor(F.col("d_max") / d_size))))
-               .withColumn("ba", F.explode(F.sequence(
-                   F.floor(F.col("a_min") / a_size), F.floor(F.col("a_max") / a_size)))))
+    """Adds ``n_seeds``, the stored seeds inside each closed box. Boxes are repeated
+    on the tiles they cover and meet the seeds of those tiles in one equi-join;
+    ``root`` tells equal boxes apart."""
+    def tiles(lo, hi, size):
+        return F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+
+    covered = boxes.withColumn("bd", tiles("d_min", "d_max", d_size)).withColumn(
+        "ba", tiles("a_min", "a_max", a_size))
     placed = seeds.select(*PAIR, "d", "a", F.floor(F.col("d") / d_size).alias("bd"),
                           F.floor(F.col("a") / a_size).alias("ba"))
-    counts = (covered.join(placed, [*PAIR, "bd", "ba"])
-              .where("d BETWEEN d_min AND d_max AND a BETWEEN a_min AND a_max")
-              .groupBy(*PAIR, *box).agg(F.count(F.lit(1)).alias("n_seeds")))
-    return boxes.join(counts, [*PAIR, *box], "left").fillna(0, ["n_seeds"])
+    inside = F.col("d").between(F.col("d_min"), F.col("d_max")) & F.col("a").between(F.col("a_min"), F.col("a_max"))
+    return covered.join(placed, [*PAIR, "bd", "ba"], "left").groupBy(*boxes.columns).agg(
+        F.count_if(inside).alias("n_seeds"))
 
 
-def keyed(seqs: DataFrame, id_name: str, value, value_name: str) -> DataFrame:
-    """A per-sequence value ready to be joined by id. It is computed before the
-    shuffle that a join on the id needs anyway; otherwise Spark evaluates a costly
-    derivation once per joined row instead of once per sequence."""
-    return seqs.select(F.col("seq_id").alias(id_name), value.alias(value_name)).repartition(id_name)
+def keyed(seqs: DataFrame, value, name: str) -> DataFrame:
+    """A value per sequence, ``(seq_id, name)``, stored before it is joined by id.
+    Spark may otherwise evaluate a costly derivation once per joined row instead of
+    once per sequence; stored, the join stays open to broadcasting and to the
+    splitting of skewed ids."""
+    return cut_lineage(seqs.select("seq_id", value.alias(name)), name)
+
+
+def _as_side(values, id_name, name):
+    return values.toDF(id_name, name)
 
 
 def with_lengths(pairs: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame) -> DataFrame:
     """Adds the lengths of both sequences to rows keyed by pair."""
-    return (pairs.join(keyed(s_seqs, "s_id", F.length("seq"), "s_len"), "s_id")
-            .join(keyed(t_seqs, "t_id", F.length("seq"), "t_len"), "t_id"))
+    s = keyed(s_seqs, F.length("seq"), "len")
+    t = s if t_seqs is s_seqs else keyed(t_seqs, F.length("seq"), "len")
+    return pairs.join(_as_side(s, "s_id", "s_len"), "s_id").join(_as_side(t, "t_id", "t_len"), "t_id")
 
 
 def with_sequences(pairs: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame) -> DataFrame:
-    """Adds both sequences, ``origin`` and ``mutant``, to rows keyed by pair."""
-    return (pairs.join(keyed(s_seqs, "s_id", F.col("seq"), "origin"), "s_id")
-            .join(keyed(t_seqs, "t_id", F.col("seq"), "mutant"), "t_id"))
+    """Adds both sequences, ``origin`` and ``mutant``, to rows keyed by pair; only
+    sequences that occur in a pair are stored."""
+    pairs = cut_lineage(pairs, "pairs")
+
+    def needed(seqs, id_name):
+        ids = pairs.select(F.col(id_name).alias("seq_id"))
+        return keyed(seqs.join(ids, "seq_id", "left_semi"), F.col("seq"), "seq")
+
+    return (pairs.join(_as_side(needed(s_seqs, "s_id"), "s_id", "origin"), "s_id")
+            .join(_as_side(needed(t_seqs, "t_id"), "t_id", "mutant"), "t_id"))
 
 
 def similar_segments(seeds: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, *, k_min: int,
@@ -171,4 +183,4 @@ def similar_segments(seeds: DataFrame, s_seqs: DataFrame, t_seqs: DataFrame, *,
     counted = count_in_boxes(boxes, seeds, d_size, a_size)
     length, area = stats.segment_dims("d_min", "d_max", "a_min", "a_max")
     z0, z1 = stats.score_num_seeds("n_seeds", area, length, "p", n_letters, wordlen)
-    return counted.withColumn("z_h0", z0).withColumn("z_h1", z1)
+    return counted.withColumn("z_h0", z0).withColumn("z_h1", z1).drop("root")

@@ -81,23 +81,21 @@ def pairwise(blocks: DataFrame) -> DataFrame:
     """Edit transcripts of all pairs of ids of the first block, over all blocks:
     ``(id1, id2, opseq)``. A row missing from a block counts as all gaps.
 
-    Each block row meets the id list (a small dimension), blocks are joined with
-    themselves on the block, and pieces are concatenated per pair.
+    Blocks are joined with themselves on the block and pieces concatenated per pair.
     """
-    first = blocks.orderBy("file", "block").limit(1).select("file", "block")
-    ids = blocks.join(F.broadcast(first), ["file", "block"]).select("id", F.col("row").alias("rank"))
-    known = blocks.join(F.broadcast(ids), "id")
-    chars = F.regexp_extract_all("aligned", F.lit("(.)"), F.lit(1))
-    known = known.select("file", "block", "id", "rank", chars.alias("c"))
+    blocks = cut_lineage(blocks, "blocks")
+    first = blocks.agg(F.min(F.struct("file", "block")).alias("f")).select("f.*")  # one row
+    ids = blocks.join(first, ["file", "block"], "left_semi").select("file", "block", "id", F.col("row").alias("rank"))
+    pairs = ids.withColumnsRenamed({"id": "id1", "rank": "r1"}).join(
+        ids.withColumnsRenamed({"id": "id2", "rank": "r2"}), ["file", "block"]).where("r1 < r2").select("id1", "id2")
+    known = blocks.join(ids.select("id"), "id", "left_semi").select(
+        "file", "block", "id", F.regexp_extract_all("aligned", F.lit("(.)"), F.lit(1)).alias("c"))
     sizes = known.groupBy("file", "block").agg(F.max(F.size("c")).alias("n"))
-    order = F.broadcast(ids)
-    pairs = ids.select(F.col("id").alias("id1"), F.col("rank").alias("r1")).join(
-        order.select(F.col("id").alias("id2"), F.col("rank").alias("r2")), F.col("r1") < F.col("r2"))
     left = known.select("file", "block", F.col("id").alias("id1"), F.col("c").alias("c1"))
     right = known.select("file", "block", F.col("id").alias("id2"), F.col("c").alias("c2"))
     # Pieces in which at least one of the two ids has a row.
-    one = left.join(F.broadcast(pairs), "id1").join(right, ["file", "block", "id2"], "left")
-    lone = right.join(F.broadcast(pairs), "id2").join(left, ["file", "block", "id1"], "left_anti").withColumn(
+    one = left.join(pairs, "id1").join(right, ["file", "block", "id2"], "left")
+    lone = right.join(pairs, "id2").join(left, ["file", "block", "id1"], "left_anti").withColumn(
         "c1", F.lit(None).cast("array<string>"))
     cols = ["file", "block", "id1", "id2", "c1", "c2"]
     both = one.select(*cols).unionByName(lone.select(*cols)).join(sizes, ["file", "block"])
@@ -106,6 +104,18 @@ def pairwise(blocks: DataFrame) -> DataFrame:
     return _joined(both.withColumn("part", ops), ["id1", "id2"], "part", "opseq")
 
 
+def _upto(df, keys, value, out):
+    """Sum of a value over the blocks before each row, per key: running sums inside
+    each file, shifted by the totals of the files before it."""
+    inside = Window.partitionBy(*keys, "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "file").agg(F.sum(value).alias("_total"))
+    files = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    ahead = F.sum("_total").over(files.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+    shifts = totals.withColumn("_shift", F.coalesce(ahead, F.lit(0))).drop("_total")
+    return df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(
+        shifts, [*keys, "file"]).withColumn(out, F.col("_in") + F.col("_shift")).drop("_in", "_shift")
+
+
 def exact_seeds(blocks: DataFrame, wordlen: int, ids=None) -> DataFrame:
     """Columns at which ``wordlen`` consecutive columns are equal in all rows:
     ``(col, positions)`` with the number of letters each id has seen up to and
@@ -119,13 +129,10 @@ def exact_seeds(blocks: DataFrame, wordlen: int, ids=None) -> DataFrame:
         blocks = blocks.where(F.col("id").isin(*ids))
     blocks = cut_lineage(blocks.withColumn("aligned", F.upper("aligned")), "blocks")
     n_ids = blocks.select("id").distinct().count()
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    shape = blocks.groupBy("file", "block").agg(F.max(F.length("aligned")).alias("n"))
-    shape = shape.withColumn("first_col", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    shape = _upto(blocks.groupBy("file", "block").agg(F.max(F.length("aligned")).alias("n")), [], "n", "first_col")
     total = shape.agg(F.sum("n")).first()[0] or 0
-    bases = blocks.select("file", "block", "id", F.length(F.replace("aligned", F.lit("-"), F.lit(""))).alias("k"))
-    seen = Window.partitionBy("id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = bases.withColumn("base", F.coalesce(F.sum("k").over(seen), F.lit(0))).drop("k")
+    bases = _upto(blocks.select("file", "block", "id", F.length(F.replace("aligned", F.lit("-"), F.lit(""))).alias("k")),
+                  ["id"], "k", "base").drop("k")
     cells = (blocks.join(shape.drop("n"), ["file", "block"]).join(bases, ["file", "block", "id"])
              .select("file", "block", "id", "first_col", "base", F.posexplode(
                  F.regexp_extract_all("aligned", F.lit("(.)"), F.lit(1))).alias("k", "letter")))
