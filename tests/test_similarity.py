@@ -160,12 +160,14 @@ def test_overlap_band(spark):
 
 
 def test_run_histogram_in_low_complexity(spark):
-    reads = seqs(spark, "A" * 40 + "CG" * 10, "T" + "A" * 25 + "CGCG" + "A" * 9, "A" * 12)
-    runs = O.diagonal_histogram_within(reads, DNA, 5).collect()
-    seeds = O.diagonal_histogram(S.seeds_within(reads, DNA, 5)).collect()
+    reads = seqs(spark, "A" * 40 + "CG" * 10, "T" + "A" * 25 + "CGCG" + "A" * 9, "A" * 12, "CGT" * 12 + "CG" * 12,
+                 "CGCGCGTCGTCGT" * 4 + "CGT" * 6, "ACGCG" * 8)
     def key(r):
         return r.s_id, r.t_id, r.d, r.n, tuple(r.first)
-    assert sorted(map(key, runs)) == sorted(map(key, seeds))
+    for w in (3, 5):
+        runs = O.diagonal_histogram_within(reads, DNA, w).collect()
+        seeds = O.diagonal_histogram(S.seeds_within(reads, DNA, w)).collect()
+        assert sorted(map(key, runs)) == sorted(map(key, seeds))
 
 
 def test_groups_find_the_shared_part(spark):
