@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 STRIPE = 1 << 16
 
 
-def _merge(df, part, keys):
-    """Merges neighbouring intervals ``(first_l, r, radius)`` along ``first_l``."""
+def _merge(df, part):
+    """Merges neighbouring intervals ``(l, r, radius)`` along ``l``."""
     w = Window.partitionBy(*part).orderBy("l")
     fresh = F.coalesce(F.col("l") >= F.lag("r").over(w) + F.col("radius"), F.lit(True))
     marked = df.withColumn("_new", fresh.cast("int")).withColumn("_peak", F.sum("_new").over(w))
@@ -35,5 +35,5 @@ def find_peaks(series: DataFrame, threshold, radius, keys=("seq_id",), idx="idx"
         F.least(F.col(idx) + 1, F.col(length) - 1).alias("r"), radius.alias("radius"), F.col(idx).alias("_i"))
     # Two positions may share a left end at the very start of a series.
     hot = hot.groupBy(*keys, "stripe", "l").agg(F.max("r").alias("r"), F.min_by("radius", "_i").alias("radius"))
-    local = _merge(hot, [*keys, "stripe"], keys)
-    return _merge(local, keys, keys).select(*keys, F.col("l").alias("left"), F.col("r").alias("right"))
+    local = _merge(hot, [*keys, "stripe"])
+    return _merge(local, keys).select(*keys, F.col("l").alias("left"), F.col("r").alias("right"))

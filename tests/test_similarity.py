@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerweave import DNA
 from kmerweave.functions import stats
-from kmerweave.operators import multi as M, neighbors as N, overlap as O, seeds as S, segments as G
+from kmerweave.operators import multi as M, overlap as O, seeds as S, segments as G
 from kmerweave.operators.components import connected_components
 from kmerweave.operators.peaks import find_peaks
 from kmerweave.plans import similarity, variants
