@@ -18,7 +18,7 @@ from kmerweave.operators.lineage import cut_lineage
 BATCH_EDGES = 1 << 20
 
 
-def _stars(u, v):
+def spanning_stars(u, v):
     """Star forest (node, smallest node) with the connectivity of the edges."""
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     x, y = ends[:len(u)], ends[len(u):]
@@ -43,7 +43,7 @@ def _contract(batches):
     held = []
 
     def merged():
-        return _stars(*(np.concatenate(side) for side in zip(*held)))
+        return spanning_stars(*(np.concatenate(side) for side in zip(*held)))
 
     def emit(u, v):
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
