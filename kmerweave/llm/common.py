@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kmerweave.operators.lineage import cut_lineage, scratch_path  # noqa: F401  (re-exported for the operators)
@@ -40,3 +43,16 @@ def one_row_per_id(docs: DataFrame, id_col: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def shuffles_end_with_jobs(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query ends, not when the driver happens to collect its garbage.
+    For chains of jobs whose results are written tables, so that nothing reads an earlier job's shuffle again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerweave.llm import simhash
+from kmerweave.llm import simhash, substrings
 from kmerweave.llm.common import table
 
 
@@ -13,5 +13,10 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+def op3_substrings(spark, sf_dir):
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_substrings)}
 SQL: dict[str, str] = {}
