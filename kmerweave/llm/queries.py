@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerweave.llm import simhash, substrings
+from kmerweave.llm import quality, simhash, substrings
 from kmerweave.llm.common import table
 
 
@@ -13,10 +13,17 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark, sf_dir):
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        failed.alias("base_failed"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")
+
+
 def op3_substrings(spark, sf_dir):
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_substrings)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings)}
 SQL: dict[str, str] = {}
