@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerweave.llm import quality, simhash, substrings
+from kmerweave.llm import quality, simhash, substrings, toxicity
 from kmerweave.llm.common import table
 
 
@@ -25,5 +25,13 @@ def op3_substrings(spark, sf_dir):
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings)}
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op7_toxicity)}
 SQL: dict[str, str] = {}
