@@ -109,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         at = np.flatnonzero(weights)
         return pd.DataFrame({"at": at, "value": weights[at]})
 
-    learned = _sampled(docs, labels, id_col, text_col).groupBy(F.lit(0)).applyInPandas(fit, "at int, value double")
+    sampled = _sampled(docs, labels, id_col, text_col).withColumn("model", F.lit(0))
+    learned = sampled.groupBy("model").applyInPandas(fit, "at int, value double")
     weights = learned.orderBy("at").toArrow()  # at most one row a feature
     at, value = weights.column("at").to_numpy(), weights.column("value").to_numpy()
     bias = at == 1 << FEATURE_BITS
