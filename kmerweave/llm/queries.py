@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kmerweave.llm import quality, simhash, substrings, toxicity
+from kmerweave.llm import mixing, quality, simhash, substrings, toxicity
 from kmerweave.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_substrings(spark, sf_dir):
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
+def op6_mixing(spark, sf_dir):
+    mixed = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -33,5 +38,5 @@ def op7_toxicity(spark, sf_dir):
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op7_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op6_mixing, op7_toxicity)}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
