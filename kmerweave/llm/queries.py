@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from kmerweave.llm import mixing, quality, simhash, substrings, toxicity
+from kmerweave.llm import byte_bpe, mixing, quality, simhash, substrings, toxicity
 from kmerweave.llm.common import table
 
 
@@ -38,5 +39,15 @@ def op7_toxicity(spark, sf_dir):
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op6_mixing, op7_toxicity)}
+def op8_byte_bpe(spark, sf_dir):
+    ranks = byte_bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, ranks)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(byte_bpe.as_bytes("ids"), 256).alias("ids_sha256"),
+                          F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op6_mixing, op7_toxicity,
+                                  op8_byte_bpe)}
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
