@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kmerweave.llm import byte_bpe, mixing, quality, simhash, substrings, toxicity
+from kmerweave.llm import byte_bpe, mixing, quality, simhash, substrings, token_files, toxicity
 from kmerweave.llm.common import table
 
 
@@ -26,6 +26,13 @@ def op3_substrings(spark, sf_dir):
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
+def op4_token_files(spark, sf_dir):
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        read = token_files.round_trip(table(spark, sf_dir, "documents"), file.read())
+    return read.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"),
+                       F.crc32(byte_bpe.as_bytes("ids")).alias("ids_crc32"))
+
+
 def op6_mixing(spark, sf_dir):
     mixed = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -48,6 +55,6 @@ def op8_byte_bpe(spark, sf_dir):
                           F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op6_mixing, op7_toxicity,
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op4_token_files, op6_mixing, op7_toxicity,
                                   op8_byte_bpe)}
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
