@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from kmerweave.llm import distinct
 from kmerweave.llm.common import texts_of
@@ -77,7 +78,7 @@ def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="
     """``encoded`` with the bytes of all its tokens as ``out_col``. An id that the table lacks is an error."""
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in table.items()})
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf(BinaryType())
     def joined(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = shared.value.__getitem__
         for column in columns:
@@ -88,7 +89,7 @@ def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="
     return encoded.withColumn(out_col, joined(F.col(ids_col)))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def as_bytes(ids: pa.Array) -> pa.Array:
     """Ids as little-endian unsigned 32-bit integers, one after another."""
     flat, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()

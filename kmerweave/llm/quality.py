@@ -14,6 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kmerweave.llm.common import cut_lineage, texts_of
 
@@ -65,7 +66,7 @@ def measure(text: bytes) -> tuple[int, ...]:
             sum(map(STOP_WORDS.__contains__, [w.rstrip(_EDGES) for w in lowered])), len(set(words)))
 
 
-@F.arrow_udf(", ".join(f"{m} bigint" for m in MEASURES))
+@F.arrow_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
 def _measured(text: pa.Array) -> pa.Array:
     rows = [measure(t) for t in text.to_pylist()]
     columns = zip(*rows) if rows else [[] for _ in MEASURES]

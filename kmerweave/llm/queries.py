@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kmerweave.llm import byte_bpe, mixing, quality, simhash, substrings, token_files, toxicity
+from kmerweave.llm import byte_bpe, mixing, quality, simhash, substrings, token_files, toxicity, url_filter
 from kmerweave.llm.common import table
 
 
@@ -55,6 +55,16 @@ def op8_byte_bpe(spark, sf_dir):
                           F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+def op10_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select(
+        "page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op4_token_files, op6_mixing, op7_toxicity,
-                                  op8_byte_bpe)}
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+                                  op8_byte_bpe, op10_url_filter)}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES)}

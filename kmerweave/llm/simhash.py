@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from kmerweave.llm.common import cut_lineage, fresh, one_row_per_id, texts_of
 from kmerweave.operators.components import connected_components, spanning_stars
@@ -48,7 +49,7 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(bits, axis=1, bitorder="little").ravel().view("<i8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype="int64")
 

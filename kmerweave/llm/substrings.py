@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kmerweave.llm.common import cut_lineage, fresh, shuffles_end_with_jobs
 from kmerweave.llm.hashing import Runs, mix, together, word_hashes
@@ -103,7 +104,8 @@ def _checked(text: bytes, spans: list[dict]):
     return runs, start[same], edges[same], anchor[same]
 
 
-@F.arrow_udf("n_words bigint, n_removed bigint, kept binary")
+@F.arrow_udf(StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()),
+                         StructField("kept", BinaryType())]))
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     """Takes the words of the listed spans out of each text."""
     total, gone, kept = [], [], []

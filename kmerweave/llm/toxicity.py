@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from kmerweave.llm.common import texts_of
 from kmerweave.llm.hashing import mix, together, word_hashes
@@ -122,7 +123,7 @@ def score(docs: DataFrame, model: Weights, text_col="text", out_col="score") ->
     has the bias alone."""
     at, value, bias = model.at, model.value, model.bias
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = Weights(at, value, bias).dense()
         for column in columns:
