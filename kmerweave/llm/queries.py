@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kmerweave.llm import byte_bpe, mixing, quality, simhash, substrings, token_files, toxicity, url_filter
+from kmerweave.llm import byte_bpe, mixing, neighbours, quality, simhash, substrings, token_files, toxicity, url_filter
 from kmerweave.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_token_files(spark, sf_dir):
                        F.crc32(byte_bpe.as_bytes("ids")).alias("ids_crc32"))
 
 
+def op5_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mixing(spark, sf_dir):
     mixed = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -65,6 +69,7 @@ def op10_url_filter(spark, sf_dir):
         "page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_substrings, op4_token_files, op6_mixing, op7_toxicity,
-                                  op8_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_quality, op3_substrings, op4_token_files, op5_neighbours, op6_mixing, op7_toxicity, op8_byte_bpe,
+    op10_url_filter)}
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES)}
