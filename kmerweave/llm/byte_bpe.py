@@ -21,35 +21,43 @@ from pyspark.sql.types import BinaryType
 from kmerweave.llm import distinct
 from kmerweave.llm.common import texts_of
 
-_GAP_BEFORE_SPACE, _SAFE_CUT = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+#: White space outside ASCII, as UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
-def segments(text: str) -> list[str]:
+class Segments(distinct.Words):
     """Cuts a text before each space that follows something else than white space. No pre-token reaches over such a
     cut, and what a segment splits into depends on it alone."""
-    parts = (_SAFE_CUT.split(text) if _GAP_BEFORE_SPACE.search(text) else text.split(" "))
-    return [parts[0], *[" " + p for p in parts[1:]]]
 
-
-class _Segments(dict):
-    def __init__(self, numbering: PreTokens):
-        self.numbering = numbering
-
-    def __missing__(self, segment: str) -> bytes:
-        n = self.numbering
-        self[segment] = found = np.array([n[w] for w in n.pattern.findall(segment)], "<u4").tobytes()
-        return found
-
-
-class PreTokens(distinct.Numbering):
-    """Numbers pre-tokens; a segment that came before is not split again."""
-
-    def __init__(self, pattern: str):
-        self.pattern, self.known = regex.compile(pattern), _Segments(self)
-
-    def read(self, text: bytes) -> np.ndarray:
-        found = b"".join(map(self.known.__getitem__, segments(text.decode()))) if text else b""
-        return np.frombuffer(found, "<u4").astype(np.int64)
+    def spans(self, texts):
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
+        solid = (data > 32) & (data != 127)
+        if _WIDE_SPACE.search(whole):
+            solid &= data < 128
+        bounds = np.cumsum([0] + [len(t) for t in texts])
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (data[1:] == 32) & solid[:-1]
+        cut[bounds] = True
+        edges = np.flatnonzero(cut)
+        return whole, edges[:-1], edges[1:], np.searchsorted(edges[:-1], bounds)
+
+
+class PreTokens(Segments):
+    """Segments split by a pre-token pattern. With ``plain`` that is known to leave a run of letters after at most one
+    space whole, and to cut one full stop or comma after it off, as GPT-2's pattern does; the rest is left to it."""
+
+    def __init__(self, pattern: str, plain=True):
+        self.pattern, self.plain = regex.compile(pattern), plain
+
+    def parts(self, word):
+        text = word.decode()
+        body = text[1:] if text[0] == " " else text
+        if self.plain and body.isalpha():
+            return None
+        if self.plain and body[-1:] in (",", ".") and body[:-1].isalpha():
+            return [word[:-1], word[-1:]]
+        return [w.encode() for w in self.pattern.findall(text)]
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -71,7 +79,7 @@ def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_i
         tokenizer = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
         return lambda words: [tokenizer.encode_ordinary(w.decode()) for w in words]
 
-    return distinct.encoded(texts_of(docs, id_col, text_col), lambda: PreTokens(pattern), encoder)
+    return distinct.encoded(texts_of(docs, id_col, text_col), PreTokens(pattern), encoder)
 
 
 def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="bytes") -> DataFrame:
@@ -82,9 +90,9 @@ def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="
     def joined(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = shared.value.__getitem__
         for column in columns:
-            flat = list(map(token, column.flatten().to_pylist()))
-            ends = np.cumsum(np.diff(column.offsets.to_numpy())).tolist()
-            yield pa.array([b"".join(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
+            flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+            yield pa.array([b"".join(map(token, flat[a:b].tolist()))
+                            for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])], pa.binary())
 
     return encoded.withColumn(out_col, joined(F.col(ids_col)))
 

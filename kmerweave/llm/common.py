@@ -25,8 +25,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def batch_texts(spark: SparkSession) -> None:
+    """Texts are long rows: Arrow batches of the default 10,000 rows would hold tens of megabytes several times over in
+    each task. The setting stays, as a result is computed after its operator has returned; another value is respected."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, "1000")
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only what text operators read: ``(doc_id, text)`` with the text as UTF-8 bytes, null as empty."""
+    batch_texts(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"),
                        F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
 
@@ -41,6 +50,11 @@ def one_row_per_id(docs: DataFrame, id_col: str) -> DataFrame:
     return first.unionByName(docs.where(docs[id_col].isNull()))
 
 
+def bucket_of(id_col: str, of: int):
+    """The remainder of the checksum of an id as text; -1 for null."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of, F.lit(-1))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,8 +20,10 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-#: A chunk ends with the document that brings it to so many words or bytes.
-CHUNK_WORDS, CHUNK_BYTES = 1 << 22, 1 << 25
+from kmerweave.llm.hashing import span_hashes, together, word_spans
+
+#: A chunk ends with the document that brings it to so many bytes.
+CHUNK_BYTES = 1 << 23
 #: Documents of about so many words travel in one row.
 ROW_WORDS = 1 << 17
 
@@ -45,58 +47,88 @@ def unpack_bytes(lengths: bytes, data: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
-class Numbering(dict):
-    """Numbers of a chunk's words, in order of appearance."""
+class Words:
+    """How texts are read: as words between white space. Others override what differs."""
 
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
+    def spans(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``hashing.word_spans``."""
+        return word_spans(texts)
 
-    def read(self, text: bytes) -> np.ndarray:
-        raise NotImplementedError
+    def parts(self, word: bytes) -> list[bytes] | None:
+        """What a word consists of, if not of itself alone."""
+        return None
 
 
 class _Chunk:
-    """Documents of one chunk with their words' numbers by frequency."""
-
-    def __init__(self, ids: list, texts: list[bytes], numbering: Numbering, read: list[np.ndarray]):
-        self.ids = ids
-        key = xxhash.xxh64(repr(ids).encode())
-        for text in texts:
-            key.update(text)
+    """Documents of one chunk, its distinct words by falling frequency, and the number of the word at each position."""
+
+    def __init__(self, ids: list, texts: list[bytes], counted: list[bool], reader: Words):
+        self.ids, key = ids, xxhash.xxh64(repr(ids).encode())
+        pieces, hashes, sizes = [], [], []
+        for _, some in together((None, t) for t in texts):
+            data, starts, ends, first = reader.spans(some)
+            key.update(data)
+            pieces.append((data, starts, ends))
+            hashes.append(span_hashes(data, starts, ends))
+            sizes.append(np.diff(first))
         self.key = key.intdigest() - (1 << 63)
-        self.lengths = np.array([len(r) for r in read])
-        flat = np.concatenate(read) if read else np.zeros(0, np.int64)
-        order = np.argsort(-np.bincount(flat, minlength=len(numbering)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        _, at, numbers = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        until = np.cumsum([0] + [len(h) for h in hashes])
+        words = [b""] * len(at)
+        piece = np.searchsorted(until, at, side="right") - 1
+        for p, (data, starts, ends) in enumerate(pieces):
+            mine = np.flatnonzero(piece == p)
+            spots = at[mine] - until[p]
+            for k, a, b in zip(mine.tolist(), starts[spots].tolist(), ends[spots].tolist()):
+                words[k] = data[a:b]
+        self.words, self.numbers, self.sizes = words, numbers, np.concatenate(sizes)
+        self._split(reader)
+        counts = np.bincount(self.numbers, minlength=len(self.words))
+        weights = np.repeat(np.array(counted, np.int64), self.sizes)
+        self.counts = counts if all(counted) else np.bincount(
+            self.numbers, weights, minlength=len(self.words)).astype(np.int64)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        self.numbers = rank[flat]
-        self.words, self.order = list(numbering), order
-
-
-def _chunks(batches: Iterable[pa.RecordBatch], make: Callable[[], Numbering]) -> Iterator[_Chunk]:
-    ids, texts, read, numbering, words, size = [], [], [], make(), 0, 0
+        self.words, self.counts = [self.words[k] for k in order.tolist()], self.counts[order]
+        self.numbers = rank[self.numbers]
+
+    def _split(self, reader: Words):
+        """Replaces words by their parts."""
+        parts = [reader.parts(w) for w in self.words]
+        if all(p is None for p in parts):
+            return
+        number: dict[bytes, int] = {}
+        flat = [number.setdefault(x, len(number)) for w, p in zip(self.words, parts) for x in (p or (w,))]
+        lengths = np.array([len(p) if p else 1 for p in parts])
+        taken = lengths[self.numbers]
+        until = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], np.cumsum(self.sizes)])]
+        self.numbers = gather(np.cumsum(lengths) - lengths, lengths, np.array(flat), self.numbers)
+        self.words, self.sizes = list(number), np.diff(until)
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], reader: Words) -> Iterator[_Chunk]:
+    ids, texts, counted, size = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        counts = batch.column("counted").to_pylist() if "counted" in batch.schema.names else [True] * batch.num_rows
+        for doc_id, text, count in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), counts):
             ids.append(doc_id)
             texts.append(text)
-            read.append(numbering.read(text))
-            words, size = words + len(read[-1]), size + len(text)
-            if words >= CHUNK_WORDS or size >= CHUNK_BYTES:
-                yield _Chunk(ids, texts, numbering, read)
-                ids, texts, read, numbering, words, size = [], [], [], make(), 0, 0
+            counted.append(count)
+            size += len(text)
+            if size >= CHUNK_BYTES:
+                yield _Chunk(ids, texts, counted, reader)
+                ids, texts, counted, size = [], [], [], 0
     if ids:
-        yield _Chunk(ids, texts, numbering, read)
+        yield _Chunk(ids, texts, counted, reader)
 
 
-def word_rows(texts: DataFrame, make: Callable[[], Numbering], buckets: int) -> DataFrame:
+def word_rows(texts: DataFrame, reader: Words, buckets: int) -> DataFrame:
     """``(bucket, chunk, steps, counts, lengths, words)``: of each chunk and bucket of words, the words, the steps
-    between their numbers and how often the chunk has them."""
+    between their numbers and how often the chunk has them, in documents that are ``counted`` if there is that column."""
     def rows(batches):
-        for chunk in _chunks(batches, make):
-            counts = np.bincount(chunk.numbers, minlength=len(chunk.words))
-            words = [chunk.words[k] for k in chunk.order.tolist()]
-            words = [w.encode() if isinstance(w, str) else w for w in words]
+        for chunk in _chunks(batches, reader):
+            words = chunk.words
             bucket = np.array([xxhash.xxh64_intdigest(w) % buckets for w in words], np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
@@ -104,26 +136,26 @@ def word_rows(texts: DataFrame, make: Callable[[], Numbering], buckets: int) ->
                 lengths, data = pack_bytes([words[k] for k in numbers.tolist()])
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([bucket[numbers[0]]], pa.int32()), "chunk": [chunk.key],
-                    "steps": [pack(np.diff(numbers, prepend=0))], "counts": [pack(counts[numbers])],
+                    "steps": [pack(np.diff(numbers, prepend=0))], "counts": [pack(chunk.counts[numbers])],
                     "lengths": [lengths], "words": [data]})
 
     return texts.mapInArrow(
         rows, "bucket int, chunk bigint, steps binary, counts binary, lengths binary, words binary")
 
 
-def document_rows(texts: DataFrame, make: Callable[[], Numbering]) -> DataFrame:
+def document_rows(texts: DataFrame, reader: Words) -> DataFrame:
     """``(chunk, ids, sizes, numbers)``: of some documents of a chunk the ids, how many words each has, and these
     words' numbers."""
     def rows(batches):
-        for chunk in _chunks(batches, make):
-            ends = np.cumsum(chunk.lengths)
+        for chunk in _chunks(batches, reader):
+            ends = np.cumsum(chunk.sizes)
             part = ends // ROW_WORDS
             first = np.flatnonzero(np.diff(part, prepend=-1))
             for a, b in zip(first, [*first[1:], len(ends)]):
                 start = ends[a - 1] if a else 0
                 yield pa.RecordBatch.from_pydict({
                     "chunk": [chunk.key], "ids": pa.array([chunk.ids[a:b]], pa.list_(pa.int64())),
-                    "sizes": [pack(chunk.lengths[a:b])], "numbers": [pack(chunk.numbers[start:ends[b - 1]])]})
+                    "sizes": [pack(chunk.sizes[a:b])], "numbers": [pack(chunk.numbers[start:ends[b - 1]])]})
 
     return texts.mapInArrow(rows, "chunk bigint, ids array<bigint>, sizes binary, numbers binary")
 
@@ -183,7 +215,7 @@ def ids_by_chunk(words: DataFrame, encoder: Callable[[], Callable[[list[bytes]],
     return dealt_by_word(asked).mapInArrow(encode, "chunk bigint, steps binary, lengths binary, ids binary")
 
 
-def encoded(texts: DataFrame, make: Callable[[], Numbering], encoder) -> DataFrame:
+def encoded(texts: DataFrame, reader: Words, encoder) -> DataFrame:
     """``(doc_id, ids)`` of ``texts (doc_id, text)``: the token ids of all words, by position."""
     def build(found: pa.Table):
         rows = found.to_pylist()
@@ -202,5 +234,5 @@ def encoded(texts: DataFrame, make: Callable[[], Numbering], encoder) -> DataFra
 
         return make_batch
 
-    words = ids_by_chunk(word_rows(texts, make, buckets_of(texts)), encoder)
-    return reassemble(document_rows(texts, make), words, build, "doc_id bigint, ids array<int>")
+    words = ids_by_chunk(word_rows(texts, reader, buckets_of(texts)), encoder)
+    return reassemble(document_rows(texts, reader), words, build, "doc_id bigint, ids array<int>")

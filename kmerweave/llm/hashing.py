@@ -20,7 +20,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 TOGETHER = 1 << 20
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(size, _BASE), np.full(size, _INVERSE)
@@ -54,16 +54,27 @@ class Runs:
             return mix(value + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and each text's first word's index (one more entry: the end)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts put together, where each word starts and ends there, and each text's first word (one more entry: the
+    number of words)."""
+    whole = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(whole, np.uint8)
     space = _SPACE[data]
     inside = np.concatenate([[True], space])
     starts = np.flatnonzero(inside[:-1] & ~space)
     ends = np.flatnonzero(~inside[1:-1] & space[1:]) + 1
-    runs = Runs(_LETTERS[data])
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return runs.hash(starts, ends), np.searchsorted(starts, bounds)
+    return whole, starts, ends, np.searchsorted(starts, bounds)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Runs(_LETTERS[np.frombuffer(data, np.uint8)]).hash(starts, ends)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and each text's first word's index (one more entry: the end)."""
+    data, starts, ends, first = word_spans(texts)
+    return span_hashes(data, starts, ends), first
 
 
 def together(rows: Iterable[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kmerweave.llm import byte_bpe, mixing, neighbours, quality, simhash, substrings, token_files, toxicity, url_filter
-from kmerweave.llm.common import table
+from kmerweave.llm import byte_bpe, lm_score, mixing, neighbours, quality, simhash, substrings, token_files, toxicity, url_filter
+from kmerweave.llm.common import bucket_of, table
 
 
 def op1_simhash(spark, sf_dir):
@@ -59,6 +59,12 @@ def op8_byte_bpe(spark, sf_dir):
                           F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op9_lm_score(spark, sf_dir):
+    held_out = bucket_of("doc_id", 7) == 2
+    found = lm_score.scores(table(spark, sf_dir, "documents"), held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
              ("block", "com/de/")]
 
@@ -71,5 +77,5 @@ def op10_url_filter(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_substrings, op4_token_files, op5_neighbours, op6_mixing, op7_toxicity, op8_byte_bpe,
-    op10_url_filter)}
+    op9_lm_score, op10_url_filter)}
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES)}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from kmerweave.llm.common import cut_lineage, fresh, shuffles_end_with_jobs
+from kmerweave.llm.common import batch_texts, cut_lineage, fresh, shuffles_end_with_jobs
 from kmerweave.llm.hashing import Runs, mix, together, word_hashes
 
 WINDOW, ANCHOR = 20, 10
@@ -33,6 +33,7 @@ _PATHS = "anchor bigint, path bigint, doc bigint, start int, edges int"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    batch_texts(docs.sparkSession)
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"),
                        F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
 

@@ -1,7 +1,7 @@
 """Token ids in Arrow files with fixed-size lists: random access to sequences of equal length, without a copy.
 
-A file holds record batches of ``SEQUENCES`` rows. A row is one sequence: ``ids``, ``LENGTH`` unsigned 32-bit integers;
-``mask``, ``LENGTH`` bytes that are 1 for a token, 2 for the last token of a document and 0 for padding; and ``doc_ids``,
+A file holds record batches of ``SEQUENCES`` rows. A row is one sequence: ``ids``, ``LENGTH`` unsigned integers of 16 bits
+or, where the vocabulary asks for it, 32; ``mask``, ``LENGTH`` bytes that are 1 for a token, 2 for the last token of a document and 0 for padding; and ``doc_ids``,
 the ids of the documents that end in it. Row ``n`` of a file is in batch ``n // SEQUENCES``, at a fixed offset.
 
 Documents are range-sorted by id over the tasks. Each task writes one file under a name of its own and lists it once it
@@ -11,32 +11,31 @@ sequence; only a file's last sequence has padding.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType
 from tokenizers import Tokenizer
 
 from kmerweave.llm import distinct
-from kmerweave.llm.byte_bpe import segments
-from kmerweave.llm.common import cut_lineage, scratch_path, texts_of
+from kmerweave.llm.byte_bpe import Segments
+from kmerweave.llm.common import cut_lineage, scratch_path, shuffles_end_with_jobs, texts_of
 
 LENGTH, SEQUENCES = 1024, 256
 END = 0
 TOKEN, LAST, PADDING = 1, 2, 0
 
-SCHEMA = pa.schema([("ids", pa.list_(pa.uint32(), LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH)),
-                    ("doc_ids", pa.list_(pa.int64()))])
 
-
-class _Segments(distinct.Numbering):
-    """Numbers a text's segments, which encode independently of each other."""
-
-    def read(self, text: bytes) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, segments(text.decode()))) if text else [], np.int64)
+def schema(vocabulary: int) -> pa.Schema:
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH)),
+                      ("doc_ids", pa.list_(pa.int64()))])
 
 
 def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="text") -> DataFrame:
@@ -45,15 +44,18 @@ def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="t
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encoder():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True
 
         def encode(words):
-            return [found.ids for word in words for found in [tokenizer.encode(word.decode(), add_special_tokens=False)]]
+            for at in range(0, len(words), 4096):
+                some = [w.decode() for w in words[at:at + 4096]]
+                yield from (found.ids for found in tokenizer.encode_batch_fast(some, add_special_tokens=False))
 
         return encode
 
-    return distinct.encoded(texts_of(docs, id_col, text_col), _Segments, encoder)
+    return distinct.encoded(texts_of(docs, id_col, text_col), Segments(), encoder)
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -63,13 +65,14 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 class _Writer:
     """Fills sequences and writes them batch by batch; holds one batch."""
 
-    def __init__(self, out):
-        self.file = pa.ipc.new_file(out, SCHEMA)
+    def __init__(self, out, layout: pa.Schema):
+        self.layout = layout
+        self.file = pa.ipc.new_file(out, layout)
         self.room = LENGTH * SEQUENCES
         self.start()
 
     def start(self):
-        self.ids, self.mask = np.zeros(self.room, np.uint32), np.full(self.room, PADDING, np.uint8)
+        self.ids, self.mask = np.zeros(self.room, self.layout.field("ids").type.value_type.to_pandas_dtype()), np.full(self.room, PADDING, np.uint8)
         self.ended, self.used = [], 0
 
     def add(self, doc_id, tokens: np.ndarray):
@@ -92,7 +95,7 @@ class _Writer:
             offsets = np.searchsorted(ends, np.arange(rows + 1))
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[:rows * LENGTH]), LENGTH) for x in (self.ids, self.mask)]
             names = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([d for _, d in self.ended], pa.int64()))
-            self.file.write_batch(pa.RecordBatch.from_arrays([*columns, names], schema=SCHEMA))
+            self.file.write_batch(pa.RecordBatch.from_arrays([*columns, names], schema=self.layout))
         self.start()
 
     def close(self):
@@ -100,33 +103,40 @@ class _Writer:
         self.file.close()
 
 
-def write(encoded: DataFrame, folder: str) -> DataFrame:
+@F.arrow_udf(BinaryType())
+def _packed(ids: pa.Array) -> pa.Array:
+    flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    return pa.array([distinct.pack(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+
+
+def write(encoded: DataFrame, folder: str, vocabulary: int) -> DataFrame:
     """Writes ``encoded (doc_id, ids)`` in ascending order of ids, each document with the id ``END`` after it, and
     returns the list of files ``(part, path, n_tokens)``; ``part`` is a file's place in the order. Rows without id come
-    first. ``folder`` is a path or address that all executors can write to."""
+    first. ``folder`` is a path or address that all executors can write to; ids are below ``vocabulary``."""
+    layout = schema(vocabulary)
+
     def files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         part, writer, total = TaskContext.get().partitionId(), None, 0
         system, root = _store(folder)
         path = f"{root}/{part:06d}-{uuid.uuid4().hex}.arrow"
-        out = None
         for batch in batches:
-            ids = batch.column("ids")
-            flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(path)
-                    writer = _Writer(out)
-                writer.add(doc_id, np.append(flat[a:b], END))
-                total += int(b - a) + 1
+                    writer = _Writer(out, layout)
+                tokens = np.append(distinct.unpack(ids), END)
+                writer.add(doc_id, tokens)
+                total += len(tokens)
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_tokens": [total]})
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return cut_lineage(ordered.mapInArrow(files, "part int, path string, n_tokens bigint"), "token-files")
+    with shuffles_end_with_jobs(encoded.sparkSession):
+        packed = cut_lineage(encoded.select("doc_id", _packed("ids").alias("ids")), "token-ids")
+        ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+        return cut_lineage(ordered.mapInArrow(files, "part int, path string, n_tokens bigint"), "token-files")
 
 
 def read_sequences(folder: str, path: str) -> pa.RecordBatchFileReader:
@@ -175,4 +185,5 @@ def round_trip(docs: DataFrame, tokenizer_json: str, folder: str | None = None,
     """Encodes ``docs``, writes the files (to a new folder beside the checkpoints, unless given) and reads them back:
     ``(doc_id, start, ids)`` of every row, repeated rows included. A null or empty text has the end alone."""
     folder = folder or scratch_path(docs.sparkSession, "tokens")
-    return documents(write(tokenized(docs, tokenizer_json, id_col, text_col), folder), folder)
+    vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab_size()
+    return documents(write(tokenized(docs, tokenizer_json, id_col, text_col), folder, vocabulary), folder)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from kmerweave.llm.common import texts_of
+from kmerweave.llm.common import batch_texts, bucket_of, texts_of
 from kmerweave.llm.hashing import mix, together, word_hashes
 
 #: Hashed features; the weights have one more entry, the bias.
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
 def score(docs: DataFrame, model: Weights, text_col="text", out_col="score") -> DataFrame:
     """``docs`` with ``out_col``, the probability of label 1, in place of a column of that name. An empty or null text
     has the bias alone."""
+    batch_texts(docs.sparkSession)
     at, value, bias = model.at, model.value, model.bias
 
     @F.arrow_udf(DoubleType())
@@ -146,4 +147,4 @@ def learnable(labels: DataFrame, held_out_of=5) -> DataFrame:
 
 
 def held_out(id_col: str, of=5):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == 0, F.lit(False))
+    return bucket_of(id_col, of) == 0
