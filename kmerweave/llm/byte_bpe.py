@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,8 @@ class PreTokens(Segments):
     """Segments split by a pre-token pattern. With ``plain`` that is known to leave a run of letters after at most one
     space whole, and to cut one full stop or comma after it off, as GPT-2's pattern does; the rest is left to it."""
 
+    splits = True
+
     def __init__(self, pattern: str, plain=True):
         self.pattern, self.plain = regex.compile(pattern), plain
 
@@ -66,8 +67,8 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
-    """``(doc_id, ids)`` of every row of ``docs``; a null or empty text has no ids. Special tokens' strings are
+def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_id", text_col="text", form="array") -> DataFrame:
+    """``(doc_id, ids)`` of every row of ``docs``, ids in a ``form`` of ``distinct.encoded``; a null or empty text has none. Special tokens' strings are
     ordinary text. Rows without id and repeated rows are encoded like any other.
 
     ``table`` holds the token bytes and is of fixed size; it travels with the tasks. ``docs`` must come in the same
@@ -79,26 +80,19 @@ def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_i
         tokenizer = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
         return lambda words: [tokenizer.encode_ordinary(w.decode()) for w in words]
 
-    return distinct.encoded(texts_of(docs, id_col, text_col), PreTokens(pattern), encoder)
+    return distinct.encoded(texts_of(docs, id_col, text_col), PreTokens(pattern), encoder, form)
 
 
 def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="bytes") -> DataFrame:
-    """``encoded`` with the bytes of all its tokens as ``out_col``. An id that the table lacks is an error."""
+    """``encoded`` with the bytes of all its tokens as ``out_col``; ids are an array or, as ``bytes``, little-endian
+    unsigned 32-bit integers. An id that the table lacks is an error."""
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in table.items()})
+    binary = isinstance(encoded.schema[ids_col].dataType, BinaryType)
 
     @F.arrow_udf(BinaryType())
-    def joined(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def joined(ids: pa.Array) -> pa.Array:
         token = shared.value.__getitem__
-        for column in columns:
-            flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
-            yield pa.array([b"".join(map(token, flat[a:b].tolist()))
-                            for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])], pa.binary())
+        lists = (np.frombuffer(x.as_buffer(), "<u4").tolist() if binary else x.as_py() for x in ids)
+        return pa.array([b"".join(map(token, x)) for x in lists], pa.binary())
 
     return encoded.withColumn(out_col, joined(F.col(ids_col)))
-
-
-@F.arrow_udf(BinaryType())
-def as_bytes(ids: pa.Array) -> pa.Array:
-    """Ids as little-endian unsigned 32-bit integers, one after another."""
-    flat, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-    return pa.array([flat[a:b].tobytes() for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])], pa.binary())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from kmerweave.llm.hashing import span_hashes, together, word_spans
 
 #: A chunk ends with the document that brings it to so many bytes.
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 12 << 20
 #: Documents of about so many words travel in one row.
 ROW_WORDS = 1 << 17
 
@@ -54,6 +54,9 @@ class Words:
         """As ``hashing.word_spans``."""
         return word_spans(texts)
 
+    #: Whether words have ``parts``.
+    splits = False
+
     def parts(self, word: bytes) -> list[bytes] | None:
         """What a word consists of, if not of itself alone."""
         return None
@@ -62,52 +65,63 @@ class Words:
 class _Chunk:
     """Documents of one chunk, its distinct words by falling frequency, and the number of the word at each position."""
 
-    def __init__(self, ids: list, texts: list[bytes], counted: list[bool], reader: Words):
+    def __init__(self, ids: list, texts: list[bytes], counted: list[bool], reader: Words, with_words: bool):
         self.ids, key = ids, xxhash.xxh64(repr(ids).encode())
         pieces, hashes, sizes = [], [], []
         for _, some in together((None, t) for t in texts):
             data, starts, ends, first = reader.spans(some)
             key.update(data)
-            pieces.append((data, starts, ends))
             hashes.append(span_hashes(data, starts, ends))
+            pieces.append((data, starts.astype(np.uint32), ends.astype(np.uint32)))
             sizes.append(np.diff(first))
-        self.key = key.intdigest() - (1 << 63)
-        _, at, numbers = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        until = np.cumsum([0] + [len(h) for h in hashes])
-        words = [b""] * len(at)
-        piece = np.searchsorted(until, at, side="right") - 1
-        for p, (data, starts, ends) in enumerate(pieces):
-            mine = np.flatnonzero(piece == p)
-            spots = at[mine] - until[p]
-            for k, a, b in zip(mine.tolist(), starts[spots].tolist(), ends[spots].tolist()):
-                words[k] = data[a:b]
-        self.words, self.numbers, self.sizes = words, numbers, np.concatenate(sizes)
-        self._split(reader)
-        counts = np.bincount(self.numbers, minlength=len(self.words))
-        weights = np.repeat(np.array(counted, np.int64), self.sizes)
-        self.counts = counts if all(counted) else np.bincount(
-            self.numbers, weights, minlength=len(self.words)).astype(np.int64)
+        self.key, self.sizes, self.words = key.intdigest() - (1 << 63), np.concatenate(sizes), None
+        self.hashes, at, self.numbers = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        if with_words or reader.splits:
+            self.words = _spans(pieces, at)
+        if reader.splits:
+            self._split(reader)
+        counts = np.bincount(self.numbers, minlength=len(self.hashes))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        self.words, self.counts = [self.words[k] for k in order.tolist()], self.counts[order]
-        self.numbers = rank[self.numbers]
+        if not all(counted):
+            weights = np.repeat(np.array(counted, np.int64), self.sizes)
+            counts = np.bincount(self.numbers, weights, minlength=len(order)).astype(np.int64)
+        self.hashes, self.counts, self.numbers = self.hashes[order], counts[order], rank[self.numbers]
+        if self.words is not None:
+            self.words = [self.words[k] for k in order.tolist()]
 
     def _split(self, reader: Words):
         """Replaces words by their parts."""
-        parts = [reader.parts(w) for w in self.words]
-        if all(p is None for p in parts):
-            return
         number: dict[bytes, int] = {}
-        flat = [number.setdefault(x, len(number)) for w, p in zip(self.words, parts) for x in (p or (w,))]
-        lengths = np.array([len(p) if p else 1 for p in parts])
+        flat, lengths = [], np.ones(len(self.words), np.int64)
+        for k, word in enumerate(self.words):
+            parts = reader.parts(word)
+            if parts is None:
+                flat.append(number.setdefault(word, len(number)))
+            else:
+                lengths[k] = len(parts)
+                flat += [number.setdefault(x, len(number)) for x in parts]
         taken = lengths[self.numbers]
         until = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], np.cumsum(self.sizes)])]
-        self.numbers = gather(np.cumsum(lengths) - lengths, lengths, np.array(flat), self.numbers)
+        self.numbers = gather(np.cumsum(lengths) - lengths, lengths, np.array(flat, np.uint32), self.numbers)
         self.words, self.sizes = list(number), np.diff(until)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+
+
+def _spans(pieces: list, at: np.ndarray) -> list[bytes]:
+    """The bytes of the spans with the given places in all pieces' spans."""
+    words, until = [b""] * len(at), np.cumsum([0] + [len(starts) for _, starts, _ in pieces])
+    piece = np.searchsorted(until, at, side="right") - 1
+    for p, (data, starts, ends) in enumerate(pieces):
+        mine = np.flatnonzero(piece == p)
+        spots = at[mine] - until[p]
+        for k, a, b in zip(mine.tolist(), starts[spots].tolist(), ends[spots].tolist()):
+            words[k] = data[a:b]
+    return words
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], reader: Words) -> Iterator[_Chunk]:
+def _chunks(batches: Iterable[pa.RecordBatch], reader: Words, with_words: bool) -> Iterator[_Chunk]:
     ids, texts, counted, size = [], [], [], 0
     for batch in batches:
         counts = batch.column("counted").to_pylist() if "counted" in batch.schema.names else [True] * batch.num_rows
@@ -117,19 +131,19 @@ def _chunks(batches: Iterable[pa.RecordBatch], reader: Words) -> Iterator[_Chunk
             counted.append(count)
             size += len(text)
             if size >= CHUNK_BYTES:
-                yield _Chunk(ids, texts, counted, reader)
+                yield _Chunk(ids, texts, counted, reader, with_words)
                 ids, texts, counted, size = [], [], [], 0
     if ids:
-        yield _Chunk(ids, texts, counted, reader)
+        yield _Chunk(ids, texts, counted, reader, with_words)
 
 
 def word_rows(texts: DataFrame, reader: Words, buckets: int) -> DataFrame:
     """``(bucket, chunk, steps, counts, lengths, words)``: of each chunk and bucket of words, the words, the steps
     between their numbers and how often the chunk has them, in documents that are ``counted`` if there is that column."""
     def rows(batches):
-        for chunk in _chunks(batches, reader):
+        for chunk in _chunks(batches, reader, with_words=True):
             words = chunk.words
-            bucket = np.array([xxhash.xxh64_intdigest(w) % buckets for w in words], np.int64)
+            bucket = (chunk.hashes % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
             for numbers in np.split(by_bucket, cuts) if len(words) else []:
@@ -147,7 +161,7 @@ def document_rows(texts: DataFrame, reader: Words) -> DataFrame:
     """``(chunk, ids, sizes, numbers)``: of some documents of a chunk the ids, how many words each has, and these
     words' numbers."""
     def rows(batches):
-        for chunk in _chunks(batches, reader):
+        for chunk in _chunks(batches, reader, with_words=False):
             ends = np.cumsum(chunk.sizes)
             part = ends // ROW_WORDS
             first = np.flatnonzero(np.diff(part, prepend=-1))
@@ -215,8 +229,9 @@ def ids_by_chunk(words: DataFrame, encoder: Callable[[], Callable[[list[bytes]],
     return dealt_by_word(asked).mapInArrow(encode, "chunk bigint, steps binary, lengths binary, ids binary")
 
 
-def encoded(texts: DataFrame, reader: Words, encoder) -> DataFrame:
-    """``(doc_id, ids)`` of ``texts (doc_id, text)``: the token ids of all words, by position."""
+def encoded(texts: DataFrame, reader: Words, encoder, form="array") -> DataFrame:
+    """``(doc_id, ids)`` of ``texts (doc_id, text)``: the token ids of all words, by position. ``form``:
+    ``array``; ``bytes``, little-endian unsigned 32-bit integers one after another; or ``packed``, as by ``pack``."""
     def build(found: pa.Table):
         rows = found.to_pylist()
         numbers = np.concatenate([np.zeros(0, np.int64), *[numbers_of(r["steps"]) for r in rows]])
@@ -229,10 +244,15 @@ def encoded(texts: DataFrame, reader: Words, encoder) -> DataFrame:
             tokens = gather(starts_by, lengths_by, values, words)
             until = np.concatenate([[0], np.cumsum(lengths_by[words])])
             bounds = until[np.concatenate([[0], np.cumsum(sizes)])]
-            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))
+            if form == "array":
+                column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))
+            else:
+                one = pack if form == "packed" else lambda x: x.astype("<u4").tobytes()
+                column = pa.array([one(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column], names=["doc_id", "ids"])
 
         return make_batch
 
     words = ids_by_chunk(word_rows(texts, reader, buckets_of(texts)), encoder)
-    return reassemble(document_rows(texts, reader), words, build, "doc_id bigint, ids array<int>")
+    return reassemble(document_rows(texts, reader), words, build,
+                      f"doc_id bigint, ids {'array<int>' if form == 'array' else 'binary'}")

@@ -29,8 +29,8 @@ def op3_substrings(spark, sf_dir):
 def op4_token_files(spark, sf_dir):
     with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
         read = token_files.round_trip(table(spark, sf_dir, "documents"), file.read())
-    return read.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"),
-                       F.crc32(byte_bpe.as_bytes("ids")).alias("ids_crc32"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_neighbours(spark, sf_dir):
@@ -52,11 +52,10 @@ def op7_toxicity(spark, sf_dir):
 
 def op8_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, form="bytes")
     decoded = byte_bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(byte_bpe.as_bytes("ids"), 256).alias("ids_sha256"),
-                          F.sha2("bytes", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op9_lm_score(spark, sf_dir):

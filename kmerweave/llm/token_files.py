@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import BinaryType
 from tokenizers import Tokenizer
 
 from kmerweave.llm import distinct
@@ -40,7 +39,8 @@ def schema(vocabulary: int) -> pa.Schema:
 
 def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="text") -> DataFrame:
     """``(doc_id, ids)`` of every row by the tokenizers library, without special tokens; strings of special tokens are
-    ordinary text. ``tokenizer_json`` is the content of a byte-level tokenizer's file."""
+    ordinary text. The ids are packed (``distinct.pack``). ``tokenizer_json`` is the content of a byte-level tokenizer's
+    file."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encoder():
@@ -55,7 +55,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="t
 
         return encode
 
-    return distinct.encoded(texts_of(docs, id_col, text_col), Segments(), encoder)
+    return distinct.encoded(texts_of(docs, id_col, text_col), Segments(), encoder, "packed")
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -103,14 +103,8 @@ class _Writer:
         self.file.close()
 
 
-@F.arrow_udf(BinaryType())
-def _packed(ids: pa.Array) -> pa.Array:
-    flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-    return pa.array([distinct.pack(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-
-
 def write(encoded: DataFrame, folder: str, vocabulary: int) -> DataFrame:
-    """Writes ``encoded (doc_id, ids)`` in ascending order of ids, each document with the id ``END`` after it, and
+    """Writes ``encoded (doc_id, ids)``, ids packed, in ascending order of ids, each document with the id ``END`` after it, and
     returns the list of files ``(part, path, n_tokens)``; ``part`` is a file's place in the order. Rows without id come
     first. ``folder`` is a path or address that all executors can write to; ids are below ``vocabulary``."""
     layout = schema(vocabulary)
@@ -134,7 +128,7 @@ def write(encoded: DataFrame, folder: str, vocabulary: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_tokens": [total]})
 
     with shuffles_end_with_jobs(encoded.sparkSession):
-        packed = cut_lineage(encoded.select("doc_id", _packed("ids").alias("ids")), "token-ids")
+        packed = cut_lineage(encoded, "token-ids")
         ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
         return cut_lineage(ordered.mapInArrow(files, "part int, path string, n_tokens bigint"), "token-files")
 
@@ -147,8 +141,8 @@ def read_sequences(folder: str, path: str) -> pa.RecordBatchFileReader:
 
 
 def documents(files: DataFrame, folder: str) -> DataFrame:
-    """``(doc_id, start, ids)`` of the documents in the files that ``files`` lists: the ids with the end, and how many
-    ids all documents before have. A task holds one batch of a file and one document."""
+    """``(doc_id, start, ids)`` of the documents in the files that ``files`` lists: the ids with the end, as little-endian
+    unsigned 32-bit integers, and how many ids all documents before have. A task holds one batch and one document."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = files.withColumn("before", before)
 
@@ -171,19 +165,16 @@ def documents(files: DataFrame, folder: str) -> DataFrame:
                         at += len(found[-1])
                     if len(pieces[-1]):
                         open_ids.append(pieces[-1])
-                    if found:
-                        lengths = np.cumsum([0] + [len(f) for f in found])
-                        yield pa.RecordBatch.from_arrays(
-                            [names.cast(pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(
-                                pa.array(lengths, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))],
-                            names=["doc_id", "start", "ids"])
+                    yield pa.RecordBatch.from_arrays(
+                        [names, pa.array(starts, pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())],
+                        names=["doc_id", "start", "ids"])
 
-    return listed.repartition("part").mapInArrow(read, "doc_id bigint, start bigint, ids array<int>")
+    return listed.repartition("part").mapInArrow(read, "doc_id bigint, start bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_json: str, folder: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """Encodes ``docs``, writes the files (to a new folder beside the checkpoints, unless given) and reads them back:
-    ``(doc_id, start, ids)`` of every row, repeated rows included. A null or empty text has the end alone."""
+    ``(doc_id, start, ids)`` of every row as ``documents`` does, repeated rows included. A null or empty text has the end alone."""
     folder = folder or scratch_path(docs.sparkSession, "tokens")
     vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab_size()
     return documents(write(tokenized(docs, tokenizer_json, id_col, text_col), folder, vocabulary), folder)
