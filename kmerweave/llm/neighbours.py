@@ -132,6 +132,9 @@ def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         scores = asked[at:at + 1024] @ vectors.T
         count = min(k, len(ids))
         kept = np.argpartition(-scores, count - 1, axis=1)[:, :count]
+        least = np.take_along_axis(scores, kept, axis=1).min(axis=1)
+        for tied in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > count):
+            kept[tied] = np.lexsort((ids, -scores[tied]))[:count]
         out.append((np.repeat(queries[at:at + 1024], count), ids[kept].ravel(),
                     np.take_along_axis(scores, kept, axis=1).ravel()))
     q, v, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
