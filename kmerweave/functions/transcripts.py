@@ -167,19 +167,24 @@ def sample_windows(df, length, n_samples, gap=None, match=None, resolution=1e-3,
                    key="seq_id", seed=0) -> DataFrame:
     """Windows of a transcript whose local gap and match rates are within
     ``resolution`` of the targets, ``n_samples`` per transcript drawn with
-    replacement. Candidates are numbered per transcript and draws joined to the
+    replacement: ``(key, n_candidates, draw, idx, window)``. A transcript with no more
+    than ``n_samples`` candidates has too few; it comes as one row without a draw.
+    Candidates are numbered per transcript and draws joined to the
     numbers, so only drawn windows are cut out."""
     radius = length // 2
-    cands = df.select(key, F.posexplode(F.sequence(F.lit(0), F.length(tx) - radius - 1)).alias("_k", "idx")).drop("_k")
+    cands = df.where(F.length(tx) > radius).select(key, F.explode(F.sequence(F.lit(0), F.length(tx) - radius - 1)).alias("idx"))
     for target, rates, name in ((match, match_rate, "p_match"), (gap, gap_rate, "p_gap")):
         if target is not None:
             near = rates(df, radius, tx, [key]).where(F.abs(F.col(name) - target) < resolution)
             cands = cands.join(near.select(key, "idx"), [key, "idx"])
     numbered = cands.withColumn("_c", F.row_number().over(Window.partitionBy(key).orderBy("idx")) - 1)
-    sizes = cands.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n_samples)
-    draws = sizes.select(key, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("draw"))
-    draws = draws.withColumn("_c", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.col("_n")))
+    counts = cands.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.select(key).join(counts, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    draws = sizes.select(key, "_n", F.explode_outer(F.when(
+        F.col("_n") > n_samples, F.sequence(F.lit(0), F.lit(n_samples - 1)))).alias("draw"))
+    draws = draws.withColumn("_c", F.when(F.col("draw").isNotNull(), F.pmod(
+        F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.col("_n"))))
     # A window never starts in front of the transcript.
     start = F.greatest(F.col("idx") - radius, F.lit(0))
-    return (draws.join(numbered, [key, "_c"]).join(df.select(key, tx), key)
-            .select(key, "draw", "idx", F.substring(F.col(tx), start + 1, F.col("idx") + radius - start).alias("window")))
+    return (draws.join(numbered, [key, "_c"], "left").join(df.select(key, tx), key)
+            .select(key, F.col("_n").alias("n_candidates"), "draw", "idx", F.substring(F.col(tx), start + 1, F.col("idx") + radius - start).alias("window")))

@@ -260,7 +260,7 @@ def align(origin, mutant, alphabet: Alphabet, kind="GLOBAL", *, subst_scores=Non
     def part(seq, bounds):
         if bounds is None:
             return alphabet.digits(seq), F.lit(0)
-        return alphabet.digits(alphabet.slice(seq, *bounds)), _num(bounds[0])
+        return alphabet.digits(alphabet.slice(seq, *map(_num, bounds))), _num(bounds[0])
 
     o, o_at = part(origin, origin_range)
     t, t_at = part(mutant, mutant_range)

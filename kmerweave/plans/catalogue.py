@@ -115,16 +115,17 @@ def seq_equal_groups(spark, d):
         F.count(F.lit(1)).alias("n"), F.min("seq_id").alias("first_id"))
 
 
-_EVEN = "substr(seq, 1, (length(seq) // 2) * 2)"
+_EVEN = "(CASE WHEN length(seq) % 2 = 1 THEN seq || 'a' ELSE seq END)"
 
 
 @query("seq_wide_letters", Q.select(Q.DOCS, f"""SELECT seq_id,
   coalesce(array_to_string(list_reverse(regexp_extract_all({_EVEN}, '..')), ''), '') AS reversed,
   coalesce(array_to_string(list_transform(regexp_extract_all({_EVEN}, '..'), lambda x:
     CASE x WHEN 'ac' THEN 'gt' WHEN 'gt' THEN 'ac' ELSE x END), ''), '') AS swapped,
-  CAST(length(seq) // 2 AS INTEGER) AS n FROM docs"""))
+  CAST(length({_EVEN}) // 2 AS INTEGER) AS n FROM docs"""))
 def seq_wide_letters(spark, d):
-    even = F.substring("seq", F.lit(1), F.floor(F.length("seq") / 2).cast("int") * 2)
+    # A text of odd length is padded to whole letters.
+    even = F.when(F.length("seq") % 2 == 1, F.concat("seq", F.lit("a"))).otherwise(F.col("seq"))
     return T.documents(spark, d).select("seq_id", even.alias("seq")).select(
         "seq_id", PAIRS_WIDE.reverse("seq").alias("reversed"),
         PAIRS_WIDE.substitute("seq", [("ac", "gt")]).alias("swapped"), PAIRS_WIDE.length("seq").alias("n"))
@@ -784,9 +785,18 @@ def diagonal_profile(spark, d):
     return E.diagonal_profile(X.positions(_doc_tx(spark, d))).select(*big("d"), "n", "upto")
 
 
-@query("sample_windows")
+@query("sample_windows", Q.select(_RATES, """SELECT seq_id, n_candidates,
+  CASE WHEN n_candidates > 5 THEN 5 ELSE 0 END AS n_drawn, n_candidates > 5 AS near FROM (
+    SELECT t.seq_id, count(r.seq_id) AS n_candidates FROM t LEFT JOIN r ON r.seq_id = t.seq_id AND inner_
+      AND abs(m - 0.25) < 0.1 GROUP BY t.seq_id)"""))
 def sample_windows(spark, d):
-    return X.sample_windows(_doc_tx(spark, d), 16, 5, match=0.25, resolution=0.1)
+    """How many candidates there are, how many windows were drawn, and whether these hold the asked share of matches.
+    The draws themselves are hashes, which SQL has no equal of."""
+    drawn = X.sample_windows(_doc_tx(spark, d), 16, 5, match=0.25, resolution=0.1)
+    share = F.length(F.translate("window", "SID", "")) / 16
+    return drawn.groupBy("seq_id").agg(
+        F.max("n_candidates").alias("n_candidates"), F.count("draw").cast("int").alias("n_drawn"),
+        F.coalesce(F.every(F.abs(share - 0.25) < 0.1), F.lit(False)).alias("near"))
 
 
 def _turn_pairs(spark, d):
@@ -833,13 +843,11 @@ def tx_render(spark, d):
 
 # -- alignment ---------------------------------------------------------------
 #
-# Scores of realistic schemes have no feasible SQL; their queries check what must
-# hold for every optimum. Schemes under which an optimum has a closed form (a
-# longest common run, a common prefix or suffix, one fixed diagonal) are compared
-# score by score.
+# Schemes under which an optimum has a closed form (an edit distance, a longest common
+# run, a common prefix or suffix, one diagonal, one gap) are compared score by score.
+# Beside the score stand flags of the transcript that goes with it.
 
 HUGE = 1e6
-SCORES = dict(match=1.0, mismatch=-1.0, go_score=-1.0, ge_score=-1.0)
 RUNS = dict(match=1.0, mismatch=-HUGE, go_score=0.0, ge_score=-HUGE)
 DIAGONAL = dict(match=1.0, mismatch=-1.0, go_score=0.0, ge_score=-HUGE)
 
@@ -852,48 +860,118 @@ def _aligned_turns(spark, d, kind, scores, band=None):
     return L.align_pairs(pairs, alphabet=A, kind=kind, diag_range=("lo", "hi") if band else None, **scores)
 
 
-def _consistent(out, scores=SCORES):
+def _consistent(out, scores):
+    """The score, and flags of the transcript; all flags NULL where there is none."""
     again = X.score("transcript", "origin", "mutant", "origin_start", "mutant_start",
                     L.score_matrix(4, scores["match"], scores["mismatch"]), scores["go_score"], scores["ge_score"], A)
     n, m = F.length("origin"), F.length("mutant")
     i1 = F.col("origin_start") + X.projected_len("transcript")
     j1 = F.col("mutant_start") + X.projected_len("transcript", "mutant")
-    empty = F.col("transcript").isNull()
     at_start = (F.col("origin_start") == 0) | (F.col("mutant_start") == 0)
-    at_end = (i1 == n) | (j1 == m)
-    return out.select("group_id", "ord", (empty | (again == F.col("score"))).alias("consistent"),
-                      (empty | at_start).alias("at_start"), (empty | at_end).alias("at_end"),
-                      (empty | ((i1 - F.col("origin_start") == n) & (j1 - F.col("mutant_start") == m))).alias("whole"))
+    whole = (i1 - F.col("origin_start") == n) & (j1 - F.col("mutant_start") == m)
+    return out.select("group_id", "ord", "score", (again == F.col("score")).alias("consistent"),
+                      (at_start & ((i1 == n) | (j1 == m))).alias("end_to_end"), whole.alias("whole"))
 
 
-def _holds(whole):
-    cols = "true AS consistent, true AS at_start, true AS at_end" + (", true AS whole" if whole else "")
-    return Q.select(_TURN_PAIRS, f"SELECT group_id, ord, {cols} FROM p")
-
-
-_WIDE = (lambda n, m: F.least(F.lit(0), n - m) - F.least(m + F.least(F.lit(0), n - m), F.lit(8)),
-         lambda n, m: F.greatest(F.lit(0), n - m) + F.least(n - F.greatest(F.lit(0), n - m), F.lit(8)))
 _ALL = (lambda n, m: -m, lambda n, m: n)
+EDITS = dict(match=0.0, mismatch=-1.0, go_score=0.0, ge_score=-1.0)
 
+_EDIT_DISTANCE = Q.select(_TURN_PAIRS, """SELECT group_id, ord, CAST(-levenshtein(origin, mutant) AS DOUBLE) + 0e0 AS score,
+  CASE WHEN n + m > 0 THEN true END AS consistent, CASE WHEN n + m > 0 THEN true END AS end_to_end,
+  CASE WHEN n + m > 0 THEN true END AS whole FROM p""")
 
-@query("aln_score_global", _holds(True))
+
+@query("aln_score_global", _EDIT_DISTANCE)
 def aln_score_global(spark, d):
-    return _consistent(_aligned_turns(spark, d, "GLOBAL", SCORES))
+    return _consistent(_aligned_turns(spark, d, "GLOBAL", EDITS), EDITS).withColumn("score", F.col("score") + 0.0)
 
 
-@query("aln_score_b_global", _holds(True))
+@query("aln_score_b_global", _EDIT_DISTANCE)
 def aln_score_b_global(spark, d):
-    return _consistent(_aligned_turns(spark, d, "B_GLOBAL", SCORES, _WIDE))
+    return _consistent(_aligned_turns(spark, d, "B_GLOBAL", EDITS, _ALL), EDITS).withColumn("score", F.col("score") + 0.0)
+
 
+# Without gaps an overlap is a whole diagonal. Where the best one scores 0, the empty
+# overlap is as good, so flags are compared above 0 only.
+_BEST_DIAGONAL = Q.select(f"""{_TURN_PAIRS}, diagonals AS (
+  SELECT group_id, ord, i - j AS d, sum(CASE WHEN substr(origin, i, 1) = substr(mutant, j, 1) THEN 1 ELSE -1 END) AS s
+  FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM p)) GROUP BY ALL),
+best AS (SELECT group_id, ord, max(s) AS s FROM diagonals GROUP BY ALL)""", """SELECT p.group_id, p.ord,
+  CAST(greatest(coalesce(s, 0), 0) AS DOUBLE) AS score, CASE WHEN s > 0 THEN true END AS consistent,
+  CASE WHEN s > 0 THEN true END AS end_to_end FROM p LEFT JOIN best USING (group_id, ord)""")
 
-@query("aln_score_overlap", _holds(False))
+
+def _overlaps(spark, d, kind, band=None):
+    out = _consistent(_aligned_turns(spark, d, kind, DIAGONAL, band), DIAGONAL)
+    above = F.col("score") > 0
+    return out.select("group_id", "ord", F.coalesce("score", F.lit(0.0)).alias("score"),
+                      F.when(above, F.col("consistent")).alias("consistent"),
+                      F.when(above, F.col("end_to_end")).alias("end_to_end"))
+
+
+@query("aln_score_overlap", _BEST_DIAGONAL)
 def aln_score_overlap(spark, d):
-    return _consistent(_aligned_turns(spark, d, "OVERLAP", SCORES)).drop("whole")
+    return _overlaps(spark, d, "OVERLAP")
 
 
-@query("aln_score_b_overlap", _holds(False))
+@query("aln_score_b_overlap", _BEST_DIAGONAL)
 def aln_score_b_overlap(spark, d):
-    return _consistent(_aligned_turns(spark, d, "B_OVERLAP", SCORES, _WIDE)).drop("whole")
+    return _overlaps(spark, d, "B_OVERLAP", _ALL)
+
+
+# The mutant lacks one block of the origin: all its letters match, with one gap open.
+AFFINE = dict(match=1.0, mismatch=-HUGE, go_score=-2.0, ge_score=-0.5)
+
+
+def _one_gap(rows, keys, gap):
+    third = F.floor(F.length("seq") / 3).cast("int")
+    return rows.select(*keys, F.col("seq").alias("origin"), gap(third).alias("gap"), F.concat(
+        F.substring("seq", F.lit(1), third),
+        F.substring("seq", third + gap(third) + 1, F.length("seq"))).alias("mutant"))
+
+
+def _gap_report(out, keys):
+    count = lambda op: F.coalesce(F.length(F.translate("transcript", "MSID".replace(op, ""), "")), F.lit(0))
+    return out.select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"), *[c.cast("bigint").alias(x) for x, c in (
+        ("n_gaps", count("D")), ("n_matches", count("M")))])
+
+
+def _one_gap_sql(keys, gap, source):
+    return f"""SELECT {keys}, CAST(n - b - CASE WHEN b > 0 THEN 2 + 0.5e0 * b ELSE 0 END AS DOUBLE) AS score,
+  b AS n_gaps, n - b AS n_matches FROM (SELECT {keys}, length(seq) AS n, {gap} AS b FROM {source})"""
+
+
+@query("aln_affine", Q.select(Q.TURNS, _one_gap_sql("group_id, ord", "length(seq) // 3", "turns")))
+def aln_affine(spark, d):
+    pairs = _one_gap(T.conversations(spark, d), ["group_id", "ord"], lambda third: third)
+    return _gap_report(L.align_pairs(pairs, alphabet=A, kind="GLOBAL", **AFFINE), ["group_id", "ord"])
+
+
+@query("aln_b_affine", Q.select(Q.DOCS, _one_gap_sql("seq_id", "least(length(seq) // 3, 10)", "docs")))
+def aln_b_affine(spark, d):
+    """Whole documents, in a band as wide as the gap."""
+    pairs = _one_gap(T.documents(spark, d), ["seq_id"], lambda third: F.least(third, F.lit(10)))
+    out = L.align_pairs(pairs.withColumn("lo", F.lit(0)), alphabet=A, kind="B_GLOBAL", diag_range=("lo", "gap"), **AFFINE)
+    return _gap_report(out, ["seq_id"])
+
+
+# Letters of one kind (a and g, c and t) replace each other at no cost.
+_KINDS = [[0.0 if i % 2 == j % 2 else -1.0 for j in range(4)] for i in range(4)]
+
+
+@query("aln_frame_matrix", Q.select(_TURN_PAIRS, """SELECT group_id, ord, 0e0 - levenshtein(
+  translate(substr(origin, CAST(i0 + 1 AS BIGINT), CAST(i1 - i0 AS BIGINT)), 'gt', 'ac'),
+  translate(substr(mutant, CAST(j0 + 1 AS BIGINT), CAST(j1 - j0 AS BIGINT)), 'gt', 'ac')) AS score
+FROM (SELECT *, least(3, n) AS i0, greatest(least(3, n), n - 2) AS i1, least(2, m) AS j0, greatest(least(2, m), m - 1) AS j1 FROM p)"""))
+def aln_frame_matrix(spark, d):
+    """Parts of the turns, by a matrix of substitution scores."""
+    pairs = _turn_pairs(spark, d).select("group_id", "ord", "origin", "mutant")
+    for name, first, last, text in (("i", 3, 2, "origin"), ("j", 2, 1, "mutant")):
+        start = F.least(F.lit(first), F.length(text))
+        pairs = pairs.withColumn(f"{name}0", start).withColumn(f"{name}1", F.greatest(start, F.length(text) - last))
+    out = L.align_pairs(pairs, alphabet=A, kind="GLOBAL", subst_scores=_KINDS, go_score=0.0, ge_score=-1.0,
+                        origin_range=("i0", "i1"), mutant_range=("j0", "j1"))
+    return out.select("group_id", "ord", (F.coalesce("score", F.lit(0.0)) + 0.0).alias("score"))
 
 
 _RUN = f"""{_TURN_PAIRS}, cells AS (
@@ -1057,16 +1135,18 @@ def mapped_reads(spark, d):
     return fasta.read_mapped_reads(spark, path).select("strand", *big("map_from", "map_to"), "seq")
 
 
-@query("sam_opseqs", Q.select(f"{Q.DOCS}, r AS (SELECT seq_id, seq, translate(seq, 'acgt', 'MMID') AS op FROM docs WHERE seq LIKE '%a%')",
-    """SELECT CAST(seq_id AS VARCHAR) AS qname, regexp_replace(regexp_replace(op, '^(I+|D+)', ''), '(I+|D+)$', '') AS opseq FROM r"""))
+@query("sam_opseqs", Q.select(f"{Q.DOCS}, r AS (SELECT seq_id, seq, translate(seq, 'acgt', 'MMID') AS op FROM docs)",
+    """SELECT CAST(seq_id AS VARCHAR) AS qname, regexp_replace(regexp_replace(op, '^(I+|D+)', ''), '(I+|D+)$', '') AS opseq
+FROM r WHERE seq LIKE '%a%'"""))
 def sam_opseqs(spark, d):
     path = scratch_path(spark, "sam")
     op = F.translate("seq", "acgt", "MMID")
     runs = F.regexp_extract_all(op, F.lit("(M+|I+|D+)"), F.lit(1))
     cigar = F.array_join(F.transform(runs, lambda r: F.concat(F.length(r).cast("string"), F.left(r, F.lit(1)))), "")
-    line = F.concat_ws("\t", F.col("seq_id").cast("string"), F.lit("0"), F.lit("ref"), F.lit("1"), F.lit("60"), cigar,
-                       F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"))
-    T.documents(spark, d).where(F.col("seq").contains("a")).select(line.alias("value")).write.text(path)
+    line = F.concat_ws("\t", F.col("seq_id").cast("string"), F.lit("0"), F.lit("ref"), F.lit("1"), F.lit("60"),
+                       F.when(F.col("seq").contains("a"), cigar).otherwise("*"), F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"))
+    # Records without a match are unmapped, which is for the reader to tell.
+    T.documents(spark, d).select(line.alias("value")).write.text(path)
     return AL.read_sam(spark, path).select("qname", "opseq")
 
 
@@ -1083,30 +1163,50 @@ def _turn_blocks(spark, d):
     return AL.read_blocks(spark, path)
 
 
-@query("maf_sequences", Q.select(Q.TURNS, """SELECT 'turn' || ord AS id, string_agg(seq, '' ORDER BY group_id) AS seq
-FROM turns GROUP BY ord"""))
+@query("maf_sequences", Q.select(Q.TURNS, """SELECT 'turn' || ord AS id, CAST(coalesce(sum(length(seq)) OVER (
+  PARTITION BY ord ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, seq FROM turns"""))
 def maf_sequences(spark, d):
-    return AL.sequences(_turn_blocks(spark, d))
-
-
-@query("maf_pairwise", Q.select(f"""{Q.TURNS}, ids AS (SELECT ord FROM turns WHERE group_id = (SELECT min(group_id) FROM turns)),
-l AS (SELECT group_id, max(length(seq)) AS n FROM turns GROUP BY group_id),
-b AS (SELECT group_id, ids.ord, n, rpad(coalesce(seq, ''), CAST(n AS INTEGER), '-') AS row, seq IS NOT NULL AS here
-  FROM l CROSS JOIN ids LEFT JOIN turns USING (group_id, ord)),
-pieces AS (SELECT x.group_id, x.ord AS o1, y.ord AS o2, array_to_string(list_transform(range(1, x.n + 1), lambda k:
-  CASE WHEN substr(x.row, k, 1) = '-' AND substr(y.row, k, 1) = '-' THEN '' WHEN substr(x.row, k, 1) = '-' THEN 'I'
-  WHEN substr(y.row, k, 1) = '-' THEN 'D' WHEN substr(x.row, k, 1) = substr(y.row, k, 1) THEN 'M' ELSE 'S' END), '') AS piece
-  FROM b x JOIN b y ON x.group_id = y.group_id AND x.ord < y.ord)""",
-    """SELECT 'turn' || o1 AS id1, 'turn' || o2 AS id2, string_agg(piece, '' ORDER BY group_id) AS opseq
-FROM pieces GROUP BY o1, o2"""))
+    return AL.sequences(_turn_blocks(spark, d)).select("id", "start", "seq")
+
+
+_MAF = f"""{Q.TURNS}, ids AS (SELECT DISTINCT ord FROM turns),
+shape AS (SELECT group_id, max(length(seq)) AS n FROM turns GROUP BY group_id)"""
+
+
+@query("maf_pairwise", Q.select(f"""{_MAF},
+b AS (SELECT group_id, ord, n, rpad(seq, CAST(n AS INTEGER), '-') AS row FROM turns JOIN shape USING (group_id)),
+pairs AS (SELECT x.ord AS o1, y.ord AS o2 FROM ids x JOIN ids y ON x.ord < y.ord),
+pieces AS (SELECT s.group_id, o1, o2, array_to_string(list_transform(range(1, s.n + 1), lambda k:
+  CASE WHEN substr(r1, k, 1) = '-' AND substr(r2, k, 1) = '-' THEN '' WHEN substr(r1, k, 1) = '-' THEN 'I'
+  WHEN substr(r2, k, 1) = '-' THEN 'D' WHEN substr(r1, k, 1) = substr(r2, k, 1) THEN 'M' ELSE 'S' END), '') AS opseq
+  FROM (SELECT s.group_id, s.n, o1, o2, x.row IS NOT NULL OR y.row IS NOT NULL AS here,
+          coalesce(x.row, repeat('-', s.n)) AS r1, coalesce(y.row, repeat('-', s.n)) AS r2
+        FROM shape s JOIN pairs ON true LEFT JOIN b x ON x.group_id = s.group_id AND x.ord = o1
+        LEFT JOIN b y ON y.group_id = s.group_id AND y.ord = o2) s WHERE here)""",
+    """SELECT 'turn' || o1 AS id1, 'turn' || o2 AS id2, opseq, CAST(coalesce(sum(length(opseq)) OVER (
+  PARTITION BY o1, o2 ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pieces"""))
 def maf_pairwise(spark, d):
-    return AL.pairwise(_turn_blocks(spark, d))
+    return AL.pairwise(_turn_blocks(spark, d)).select("id1", "id2", "opseq", "start")
 
 
-@query("maf_exact_seeds")
+@query("maf_exact_seeds", Q.select(f"""{Q.DOCS}, shape AS (
+  SELECT *, coalesce(sum(length(seq)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_col,
+    sum(length(seq)) OVER () AS total FROM docs),
+good AS (SELECT first_col + k - 1 AS col, total FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS k FROM shape)
+  WHERE substr(seq, k, 1) <> 'a'),
+runs AS (SELECT *, count(*) OVER (ORDER BY col RANGE BETWEEN CURRENT ROW AND {W_SHORT - 1} FOLLOWING) AS run FROM good)""",
+    f"""SELECT CAST(col AS BIGINT) AS col, (col + 1) || '-' || (col + 1) AS spots FROM runs
+WHERE run = {W_SHORT} AND col <= total - {W_SHORT}"""))
 def maf_exact_seeds(spark, d):
-    seeds = AL.exact_seeds(_turn_blocks(spark, d), 2, ids=["turn0", "turn1"])
-    return seeds.select("col", _at("positions").alias("spots"))
+    """Every document aligned with itself, one letter replaced by another: a block each."""
+    path = scratch_path(spark, "maf")
+    docs = T.documents(spark, d).where("seq <> ''")
+    rows = docs.select(F.col("seq_id").alias("block"), F.explode(F.array(
+        F.struct(F.lit(0).alias("row"), F.lit("x").alias("id"), F.col("seq").alias("aligned")),
+        F.struct(F.lit(1).alias("row"), F.lit("y").alias("id"), A.substitute("seq", {"a": "c"}).alias("aligned")))).alias("r"))
+    AL.maf_text(rows.select("block", "r.*")).orderBy("block").select("value").write.text(path)
+    seeds = AL.exact_seeds(AL.read_blocks(spark, path), W_SHORT)
+    return seeds.select(*big("col"), _at("positions").alias("spots"))
 
 
 @query("hits_table", """SELECT o_orderstatus AS gene_type,

@@ -57,16 +57,23 @@ def read_blocks(spark, path, fmt="maf") -> DataFrame:
         F.regexp_extract("line", pattern, text).alias("aligned"))
 
 
-def _joined(df, keys, part, out):
-    """Concatenates the parts of a group in block order into the one string that
-    is this group's sequence."""
-    parts = F.array_sort(F.collect_list(F.struct("file", "block", F.col(part).alias("part"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias(out))
+def _joined(parts, keys, part, out):
+    """One string per group, for outputs in which a sequence is one line whatever its length."""
+    order = F.array_sort(F.collect_list(F.struct("start", F.col(part).alias("part"))))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(order, lambda p: p["part"]), "").alias(out))
+
+
+def _parts(df, keys, part) -> DataFrame:
+    """Parts of each group's sequence with the offset at which they start; a part per block."""
+    sized = df.withColumn("_n", F.length(part))
+    return _upto(sized, keys, "_n", "start").drop("_n")
 
 
 def sequences(blocks: DataFrame) -> DataFrame:
-    """Ungapped sequence of every id: ``(id, seq)``."""
-    return _joined(blocks.withColumn("part", F.replace("aligned", F.lit("-"), F.lit(""))), ["id"], "part", "seq")
+    """Ungapped sequence of every id, in parts: ``(id, file, block, start, seq)`` with ``start`` the letters in the
+    blocks before. Parts of any length add up without ever being in one place."""
+    return _parts(blocks.withColumn("seq", F.replace("aligned", F.lit("-"), F.lit(""))), ["id"], "seq").select(
+        "id", "file", "block", "start", "seq")
 
 
 def _op(x, y):
@@ -78,17 +85,19 @@ def _op(x, y):
 
 
 def pairwise(blocks: DataFrame) -> DataFrame:
-    """Edit transcripts of all pairs of ids of the first block, over all blocks:
-    ``(id1, id2, opseq)``. A row missing from a block counts as all gaps.
+    """Edit transcripts of all pairs of ids that share a block, over all blocks, in parts:
+    ``(id1, id2, file, block, start, opseq)`` with ``start`` the operations in the blocks before. The id that appears
+    first is the origin. A row missing from a block counts as all gaps; a block in which both are missing has no part.
 
-    Blocks are joined with themselves on the block and pieces concatenated per pair.
+    Blocks are joined with themselves on the block.
     """
     blocks = cut_lineage(blocks, "blocks")
-    first = blocks.agg(F.min(F.struct("file", "block")).alias("f")).select("f.*")  # one row
-    ids = blocks.join(first, ["file", "block"], "left_semi").select("file", "block", "id", F.col("row").alias("rank"))
-    pairs = ids.withColumnsRenamed({"id": "id1", "rank": "r1"}).join(
-        ids.withColumnsRenamed({"id": "id2", "rank": "r2"}), ["file", "block"]).where("r1 < r2").select("id1", "id2")
-    known = blocks.join(ids.select("id"), "id", "left_semi").select(
+    ranks = blocks.groupBy("id").agg(F.min(F.struct("file", "block", "row")).alias("rank"))
+    ranked = blocks.select("file", "block", "id").join(ranks, "id")
+    pairs = ranked.withColumnsRenamed({"id": "id1", "rank": "r1"}).join(
+        ranked.withColumnsRenamed({"id": "id2", "rank": "r2"}), ["file", "block"]).where("r1 < r2").select(
+        "id1", "id2").distinct()
+    known = blocks.select(
         "file", "block", "id", F.regexp_extract_all("aligned", F.lit("(.)"), F.lit(1)).alias("c"))
     sizes = known.groupBy("file", "block").agg(F.max(F.size("c")).alias("n"))
     left = known.select("file", "block", F.col("id").alias("id1"), F.col("c").alias("c1"))
@@ -101,7 +110,8 @@ def pairwise(blocks: DataFrame) -> DataFrame:
     both = one.select(*cols).unionByName(lone.select(*cols)).join(sizes, ["file", "block"])
     gaps = F.array_repeat(F.lit("-"), F.col("n"))
     ops = F.array_join(F.zip_with(F.coalesce("c1", gaps), F.coalesce("c2", gaps), _op), "")
-    return _joined(both.withColumn("part", ops), ["id1", "id2"], "part", "opseq")
+    return _parts(both.withColumn("opseq", ops), ["id1", "id2"], "opseq").select(
+        "id1", "id2", "file", "block", "start", "opseq")
 
 
 def _upto(df, keys, value, out):
@@ -148,17 +158,18 @@ def exact_seeds(blocks: DataFrame, wordlen: int, ids=None) -> DataFrame:
     ahead = Window.partitionBy("tile").orderBy("col").rangeBetween(0, wordlen - 1)
     return tiled.withColumn("run", F.count(F.lit(1)).over(ahead)).where(
         (F.col("run") == wordlen) & (F.col("tile") == F.floor(F.col("col") / COLUMNS_PER_TILE))
-        & (F.col("col") < total - wordlen)).select("col", F.transform("at", lambda e: e["pos"]).alias("positions"))
+        & (F.col("col") <= total - wordlen)).select("col", F.transform("at", lambda e: e["pos"]).alias("positions"))
 
 
 def write_individual(blocks: DataFrame, path, mode="errorifexists"):
     """Ungapped sequences as FASTA."""
-    write_fasta(sequences(blocks), path, name="id", mode=mode)
+    write_fasta(_joined(sequences(blocks), ["id"], "seq", "seq"), path, name="id", mode=mode)
 
 
 def write_pairwise(blocks: DataFrame, path, mode="errorifexists"):
     """Pairwise transcripts as FASTA records named ``id1:id2``."""
-    write_fasta(pairwise(blocks).select(F.concat_ws(":", "id1", "id2").alias("name"), F.col("opseq").alias("seq")),
+    whole = _joined(pairwise(blocks), ["id1", "id2"], "opseq", "opseq")
+    write_fasta(whole.select(F.concat_ws(":", "id1", "id2").alias("name"), F.col("opseq").alias("seq")),
                 path, mode=mode)
 
 

@@ -73,12 +73,36 @@ s z 5 2 + 9 G-A
 """
 
 
+def whole(parts, keys, part):
+    """Parts put together, each where it says it starts."""
+    found = {}
+    for r in parts.orderBy(*keys, "start").collect():
+        key = r[keys[0]] if len(keys) == 1 else tuple(r[k] for k in keys)
+        assert len(found.get(key, "")) == r.start
+        found[key] = found.get(key, "") + r[part]
+    return found
+
+
+def test_ids_that_the_first_block_lacks(spark, tmp_path):
+    path = tmp_path / "late.maf"
+    path.write_text("a\ns x 0 2 + 2 AC\ns y 0 2 + 2 AC\n\na\ns y 2 2 + 4 GT\ns late 0 2 + 2 GA\n")
+    got = whole(AL.pairwise(AL.read_blocks(spark, str(path))), ["id1", "id2"], "opseq")
+    assert got == {("x", "y"): "MMII", ("y", "late"): "DDMS"}
+
+
+def test_the_last_start_is_a_seed(spark, tmp_path):
+    path = tmp_path / "end.maf"
+    path.write_text("a\ns x 0 3 + 3 ACG\ns y 0 3 + 3 ACG\n")
+    seeds = AL.exact_seeds(AL.read_blocks(spark, str(path)), 2).collect()
+    assert {r.col: r.positions for r in seeds} == {0: [1, 1], 1: [2, 2]}
+
+
 def test_multiple_alignments(spark, tmp_path):
     path = tmp_path / "a.maf"
     path.write_text(MAF)
     blocks = AL.read_blocks(spark, str(path))
-    assert {r.id: r.seq for r in AL.sequences(blocks).collect()} == {"x": "ACGTGGA", "y": "ACTT", "z": "ACTNTGA"}
-    got = {(r.id1, r.id2): r.opseq for r in AL.pairwise(blocks).collect()}
+    assert whole(AL.sequences(blocks), ["id"], "seq") == {"x": "ACGTGGA", "y": "ACTT", "z": "ACTNTGA"}
+    got = whole(AL.pairwise(blocks), ["id1", "id2"], "opseq")
     assert got == {("x", "y"): "MMIDMDDD", ("x", "z"): "MMISMMDM", ("y", "z"): "MMMIMII"}
     seeds = {r.col: r.positions for r in AL.exact_seeds(blocks, 2, ids=["x", "z"]).collect()}
     assert seeds == {0: [1, 1], 4: [4, 5]}
@@ -88,7 +112,7 @@ def test_multiple_alignments(spark, tmp_path):
     assert fasta.read_fasta(spark, str(tmp_path / "each")).count() == 3
     clustal = tmp_path / "a.aln"
     clustal.write_text("CLUSTAL W\n\nx  AC-G\ny  ACTG\n   ** *\n\nx  TT\ny  T-\n")
-    assert {r.id: r.seq for r in AL.sequences(AL.read_blocks(spark, str(clustal), "clustal")).collect()} == {"x": "ACGTT", "y": "ACTGT"}
+    assert whole(AL.sequences(AL.read_blocks(spark, str(clustal), "clustal")), ["id"], "seq") == {"x": "ACGTT", "y": "ACTGT"}
     n = spark.createDataFrame([("N", "N"), ("N", "A")], "x string, y string").select(AL._op(F.col("x"), F.col("y"))).collect()
     assert [r[0] for r in n] == ["S", "S"]
 
