@@ -46,7 +46,7 @@ def join_kmers(s_kmers: DataFrame, t_kmers: DataFrame, broadcast_s=False) -> Dat
     s, t = _side(s_kmers, "s_id", "i"), _side(t_kmers, "t_id", "j")
     if broadcast_s:
         return _with_diagonals(t.join(F.broadcast(s), "kmer"))
-    return _with_diagonals(salted_join(s, t, "kmer", ["t_id", "j"]))
+    return _with_diagonals(salted_join(s, t, ["kmer"], ["s_id", "i"], ["t_id", "j"]))
 
 
 def seeds_between(s_seqs: DataFrame, t_seqs: DataFrame, alphabet, wordlen, mask=(),
@@ -67,20 +67,20 @@ def seeds_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     """Seeds of all pairs ``s_id < t_id`` of one set."""
     kmers = kmer_scan(seqs, alphabet, wordlen, mask)
     return _with_diagonals(salted_join(
-        _side(kmers, "s_id", "i"), _side(kmers, "t_id", "j"), "kmer", ["t_id", "j"]
+        _side(kmers, "s_id", "i"), _side(kmers, "t_id", "j"), ["kmer"], ["s_id", "i"], ["t_id", "j"]
     ).where("s_id < t_id"))
 
 
 def self_seeds(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     """Seeds of every sequence against itself, stored once: ``i <= j``.
 
-    The join key is (sequence, word): a sequence cannot hold a word more often
-    than it has letters, and the pairs of one word are this operator's result.
+    The join key is (sequence, word); a word that fills a sequence is split on both
+    sides. The pairs of one word are this operator's result.
     """
     kmers = kmer_scan(seqs, alphabet, wordlen, mask)
     left = kmers.select(F.col("seq_id").alias("s_id"), "kmer", F.col("pos").alias("i"))
     right = kmers.select(F.col("seq_id").alias("s_id"), "kmer", F.col("pos").alias("j"))
-    return _with_diagonals(left.join(right, ["s_id", "kmer"]).where("i <= j")
+    return _with_diagonals(salted_join(left, right, ["s_id", "kmer"], ["i"], ["j"]).where("i <= j")
                            .withColumn("t_id", F.col("s_id")))
 
 
@@ -125,7 +125,7 @@ def pair_seed_counts(s_seqs: DataFrame, t_seqs: DataFrame, alphabet, wordlen, ma
         hits = t_kmers.withColumnRenamed("seq_id", "t_id").join(F.broadcast(s), "kmer")
         return hits.groupBy(*PAIR).agg(F.sum("n_s").alias("n_seeds"))
     t = t_kmers.groupBy("kmer", F.col("seq_id").alias("t_id")).agg(F.count(F.lit(1)).alias("n_t"))
-    return salted_join(s, t, "kmer", ["t_id"]).groupBy(*PAIR).agg(
+    return salted_join(s, t, ["kmer"], ["s_id"], ["t_id"]).groupBy(*PAIR).agg(
         F.sum(F.col("n_s") * F.col("n_t")).alias("n_seeds"))
 
 
@@ -136,5 +136,5 @@ def pair_seed_counts_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> Data
         F.count(F.lit(1)).alias("n"))
     s = counts.select("kmer", F.col("seq_id").alias("s_id"), F.col("n").alias("n_s"))
     t = counts.select("kmer", F.col("seq_id").alias("t_id"), F.col("n").alias("n_t"))
-    return salted_join(s, t, "kmer", ["t_id"]).where("s_id < t_id").groupBy(*PAIR).agg(
+    return salted_join(s, t, ["kmer"], ["s_id"], ["t_id"]).where("s_id < t_id").groupBy(*PAIR).agg(
         F.sum(F.col("n_s") * F.col("n_t")).alias("n_seeds"))

@@ -1,34 +1,45 @@
-"""Equi-joins that survive keys holding a large share of the rows."""
+"""Equi-joins that survive keys holding a large share of the rows on both sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is split once it may fill more than this share of one side.
-HOT_SHARE = 1.0 / 512
-MAX_HOT = 1024
-
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that may hold more than ``share`` of the rows, with the number of
-    parts to split them into. One mergeable sketch, no shuffle by key; the
-    result has at most ``MAX_HOT`` rows, which bounds its broadcast."""
-    top = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k({key}, {MAX_HOT}, {8 * MAX_HOT})").alias("top"),
-        F.count(F.lit(1)).alias("total"))
-    found = top.select("total", F.explode("top").alias("t"))
-    parts = F.ceil(F.col("t.count") / (F.col("total") * share)).cast("int")
-    return found.select(F.col("t.item").alias(key), parts.alias("parts")).where("parts > 1")
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by) -> DataFrame:
-    """Inner join on ``key`` in which every hot key of ``right`` is split into
-    parts by a hash of ``spread_by`` and the matching ``left`` rows are repeated
-    once per part. Exact: each matching pair of rows meets in one part."""
-    hot = F.broadcast(hot_keys(right, key))
-    parts = F.coalesce("parts", F.lit(1))
-    right = right.join(hot, key, "left").withColumn(
-        "salt", F.pmod(F.xxhash64(*spread_by), parts).cast("int")).drop("parts")
-    left = left.join(hot, key, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left.join(right, [key, "salt"]).drop("salt")
+from kmerweave.operators.lineage import cut_lineage
+
+# Rows of one key and side that one task gets on average; a key with more is split.
+ROWS_PER_TASK = 1 << 20
+
+
+def hot_keys(left: DataFrame, right: DataFrame, keys, rows_per_task=None) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows on a side, with the number of parts
+    for either side. Rows are counted per key before they are shuffled. The result is
+    written, so that Spark knows its size and broadcasts it only if that is small."""
+    limit = rows_per_task or ROWS_PER_TASK
+    both = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = both.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    parts = [F.greatest(F.ceil(F.col(c) / limit), F.lit(1)).cast("int").alias(n)
+             for c, n in (("_l", "left_parts"), ("_r", "right_parts"))]
+    return cut_lineage(counts.where(F.greatest("_l", "_r") > limit).select(*keys, *parts), "hot")
+
+
+def salted_sides(left: DataFrame, right: DataFrame, keys, left_spread, right_spread, rows_per_task=None):
+    """Both sides with the columns ``left_salt`` and ``right_salt``: a hot key becomes a
+    grid of parts of either side. A row lies in the part that a hash of its ``spread``
+    columns names, and is repeated for every part of the other side, so each pair of
+    rows with one key meets in exactly one cell."""
+    hot = hot_keys(left, right, keys, rows_per_task)
+    sides = []
+    for df, spread, own, other in ((left, left_spread, "left", "right"), (right, right_spread, "right", "left")):
+        count = lambda side: F.coalesce(f"{side}_parts", F.lit(1))
+        sides.append(df.join(hot, keys, "left").withColumn(
+            f"{own}_salt", F.pmod(F.xxhash64(*spread), count(own)).cast("int")).withColumn(
+            f"{other}_salt", F.explode(F.sequence(F.lit(0), count(other) - 1))).drop("left_parts", "right_parts"))
+    return sides
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys, left_spread, right_spread, rows_per_task=None) -> DataFrame:
+    """Inner join on ``keys`` in which no cell of a hot key holds more than about
+    ``rows_per_task`` rows of a side. Exact, as every pair of rows meets once."""
+    left, right = salted_sides(left, right, keys, left_spread, right_spread, rows_per_task)
+    return left.join(right, [*keys, "left_salt", "right_salt"]).drop("left_salt", "right_salt")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kmerweave import Alphabet, DNA
 from kmerweave.operators import kmers as K, multi as M, seeds as S
-from kmerweave.operators.skew import hot_keys, salted_join
+from kmerweave.operators.skew import hot_keys, salted_join, salted_sides
 
 
 def seqs(spark, *texts):
@@ -117,13 +117,26 @@ def test_shuffled_join_equals_broadcast_join(spark):
 
 
 def test_hot_keys_are_split_exactly(spark):
-    right = spark.range(6000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).cast("bigint").alias("kmer"), "id")
-    left = spark.createDataFrame([(7, "x"), (2500, "y"), (1, "z")], "kmer bigint, tag string")
-    hot = hot_keys(right, "kmer").collect()
-    assert [r.kmer for r in hot] == [7] and hot[0].parts > 100
-    got = Counter(r.tag for r in salted_join(left, right, "kmer", ["id"]).collect())
-    assert got == {"x": 2000, "y": 1}
-
+    """One word holds half of all rows on both sides: no cell has many more rows than a task should, and every
+    pair of rows meets once."""
+    limit, n = 64, 600
+    left = spark.createDataFrame([(0 if k % 2 else k, k) for k in range(n)], "kmer bigint, i bigint")
+    right = spark.createDataFrame([(0 if k % 2 else k % 50, k) for k in range(n)], "kmer bigint, j bigint")
+    parts = {r.kmer: (r.left_parts, r.right_parts) for r in hot_keys(left, right, ["kmer"], limit).collect()}
+    assert parts == {0: (5, 5)}
+    for side in salted_sides(left, right, ["kmer"], ["i"], ["j"], limit):
+        largest = side.groupBy("kmer", "left_salt", "right_salt").count().agg({"count": "max"}).first()[0]
+        assert largest <= 1.5 * limit
+    got = Counter((r.i, r.j) for r in salted_join(left, right, ["kmer"], ["i"], ["j"], limit).collect())
+    want = Counter((k, m) for k in range(n) for m in range(n) if (0 if k % 2 else k) == (0 if m % 2 else m % 50))
+    assert got == want
+
+
+def test_self_seeds_of_a_word_that_fills_a_sequence(spark, monkeypatch):
+    monkeypatch.setattr("kmerweave.operators.skew.ROWS_PER_TASK", 10)
+    found = spark.createDataFrame([(1, "A" * 45), (2, "ACGT" * 4)], "seq_id bigint, seq string")
+    counts = {r.s_id: r["count"] for r in S.self_seeds(found, DNA, 5).groupBy("s_id").count().collect()}
+    assert counts[1] == 41 * 42 // 2
 
 def test_multi_seeds(spark):
     w, rng = 5, random.Random(4)
