@@ -7,7 +7,9 @@ tested against brute force on small inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from kmerweave.functions import coords, stats, transcripts as X
 from kmerweave.functions.alphabet import Alphabet, DNA_LOWER, content_id
@@ -15,9 +17,11 @@ from kmerweave.functions.mutation import MutationModel, letter_distribution, log
 from kmerweave.functions.render import render
 from kmerweave.operators import align as L, evaluate as E, kmers as K, multi as M, neighbors as N
 from kmerweave.operators import overlap as O, seeds as S, segments as G, simulate as R
-from kmerweave.operators.lineage import scratch_path
+from kmerweave.operators.lineage import cut_lineage, scratch_path
 from kmerweave.plans import genotyping, overlaps, similarity, sql as Q, variants
 from kmerweave.sources import alignments as AL, fasta, tables as T
+from kmerweave.sources.cache import cached
+from kmerweave.streaming import ingest
 
 # Parameters shared by both sides.
 A = DNA_LOWER
@@ -1173,8 +1177,7 @@ _MAF = f"""{Q.TURNS}, ids AS (SELECT DISTINCT ord FROM turns),
 shape AS (SELECT group_id, max(length(seq)) AS n FROM turns GROUP BY group_id)"""
 
 
-@query("maf_pairwise", Q.select(f"""{_MAF},
-b AS (SELECT group_id, ord, n, rpad(seq, CAST(n AS INTEGER), '-') AS row FROM turns JOIN shape USING (group_id)),
+_PIECES = f"""b AS (SELECT group_id, ord, n, rpad(seq, CAST(n AS INTEGER), '-') AS row FROM turns JOIN shape USING (group_id)),
 pairs AS (SELECT x.ord AS o1, y.ord AS o2 FROM ids x JOIN ids y ON x.ord < y.ord),
 pieces AS (SELECT s.group_id, o1, o2, array_to_string(list_transform(range(1, s.n + 1), lambda k:
   CASE WHEN substr(r1, k, 1) = '-' AND substr(r2, k, 1) = '-' THEN '' WHEN substr(r1, k, 1) = '-' THEN 'I'
@@ -1182,7 +1185,10 @@ pieces AS (SELECT s.group_id, o1, o2, array_to_string(list_transform(range(1, s.
   FROM (SELECT s.group_id, s.n, o1, o2, x.row IS NOT NULL OR y.row IS NOT NULL AS here,
           coalesce(x.row, repeat('-', s.n)) AS r1, coalesce(y.row, repeat('-', s.n)) AS r2
         FROM shape s JOIN pairs ON true LEFT JOIN b x ON x.group_id = s.group_id AND x.ord = o1
-        LEFT JOIN b y ON y.group_id = s.group_id AND y.ord = o2) s WHERE here)""",
+        LEFT JOIN b y ON y.group_id = s.group_id AND y.ord = o2) s WHERE here)"""
+
+
+@query("maf_pairwise", Q.select(_MAF + ", " + _PIECES,
     """SELECT 'turn' || o1 AS id1, 'turn' || o2 AS id2, opseq, CAST(coalesce(sum(length(opseq)) OVER (
   PARTITION BY o1, o2 ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pieces"""))
 def maf_pairwise(spark, d):
@@ -1221,6 +1227,111 @@ def hits_table(spark, d):
     return AL.read_hits(spark, path)
 
 
+@query("maf_fasta", Q.select(_MAF + f""", {_PIECES},
+whole AS (SELECT 'turn' || ord AS name, string_agg(seq, '' ORDER BY group_id) AS seq FROM turns GROUP BY ord
+  UNION ALL SELECT 'turn' || o1 || ':turn' || o2, string_agg(opseq, '' ORDER BY group_id) FROM pieces GROUP BY o1, o2)""",
+    "SELECT name, seq FROM whole WHERE seq <> ''"))
+def maf_fasta(spark, d):
+    """Sequences and pairwise transcripts written as FASTA and read back."""
+    blocks, path = _turn_blocks(spark, d), scratch_path(spark, "maf-fasta")
+    AL.write_individual(blocks, f"{path}/each")
+    AL.write_pairwise(blocks, f"{path}/pairs")
+    return fasta.read_fasta(spark, f"{path}/*").select("name", "seq")
+
+
+@query("fasta_first", Q.select(Q.DOCS, """SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM docs WHERE seq <> ''
+ORDER BY seq_id LIMIT 25"""))
+def fasta_first(spark, d):
+    """A limited number of records, in file order."""
+    path = scratch_path(spark, "fasta")
+    fasta.write_fasta(T.documents(spark, d).orderBy("seq_id"), path, name="seq_id")
+    return fasta.read_fasta(spark, path, num_seqs=25).select("name", "seq")
+
+
+@query("genome_bases", Q.select(Q.DOCS, """SELECT CAST(seq_id AS VARCHAR) AS name, upper(replace(seq, 't', '')) AS seq,
+  true AS joined FROM docs WHERE seq <> ''"""))
+def genome_bases(spark, d):
+    """Records as one coordinate system per file: unknown bases drop out, each record starts where the last one ends."""
+    path = scratch_path(spark, "genome")
+    fasta.write_fasta(T.documents(spark, d).withColumn("seq", F.translate("seq", "t", "n")), path, name="seq_id")
+    line = Window.partitionBy("file").orderBy("pos")
+    end = F.col("start") + F.length("seq")
+    joined = F.coalesce(F.lag(end).over(line), F.lit(0)) == F.col("start")
+    return fasta.read_bases(spark, path).select("name", "seq", joined.alias("joined"))
+
+
+@query("kmer_index_store", Q.select(f"{Q.DOCS}, {Q.words('k', 'docs', W)}",
+    "SELECT kmer, count(*) AS n, min(seq_id) AS first_id, false AS kept FROM k GROUP BY kmer"))
+def kmer_index_store(spark, d):
+    """An index stored by word, read back and dropped."""
+    name = f"kmer_index_{uuid.uuid4().hex}"
+    K.save_kmer_index(K.kmer_scan(T.documents(spark, d), A, W), name, 8)
+    found = cut_lineage(spark.table(name).groupBy("kmer").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq_id").alias("first_id")), "stored")
+    K.drop_kmer_index(spark, name)
+    return found.withColumn("kept", F.lit(spark.catalog.tableExists(name)))
+
+
+@query("kmer_index_stream", Q.select(f"""{Q.DOCS}, once AS (SELECT min(seq_id) AS seq_id, seq FROM docs GROUP BY seq),
+{Q.words('k', 'once', W)}""", "SELECT kmer, count(*) AS n FROM k GROUP BY kmer"))
+def kmer_index_stream(spark, d):
+    """Documents arrive one file at a time; each content is indexed once."""
+    path = scratch_path(spark, "stream")
+    docs = T.documents(spark, d)
+    docs.repartition(4, "seq_id").write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest.index_stream(arriving, f"{path}/index", f"{path}/checkpoint", A, W, trigger={"availableNow": True}).awaitTermination()
+    return ingest.read_index(spark, f"{path}/index").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("result_cache", Q.select(Q.DOCS, "SELECT seq_id, length(seq) AS n, 1 AS built FROM docs"))
+def result_cache(spark, d):
+    """A stored result is built once, and again for other inputs only."""
+    path, built = scratch_path(spark, "cache"), []
+
+    def build():
+        built.append(1)
+        return T.documents(spark, d).select("seq_id", F.length("seq").cast("bigint").alias("n"))
+
+    for _ in range(2):
+        found = cached(spark, path, build, inputs=[f"{d}/documents.parquet"])
+    return found.withColumn("built", F.lit(len(built)))
+
+
+@query("segment_multi_ij_box", """WITH b AS (SELECT o_orderkey AS k, o_custkey % 40 - 20 AS l1, o_custkey % 40 - 20 + o_orderkey % 9 AS h1,
+  o_orderkey % 60 - 30 AS l2, o_orderkey % 60 - 30 + o_custkey % 7 AS h2, o_orderkey % 500 AS l3, o_orderkey % 500 + o_custkey % 50 AS h3 FROM orders)
+SELECT k, array_to_string([greatest(CAST(floor((l3 + l1 + l2) / 3e0) AS BIGINT), 0), CAST(floor((h3 + h1 + h2) / 3e0) AS BIGINT),
+  greatest(CAST(floor((l3 + h1 + l2) / 3e0) AS BIGINT) - h1, 0), CAST(floor((h3 + l1 + h2) / 3e0) AS BIGINT) - l1,
+  greatest(CAST(floor((l3 + l1 + h2) / 3e0) AS BIGINT) - h2, 0), CAST(floor((h3 + h1 + l2) / 3e0) AS BIGINT) - l2], '-') AS ranges FROM b""")
+def segment_multi_ij_box(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    l1, l2, l3 = c % 40 - 20, k % 60 - 30, k % 500
+    found = coords.box_to_ranges_multi([(l1, l1 + k % 9), (l2, l2 + c % 7)], (l3, l3 + c % 50))
+    return T.table(spark, d, "orders").select(k.alias("k"), F.array_join(
+        F.array(*[x.cast("bigint").cast("string") for pair in found for x in pair]), "-").alias("ranges"))
+
+
+@query("genotype_agreement", """WITH truth AS (SELECT o_orderstatus AS gene_type, o_custkey AS s_id, o_orderkey AS t_id,
+  round((o_orderkey % 100) / 100e0, 2) AS p, o_orderkey % 50 AS m FROM orders),
+found AS (SELECT o_orderstatus AS gene_type, o_custkey AS s_id, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS t_id,
+  round((o_orderkey % 97) / 100e0, 2) AS p, o_orderkey % 47 AS m FROM orders),
+least_ AS (SELECT gene_type, s_id, min(p) AS p, min(m) AS m FROM truth GROUP BY ALL),
+j AS (SELECT f.gene_type, t.t_id IS NOT NULL AS strict, t.t_id IS NOT NULL OR (f.p >= l.p AND f.m >= l.m - 1)
+    OR (f.m >= l.m AND f.p >= l.p - 0.01e0) AS forgiving
+  FROM found f JOIN least_ l USING (gene_type, s_id) LEFT JOIN truth t
+  ON t.gene_type = f.gene_type AND t.s_id = f.s_id AND t.t_id = f.t_id)
+SELECT gene_type, round(100e0 * count(*) FILTER (WHERE strict) / count(*), 6) + 0e0 AS strict,
+  round(100e0 * count(*) FILTER (WHERE forgiving) / count(*), 6) + 0e0 AS forgiving FROM j GROUP BY gene_type""")
+def genotype_agreement(spark, d):
+    k = F.col("o_orderkey")
+    orders = T.table(spark, d, "orders").select(F.col("o_orderstatus").alias("gene_type"), F.col("o_custkey").alias("s_id"), "o_orderkey")
+    truth = orders.select("gene_type", "s_id", k.alias("t_id"), F.round((k % 100) / 100, 2).alias("p"),
+                          (k % 50).alias("num_matches"))
+    found = orders.select("gene_type", "s_id", (k + F.when(k % 3 == 0, 0).otherwise(1)).alias("t_id"),
+                          F.round((k % 97) / 100, 2).alias("p_aln"), (k % 47).alias("num_matches"))
+    return genotyping.agreement(found, truth).select("gene_type", r6("strict").alias("strict"), r6("forgiving").alias("forgiving"))
+
+
 # -- reports -----------------------------------------------------------------
 
 @query("ecdf", """WITH s AS (SELECT n_chars AS v FROM documents), x AS (SELECT conv_id, turn, length(text) AS x FROM conversations),

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from kmerweave.operators.kmers import kmer_scan, not_yet_indexed
+from kmerweave.sources.cache import not_there
 
 
 def index_stream(seqs: DataFrame, path: str, checkpoint: str, alphabet, wordlen, mask=(), trigger=None):
@@ -21,7 +22,9 @@ def index_stream(seqs: DataFrame, path: str, checkpoint: str, alphabet, wordlen,
     def add(batch: DataFrame, batch_id: int):
         try:
             seen = spark.read.parquet(f"{path}/contents").where(f"batch < {batch_id}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not not_there(error):
+                raise
             seen = spark.createDataFrame([], "content_id string")
         new = not_yet_indexed(batch, seen).select("content_id", "seq_id", "seq").persist()
         try:
