@@ -28,6 +28,8 @@ class Segments(distinct.Words):
     """Cuts a text before each space that follows something else than white space. No pre-token reaches over such a
     cut, and what a segment splits into depends on it alone."""
 
+    chunk_bytes = 16 << 20
+
     def spans(self, texts):
         whole = b"".join(texts)
         data = np.frombuffer(whole, np.uint8)
@@ -46,7 +48,7 @@ class PreTokens(Segments):
     """Segments split by a pre-token pattern. With ``plain`` that is known to leave a run of letters after at most one
     space whole, and to cut one full stop or comma after it off, as GPT-2's pattern does; the rest is left to it."""
 
-    splits = True
+    splits, chunk_bytes = True, 8 << 20
 
     def __init__(self, pattern: str, plain=True):
         self.pattern, self.plain = regex.compile(pattern), plain

@@ -22,15 +22,13 @@ from pyspark.sql import DataFrame
 
 from kmerweave.llm.hashing import span_hashes, together, word_spans
 
-#: A chunk ends with the document that brings it to so many bytes.
-CHUNK_BYTES = 12 << 20
 #: Documents of about so many words travel in one row.
 ROW_WORDS = 1 << 17
 
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers below 2^32, byte by byte of all of them."""
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -50,6 +48,10 @@ def unpack_bytes(lengths: bytes, data: bytes) -> list[bytes]:
 class Words:
     """How texts are read: as words between white space. Others override what differs."""
 
+    #: A chunk ends with the document that brings it to so many bytes. Larger chunks repeat fewer words and take more
+    #: memory.
+    chunk_bytes = 12 << 20
+
     def spans(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         """As ``hashing.word_spans``."""
         return word_spans(texts)
@@ -130,7 +132,7 @@ def _chunks(batches: Iterable[pa.RecordBatch], reader: Words, with_words: bool)
             texts.append(text)
             counted.append(count)
             size += len(text)
-            if size >= CHUNK_BYTES:
+            if size >= reader.chunk_bytes:
                 yield _Chunk(ids, texts, counted, reader, with_words)
                 ids, texts, counted, size = [], [], [], 0
     if ids:
@@ -229,9 +231,10 @@ def ids_by_chunk(words: DataFrame, encoder: Callable[[], Callable[[list[bytes]],
     return dealt_by_word(asked).mapInArrow(encode, "chunk bigint, steps binary, lengths binary, ids binary")
 
 
-def encoded(texts: DataFrame, reader: Words, encoder, form="array") -> DataFrame:
+def encoded(texts: DataFrame, reader: Words, encoder, form="array", bounds=None) -> DataFrame:
     """``(doc_id, ids)`` of ``texts (doc_id, text)``: the token ids of all words, by position. ``form``:
-    ``array``; ``bytes``, little-endian unsigned 32-bit integers one after another; or ``packed``, as by ``pack``."""
+    ``array``; ``bytes``, little-endian unsigned 32-bit integers one after another; or ``packed``, as by ``pack``.
+    With ``bounds`` on ids there is the column ``part``: how many of them are below the id (0 for null)."""
     def build(found: pa.Table):
         rows = found.to_pylist()
         numbers = np.concatenate([np.zeros(0, np.int64), *[numbers_of(r["steps"]) for r in rows]])
@@ -243,16 +246,21 @@ def encoded(texts: DataFrame, reader: Words, encoder, form="array") -> DataFrame
         def make_batch(ids, sizes, words):
             tokens = gather(starts_by, lengths_by, values, words)
             until = np.concatenate([[0], np.cumsum(lengths_by[words])])
-            bounds = until[np.concatenate([[0], np.cumsum(sizes)])]
+            edges = until[np.concatenate([[0], np.cumsum(sizes)])]
             if form == "array":
-                column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))
+                column = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tokens, pa.int32()))
             else:
                 one = pack if form == "packed" else lambda x: x.astype("<u4").tobytes()
-                column = pa.array([one(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column], names=["doc_id", "ids"])
+                column = pa.array([one(tokens[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+            found = [pa.array(ids, pa.int64()), column]
+            if bounds is not None:
+                below = np.searchsorted(bounds, np.array([-1 << 63 if i is None else i for i in ids], np.int64))
+                found.append(pa.array(below, pa.int32()))
+            return pa.RecordBatch.from_arrays(found, names=["doc_id", "ids", "part"][:len(found)])
 
         return make_batch
 
     words = ids_by_chunk(word_rows(texts, reader, buckets_of(texts)), encoder)
     return reassemble(document_rows(texts, reader), words, build,
-                      f"doc_id bigint, ids {'array<int>' if form == 'array' else 'binary'}")
+                      f"doc_id bigint, ids {'array<int>' if form == 'array' else 'binary'}"
+                      + (", part int" if bounds is not None else ""))

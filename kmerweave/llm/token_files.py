@@ -1,12 +1,14 @@
 """Token ids in Arrow files with fixed-size lists: random access to sequences of equal length, without a copy.
 
 A file holds record batches of ``SEQUENCES`` rows. A row is one sequence: ``ids``, ``LENGTH`` unsigned integers of 16 bits
-or, where the vocabulary asks for it, 32; ``mask``, ``LENGTH`` bytes that are 1 for a token, 2 for the last token of a document and 0 for padding; and ``doc_ids``,
-the ids of the documents that end in it. Row ``n`` of a file is in batch ``n // SEQUENCES``, at a fixed offset.
-
-Documents are range-sorted by id over the tasks. Each task writes one file under a name of its own and lists it once it
-is complete, so a task that runs again leaves no half or double file in the list. Documents run on from sequence to
-sequence; only a file's last sequence has padding.
+or, where the vocabulary asks for it, 32; ``mask``, ``LENGTH`` bits, true for a token and false for padding; and
+``doc_ids`` and ``doc_ends``, the documents that end in it and where. Row ``n`` of a file is in batch
+``n // SEQUENCES``, at a fixed offset.
+
+Documents are dealt by ranges of ids. A first job leaves them sorted within each range, and in a second one each task
+writes the ranges that it reads, one file each, under names of its own. It lists a file once that is complete, so a task
+that runs again leaves no half or double file in the list. Documents run on from sequence to sequence; only a file's last
+sequence has padding.
 """
 
 from __future__ import annotations
@@ -18,29 +20,30 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from kmerweave.llm import distinct
 from kmerweave.llm.byte_bpe import Segments
-from kmerweave.llm.common import cut_lineage, scratch_path, shuffles_end_with_jobs, texts_of
+from kmerweave.llm.common import cut_lineage, partitions, scratch_path, shuffles_end_with_jobs, texts_of
 
 LENGTH, SEQUENCES = 1024, 256
 END = 0
-TOKEN, LAST, PADDING = 1, 2, 0
 
 
 def schema(vocabulary: int) -> pa.Schema:
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH)),
-                      ("doc_ids", pa.list_(pa.int64()))])
+    return pa.schema([("ids", pa.list_(kind, LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH)),
+                      ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int32()))])
 
 
 def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="text") -> DataFrame:
-    """``(doc_id, ids)`` of every row by the tokenizers library, without special tokens; strings of special tokens are
-    ordinary text. The ids are packed (``distinct.pack``). ``tokenizer_json`` is the content of a byte-level tokenizer's
-    file."""
+    """``(doc_id, ids, part)`` of every row by the tokenizers library, without special tokens; strings of special tokens are
+    ordinary text. The ids are packed (``distinct.pack``), and ``part`` numbers ranges of document ids with about as many
+    documents each. ``tokenizer_json`` is the content of a byte-level tokenizer's file."""
+    parts = partitions(docs.sparkSession)
+    shares = [k / parts for k in range(1, parts)]
+    bounds = np.array(docs.select(docs[id_col].cast("double").alias("id")).approxQuantile("id", shares, 0.2 / parts))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encoder():
@@ -55,7 +58,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="t
 
         return encode
 
-    return distinct.encoded(texts_of(docs, id_col, text_col), Segments(), encoder, "packed")
+    return distinct.encoded(texts_of(docs, id_col, text_col), Segments(), encoder, "packed", bounds)
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -66,13 +69,13 @@ class _Writer:
     """Fills sequences and writes them batch by batch; holds one batch."""
 
     def __init__(self, out, layout: pa.Schema):
-        self.layout = layout
+        self.out, self.layout = out, layout
         self.file = pa.ipc.new_file(out, layout)
         self.room = LENGTH * SEQUENCES
         self.start()
 
     def start(self):
-        self.ids, self.mask = np.zeros(self.room, self.layout.field("ids").type.value_type.to_pandas_dtype()), np.full(self.room, PADDING, np.uint8)
+        self.ids = np.zeros(self.room, self.layout.field("ids").type.value_type.to_pandas_dtype())
         self.ended, self.used = [], 0
 
     def add(self, doc_id, tokens: np.ndarray):
@@ -80,10 +83,8 @@ class _Writer:
         while done < len(tokens):
             take = min(len(tokens) - done, self.room - self.used)
             self.ids[self.used:self.used + take] = tokens[done:done + take]
-            self.mask[self.used:self.used + take] = TOKEN
             done, self.used = done + take, self.used + take
             if done == len(tokens):
-                self.mask[self.used - 1] = LAST
                 self.ended.append((self.used - 1, doc_id))
             if self.used == self.room:
                 self.flush()
@@ -91,46 +92,55 @@ class _Writer:
     def flush(self):
         rows = -(-self.used // LENGTH)
         if rows:
-            ends = np.array([at // LENGTH for at, _ in self.ended], np.int64)
-            offsets = np.searchsorted(ends, np.arange(rows + 1))
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[:rows * LENGTH]), LENGTH) for x in (self.ids, self.mask)]
-            names = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([d for _, d in self.ended], pa.int64()))
-            self.file.write_batch(pa.RecordBatch.from_arrays([*columns, names], schema=self.layout))
+            ends = np.array([at for at, _ in self.ended], np.int64)
+            offsets = pa.array(np.searchsorted(ends // LENGTH, np.arange(rows + 1)), pa.int32())
+            fixed = [pa.array(self.ids[:rows * LENGTH]), pa.array(np.arange(rows * LENGTH) < self.used)]
+            lists = [pa.array([d for _, d in self.ended], pa.int64()), pa.array(ends % LENGTH, pa.int32())]
+            self.file.write_batch(pa.RecordBatch.from_arrays(
+                [*(pa.FixedSizeListArray.from_arrays(x, LENGTH) for x in fixed),
+                 *(pa.ListArray.from_arrays(offsets, x) for x in lists)], schema=self.layout))
         self.start()
 
-    def close(self):
+    def close(self, listed: dict) -> pa.RecordBatch:
         self.flush()
         self.file.close()
+        self.out.close()
+        return pa.RecordBatch.from_pylist([listed], pa.schema([
+            ("part", pa.int32()), ("first", pa.int64()), ("path", pa.string()), ("n_tokens", pa.int64())]))
 
 
 def write(encoded: DataFrame, folder: str, vocabulary: int) -> DataFrame:
-    """Writes ``encoded (doc_id, ids)``, ids packed, in ascending order of ids, each document with the id ``END`` after it, and
-    returns the list of files ``(part, path, n_tokens)``; ``part`` is a file's place in the order. Rows without id come
-    first. ``folder`` is a path or address that all executors can write to; ids are below ``vocabulary``."""
+    """Writes ``encoded (doc_id, ids, part)``, ids packed and ``part`` rising with them, in ascending order of ids, each
+    document with the id ``END`` after it. Returns the list of files ``(part, first, path, n_tokens)``, which is in order
+    by part and first id. Rows without id come first. ``folder`` is a path or address that all executors can write to;
+    ids are below ``vocabulary``."""
     layout = schema(vocabulary)
 
     def files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, writer, total = TaskContext.get().partitionId(), None, 0
         system, root = _store(folder)
-        path = f"{root}/{part:06d}-{uuid.uuid4().hex}.arrow"
+        system.create_dir(root, recursive=True)
+        now, writer, listed, before = None, None, None, None
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if writer is None:
-                    system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(path)
-                    writer = _Writer(out, layout)
+            for part, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                place = -1 << 63 if doc_id is None else doc_id
+                if part != now:
+                    if writer is not None:
+                        yield writer.close(listed)
+                    path = f"{root}/{part:06d}-{uuid.uuid4().hex}.arrow"
+                    now, writer = part, _Writer(system.open_output_stream(path), layout)
+                    listed = {"part": part, "first": place, "path": path, "n_tokens": 0}
+                elif place < before:
+                    raise ValueError("a range of documents was not read in the order in which it was written")
                 tokens = np.append(distinct.unpack(ids), END)
                 writer.add(doc_id, tokens)
-                total += len(tokens)
+                listed["n_tokens"] += len(tokens)
+                before = place
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_tokens": [total]})
+            yield writer.close(listed)
 
     with shuffles_end_with_jobs(encoded.sparkSession):
-        packed = cut_lineage(encoded, "token-ids")
-        ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-        return cut_lineage(ordered.mapInArrow(files, "part int, path string, n_tokens bigint"), "token-files")
+        ordered = cut_lineage(encoded.repartition("part").sortWithinPartitions("part", "doc_id", "ids"), "token-ids")
+        return cut_lineage(ordered.mapInArrow(files, "part int, first bigint, path string, n_tokens bigint"), "token-files")
 
 
 def read_sequences(folder: str, path: str) -> pa.RecordBatchFileReader:
@@ -143,8 +153,8 @@ def read_sequences(folder: str, path: str) -> pa.RecordBatchFileReader:
 def documents(files: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, start, ids)`` of the documents in the files that ``files`` lists: the ids with the end, as little-endian
     unsigned 32-bit integers, and how many ids all documents before have. A task holds one batch and one document."""
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = files.withColumn("before", before)
+    ordered = Window.orderBy("part", "first").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    listed = files.withColumn("before", F.coalesce(F.sum("n_tokens").over(ordered), F.lit(0)))
 
     def read(batches):
         for batch in batches:
@@ -152,24 +162,25 @@ def documents(files: DataFrame, folder: str) -> DataFrame:
                 reader, at, open_ids = read_sequences(folder, file["path"]), file["before"], []
                 for n in range(reader.num_record_batches):
                     rows = reader.get_batch(n)
-                    ids, mask = (rows.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-                    names = rows.column("doc_ids").flatten()
-                    cuts = np.flatnonzero(mask == LAST) + 1
-                    used = int(np.count_nonzero(mask))
-                    pieces = np.split(ids[:used], cuts)
+                    used = rows.column("mask").flatten().true_count
+                    ids = rows.column("ids").flatten().to_numpy()[:used]
+                    ends = rows.column("doc_ends")
+                    row = np.repeat(np.arange(len(ends)), np.diff(ends.offsets.to_numpy()))
+                    cuts = row * LENGTH + ends.flatten().to_numpy() + 1
                     found, starts = [], []
-                    for piece in pieces[:-1]:
+                    for piece in np.split(ids, cuts)[:-1]:
                         found.append(np.concatenate([*open_ids, piece]))
                         open_ids = []
                         starts.append(at)
                         at += len(found[-1])
-                    if len(pieces[-1]):
-                        open_ids.append(pieces[-1])
+                    rest = ids[cuts[-1] if len(cuts) else 0:]
+                    if len(rest):
+                        open_ids.append(rest)
                     yield pa.RecordBatch.from_arrays(
-                        [names, pa.array(starts, pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())],
-                        names=["doc_id", "start", "ids"])
+                        [rows.column("doc_ids").flatten(), pa.array(starts, pa.int64()),
+                         pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())], names=["doc_id", "start", "ids"])
 
-    return listed.repartition("part").mapInArrow(read, "doc_id bigint, start bigint, ids binary")
+    return listed.repartition("path").mapInArrow(read, "doc_id bigint, start bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_json: str, folder: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
