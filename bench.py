@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -11,14 +12,18 @@ from kmerweave import build_session  # noqa: E402
 from kmerweave.plans.catalogue import QUERIES  # noqa: E402
 
 HEADLINE = ["kmer_spectrum", "seed_pairs", "seed_self_compare", "score_seeds", "best_overlap_band", "overlap_all_pairs",
-            "similar_segments", "multi_segments", "aln_score_global", "mutate_reads", "fasta_roundtrip"]
+            "similar_segments", "multi_segments", "aln_score_global", "genotype_reads", "sv_chain_paths", "annotate_elements",
+            "fasta_roundtrip"]
 
 
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 2 ** 20
+    scratch = tempfile.TemporaryDirectory(prefix="bench-")
     spark = build_session("bench", master=f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": "20g",
+        "spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": f"{min(20_000, memory // 2)}m",
+        "spark.checkpoint.dir": scratch.name,
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR = {}
+_KEPT = set()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -25,7 +26,16 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/kmerweave/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's own part of the shared folder. That part goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{work_dir(spark).rstrip('/')}/kmerweave/{sc.applicationId}"
+    if root not in _KEPT:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _KEPT.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
