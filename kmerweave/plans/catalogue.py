@@ -1468,9 +1468,19 @@ def _chain_sql():
   ON x.s_id = y.s_id AND x.t_id = y.t_id AND x.root <> y.root
   AND least(x.{name}1, y.{name}1) - greatest(x.{name}0, y.{name}0) > -{MARGIN}),
 {name}_walk(root, depth) AS (SELECT root, 1 FROM placed WHERE {start}
-  UNION SELECT l.v, w.depth + 1 FROM {name}_walk w JOIN {name}_links l ON l.u = w.root WHERE w.depth < 30),
+  UNION SELECT l.v, w.depth + 1 FROM {name}_walk w JOIN {name}_links l ON l.u = w.root
+  WHERE w.depth < (SELECT max(c) FROM (SELECT count(*) AS c FROM placed GROUP BY s_id, t_id))),
 {name}_paths AS (SELECT s_id, t_id, min(depth) FILTER (WHERE {end}) AS depth FROM placed
-  LEFT JOIN {name}_walk USING (root) GROUP BY s_id, t_id)"""
+  LEFT JOIN {name}_walk USING (root) GROUP BY s_id, t_id),
+{name}_islands AS (SELECT s_id, t_id, max(struct_pack(x := {name}1, a := i0, b := i1)) FILTER (WHERE {start}) AS u,
+  min(struct_pack(x := {name}0, a := i0, b := i1)) FILTER (WHERE {end}) AS v
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY s_id, t_id ORDER BY {name}0, {name}1 ROWS UNBOUNDED PRECEDING) AS island
+    FROM (SELECT *, CASE WHEN {name}0 < max({name}1) OVER (PARTITION BY s_id, t_id ORDER BY {name}0, {name}1
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {MARGIN} THEN 0 ELSE 1 END AS fresh FROM placed))
+  GROUP BY s_id, t_id, island),
+{name}_two AS (SELECT s_id, t_id, min(CASE WHEN u.a < v.a OR (u.a = v.a AND u.b <= v.b)
+    THEN struct_pack(la := u.a, l := u.b, r := v.a, rb := v.b) ELSE struct_pack(la := v.a, l := v.b, r := u.a, rb := u.b) END) AS two
+  FROM {name}_islands WHERE u.x - v.x > -{MARGIN} GROUP BY s_id, t_id)"""
     return Q.select(",\n".join([
         Q.doc_seeds(W), Q.scored("seeds", K_MIN, RADIUS, W), Q.segment_ctes(K_MIN, RADIUS, P_MIN, "bench", "docs"),
         """spots AS (SELECT c.*, length(seq) AS t_len, greatest(CAST(floor((a_min + d_min) / 2.0) AS BIGINT), 0) AS i0,
@@ -1478,14 +1488,17 @@ def _chain_sql():
   CAST(floor((a_max - d_min) / 2.0) AS BIGINT) AS j1 FROM counted c JOIN docs ON seq_id = t_id),
 placed AS (SELECT *, min(i0) OVER (PARTITION BY s_id, t_id) AS first_i, max(i1) OVER (PARTITION BY s_id, t_id) AS last_i FROM spots)""",
         axis("j", f"j0 < {MARGIN}", f"j1 > t_len - {MARGIN}"), axis("i", "i0 = first_i", "i1 = last_i")]),
-        """SELECT j.s_id, j.t_id, coalesce(j.depth > 1, false) AS deletion, coalesce(i.depth > 1, false) AS insertion
-FROM j_paths j JOIN i_paths i USING (s_id, t_id)""", recursive=True)
+        """SELECT j.s_id, j.t_id, coalesce(j.depth > 1, false) AS deletion, coalesce(i.depth > 1, false) AS insertion,
+  CASE WHEN j.depth > 1 THEN j_two.two.l END AS del_from, CASE WHEN j.depth > 1 THEN j_two.two.r END AS del_to,
+  CASE WHEN i.depth > 1 THEN CAST(floor((i_two.two.l + i_two.two.r) / 2.0) AS BIGINT) END AS ins_at
+FROM j_paths j JOIN i_paths i USING (s_id, t_id) LEFT JOIN j_two USING (s_id, t_id) LEFT JOIN i_two USING (s_id, t_id)""",
+        recursive=True)
 
 
 @query("sv_chain_paths", _chain_sql())
 def sv_chain_paths(spark, d):
     calls = variants.call_variants(_segments(spark, d), T.documents(spark, d), MARGIN)
-    return calls.select("s_id", "t_id", "deletion", "insertion")
+    return calls.select("s_id", "t_id", "deletion", "insertion", *big("del_from", "del_to", "ins_at"))
 
 
 @query("annotate_elements", Q.select(",\n".join([
