@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
@@ -100,19 +99,26 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     return rows.mapInArrow(extract, "rank bigint, doc_id bigint, label int, features binary")
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, seen = [], np.zeros(1 << FEATURE_BITS, np.int32)
+    for batch in batches:
+        for found, label in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist()):
+            rows.append((np.frombuffer(found, np.int32), label))
+            seen[rows[-1][0]] += 1
+    # A gradient is at most 1 in size, so a document moves a feature by at most EPOCHS: L1 keeps rarer ones at zero.
+    enough = seen * EPOCHS > L1
+    rows = [(np.append(at[enough[at]].astype(np.int64), 1 << FEATURE_BITS), label) for at, label in rows]
+    if rows:
+        weights = ftrl(rows)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["at", "value"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Weights:
     """Fits on the documents that ``labels`` ``(doc_id, label)`` marks 0 or 1, at most ``SAMPLE`` of them. Rows without
     id or label are passed over; an id with both labels counts as 1. Without any row the score is one half."""
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "doc_id", "features"])
-        weights = ftrl([(np.append(np.frombuffer(f, np.int32).astype(np.int64), 1 << FEATURE_BITS), int(y))
-                        for f, y in zip(rows["features"], rows["label"])])
-        at = np.flatnonzero(weights)
-        return pd.DataFrame({"at": at, "value": weights[at]})
-
-    sampled = _sampled(docs, labels, id_col, text_col).withColumn("model", F.lit(0))
-    learned = sampled.groupBy("model").applyInPandas(fit, "at int, value double")
-    weights = learned.orderBy("at").toArrow()  # at most one row a feature
+    sampled = _sampled(docs, labels, id_col, text_col).repartition(1).sortWithinPartitions("rank", "doc_id", "features")
+    weights = sampled.mapInArrow(_fit, "at bigint, value double").toArrow()  # at most one row a feature
     at, value = weights.column("at").to_numpy(), weights.column("value").to_numpy()
     bias = at == 1 << FEATURE_BITS
     return Weights(at[~bias], value[~bias], float(value[bias].sum()))
