@@ -77,4 +77,4 @@ def op10_url_filter(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_substrings, op4_token_files, op5_neighbours, op6_mixing, op7_toxicity, op8_byte_bpe,
     op9_lm_score, op10_url_filter)}
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES)}
+SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES)}

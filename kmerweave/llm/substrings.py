@@ -185,3 +185,18 @@ def drop_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     cut = remove_repeats(docs, id_col, text_col, out)
     text = F.when(F.col(f"{out}.n_removed") > 0, F.col(f"{out}.kept").cast("string")).otherwise(F.col(text_col))
     return cut.withColumn(text_col, text).select(*docs.columns)
+
+
+#: The digest of ``remove_repeats`` in DuckDB's SQL, window by window.
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(words[s:s + {WINDOW - 1}], ' ') AS k
+  FROM w, unnest(range(1, len(words) - {WINDOW - 2})) AS u(s)),
+first_at AS (SELECT k, min(struct_pack(d := doc_id, s := s)) AS f FROM windows GROUP BY k HAVING count(*) > 1),
+later AS (SELECT doc_id, s FROM windows JOIN first_at USING (k) WHERE doc_id <> f.d OR windows.s <> f.s),
+gone AS (SELECT doc_id, list(DISTINCT s + j) AS spots FROM later, unnest(range({WINDOW})) AS v(j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN spots IS NULL THEN words
+    ELSE list_filter(words, lambda x, i: NOT list_contains(spots, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
