@@ -67,8 +67,8 @@ def seeds_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     """Seeds of all pairs ``s_id < t_id`` of one set."""
     kmers = kmer_scan(seqs, alphabet, wordlen, mask)
     return _with_diagonals(salted_join(
-        _side(kmers, "s_id", "i"), _side(kmers, "t_id", "j"), ["kmer"], ["s_id", "i"], ["t_id", "j"]
-    ).where("s_id < t_id"))
+        _side(kmers, "s_id", "i"), _side(kmers, "t_id", "j"), ["kmer"], ["s_id", "i"], ["t_id", "j"],
+        alike=True).where("s_id < t_id"))
 
 
 def self_seeds(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
@@ -80,7 +80,7 @@ def self_seeds(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     kmers = kmer_scan(seqs, alphabet, wordlen, mask)
     left = kmers.select(F.col("seq_id").alias("s_id"), "kmer", F.col("pos").alias("i"))
     right = kmers.select(F.col("seq_id").alias("s_id"), "kmer", F.col("pos").alias("j"))
-    return _with_diagonals(salted_join(left, right, ["s_id", "kmer"], ["i"], ["j"]).where("i <= j")
+    return _with_diagonals(salted_join(left, right, ["s_id", "kmer"], ["i"], ["j"], alike=True).where("i <= j")
                            .withColumn("t_id", F.col("s_id")))
 
 
@@ -136,5 +136,5 @@ def pair_seed_counts_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> Data
         F.count(F.lit(1)).alias("n"))
     s = counts.select("kmer", F.col("seq_id").alias("s_id"), F.col("n").alias("n_s"))
     t = counts.select("kmer", F.col("seq_id").alias("t_id"), F.col("n").alias("n_t"))
-    return salted_join(s, t, ["kmer"], ["s_id"], ["t_id"]).where("s_id < t_id").groupBy(*PAIR).agg(
+    return salted_join(s, t, ["kmer"], ["s_id"], ["t_id"], alike=True).where("s_id < t_id").groupBy(*PAIR).agg(
         F.sum(F.col("n_s") * F.col("n_t")).alias("n_seeds"))
