@@ -131,7 +131,7 @@ def pair_seed_counts(s_seqs: DataFrame, t_seqs: DataFrame, alphabet, wordlen, ma
 
 def pair_seed_counts_within(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     """Number of seeds of all pairs ``s_id < t_id`` of one set, likewise from word
-    counts; hot words are split on one side."""
+    counts; hot words are split on both sides."""
     counts = kmer_scan(seqs, alphabet, wordlen, mask).groupBy("kmer", "seq_id").agg(
         F.count(F.lit(1)).alias("n"))
     s = counts.select("kmer", F.col("seq_id").alias("s_id"), F.col("n").alias("n_s"))
