@@ -69,12 +69,13 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_id", text_col="text", form="array") -> DataFrame:
+def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_id", text_col="text", form="array",
+           position_col=None) -> DataFrame:
     """``(doc_id, ids)`` of every row of ``docs``, ids in a ``form`` of ``distinct.encoded``; a null or empty text has none. Special tokens' strings are
     ordinary text. Rows without id and repeated rows are encoded like any other.
 
     ``table`` holds the token bytes and is of fixed size; it travels with the tasks. ``docs`` must come in the same
-    order each time it is read, as rows from files do.
+    order each time it is read, as rows from files do. A ``position_col`` comes along as the double ``position``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -82,7 +83,11 @@ def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_i
         tokenizer = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
         return lambda words: [tokenizer.encode_ordinary(w.decode()) for w in words]
 
-    return distinct.encoded(texts_of(docs, id_col, text_col), PreTokens(pattern), encoder, form)
+    texts = texts_of(docs, id_col, text_col)
+    if position_col:
+        texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(
+            docs[text_col].cast("binary"), F.lit(b"")).alias("text"), docs[position_col].cast("double").alias("position"))
+    return distinct.encoded(texts, PreTokens(pattern), encoder, form)
 
 
 def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="bytes") -> DataFrame:

@@ -124,19 +124,31 @@ def _spans(pieces: list, at: np.ndarray) -> list[bytes]:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], reader: Words, with_words: bool) -> Iterator[_Chunk]:
-    ids, texts, counted, size = [], [], [], 0
+    ids, texts, counted, positions, size = [], [], [], [], 0
+
+    def chunk():
+        found = _Chunk(ids, texts, counted, reader, with_words)
+        found.positions = positions
+        return found
+
     for batch in batches:
+        if "position" in batch.schema.names:
+            places = batch.column("position").to_pylist()
+        else:
+            places = [None] * batch.num_rows
         counts = batch.column("counted").to_pylist() if "counted" in batch.schema.names else [True] * batch.num_rows
-        for doc_id, text, count in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), counts):
+        for doc_id, text, count, place in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), counts, places):
             ids.append(doc_id)
             texts.append(text)
             counted.append(count)
+            positions.append(place)
             size += len(text)
             if size >= reader.chunk_bytes:
-                yield _Chunk(ids, texts, counted, reader, with_words)
-                ids, texts, counted, size = [], [], [], 0
+                yield chunk()
+                ids, texts, counted, positions, size = [], [], [], [], 0
     if ids:
-        yield _Chunk(ids, texts, counted, reader, with_words)
+        yield chunk()
 
 
 def word_rows(texts: DataFrame, reader: Words, buckets: int) -> DataFrame:
@@ -161,7 +173,9 @@ def word_rows(texts: DataFrame, reader: Words, buckets: int) -> DataFrame:
 
 def document_rows(texts: DataFrame, reader: Words) -> DataFrame:
     """``(chunk, ids, sizes, numbers)``: of some documents of a chunk the ids, how many words each has, and these
-    words' numbers."""
+    words' numbers. If texts have a ``position``, there are ``positions`` too."""
+    placed = "position" in texts.columns
+
     def rows(batches):
         for chunk in _chunks(batches, reader, with_words=False):
             ends = np.cumsum(chunk.sizes)
@@ -171,9 +185,11 @@ def document_rows(texts: DataFrame, reader: Words) -> DataFrame:
                 start = ends[a - 1] if a else 0
                 yield pa.RecordBatch.from_pydict({
                     "chunk": [chunk.key], "ids": pa.array([chunk.ids[a:b]], pa.list_(pa.int64())),
-                    "sizes": [pack(chunk.sizes[a:b])], "numbers": [pack(chunk.numbers[start:ends[b - 1]])]})
+                    "sizes": [pack(chunk.sizes[a:b])], "numbers": [pack(chunk.numbers[start:ends[b - 1]])]}
+                    | ({"positions": pa.array([chunk.positions[a:b]], pa.list_(pa.float64()))} if placed else {}))
 
-    return texts.mapInArrow(rows, "chunk bigint, ids array<bigint>, sizes binary, numbers binary")
+    return texts.mapInArrow(rows, "chunk bigint, ids array<bigint>, sizes binary, numbers binary"
+                            + (", positions array<double>" if placed else ""))
 
 
 def numbers_of(steps: bytes) -> np.ndarray:
@@ -182,7 +198,8 @@ def numbers_of(steps: bytes) -> np.ndarray:
 
 def reassemble(documents: DataFrame, found: DataFrame, build: Callable, schema: str) -> DataFrame:
     """Joins ``document_rows`` with the rows ``found`` for their chunks' words. ``build(found)`` gets all of a chunk's
-    found rows and returns a function of ``(ids, sizes, numbers)``, which makes a record batch of each row."""
+    found rows and returns a function of ``(ids, sizes, numbers)``, and of ``positions`` if there are any, which makes a
+    record batch of each row."""
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise ValueError("the documents came in another order when they were read again; write them to a table first")
@@ -190,7 +207,9 @@ def reassemble(documents: DataFrame, found: DataFrame, build: Callable, schema:
         if not right.num_rows and any(len(unpack(r["sizes"])) and unpack(r["sizes"]).any() for r in rows):
             raise ValueError("the documents came in another order when they were read again; write them to a table first")
         make = build(right)
-        return pa.Table.from_batches([make(r["ids"], unpack(r["sizes"]), unpack(r["numbers"])) for r in rows])
+        return pa.Table.from_batches([
+            make(r["ids"], unpack(r["sizes"]), unpack(r["numbers"]), *([r["positions"]] if "positions" in r else []))
+            for r in rows])
 
     return documents.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(join, schema)
 
@@ -243,7 +262,7 @@ def encoded(texts: DataFrame, reader: Words, encoder, form="array", bounds=None)
         starts_by, lengths_by = (np.zeros(numbers.max(initial=-1) + 1, np.int64) for _ in range(2))
         starts_by[numbers], lengths_by[numbers] = np.cumsum(lengths) - lengths, lengths
 
-        def make_batch(ids, sizes, words):
+        def make_batch(ids, sizes, words, positions=None):
             tokens = gather(starts_by, lengths_by, values, words)
             until = np.concatenate([[0], np.cumsum(lengths_by[words])])
             edges = until[np.concatenate([[0], np.cumsum(sizes)])]
@@ -256,11 +275,15 @@ def encoded(texts: DataFrame, reader: Words, encoder, form="array", bounds=None)
             if bounds is not None:
                 below = np.searchsorted(bounds, np.array([-1 << 63 if i is None else i for i in ids], np.int64))
                 found.append(pa.array(below, pa.int32()))
-            return pa.RecordBatch.from_arrays(found, names=["doc_id", "ids", "part"][:len(found)])
+            names = ["doc_id", "ids", "part"][:len(found)]
+            if positions is not None:
+                found, names = [*found, pa.array(positions, pa.float64())], [*names, "position"]
+            return pa.RecordBatch.from_arrays(found, names=names)
 
         return make_batch
 
     words = ids_by_chunk(word_rows(texts, reader, buckets_of(texts)), encoder)
     return reassemble(document_rows(texts, reader), words, build,
                       f"doc_id bigint, ids {'array<int>' if form == 'array' else 'binary'}"
-                      + (", part int" if bounds is not None else ""))
+                      + (", part int" if bounds is not None else "")
+                      + (", position double" if "position" in texts.columns else ""))
