@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kmerweave.llm import byte_bpe, lm_score, mixing, neighbours, quality, simhash, substrings, token_files, toxicity, url_filter
+from kmerweave.llm import (
+    byte_bpe, circulant, lm_score, mixing, neighbours, quality, simhash, substrings, token_files, toxicity, url_filter)
 from kmerweave.llm.common import bucket_of, table
 
 
@@ -74,7 +75,13 @@ def op10_url_filter(spark, sf_dir):
         "page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op11_circulant(spark, sf_dir):
+    found = circulant.near_copies(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_substrings, op4_token_files, op5_neighbours, op6_mixing, op7_toxicity, op8_byte_bpe,
-    op9_lm_score, op10_url_filter)}
-SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES)}
+    op9_lm_score, op10_url_filter, op11_circulant)}
+SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES),
+                       "op11_circulant": circulant.SQL}
