@@ -251,20 +251,20 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", shingle=SHING
         "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: The digest of ``near_copies`` in DuckDB's SQL: pairs that share one of their rarest shingles, as similar pairs must,
+#: The digest of ``near_copies`` with shingles of two words in DuckDB's SQL: pairs that share one of their rarest shingles, as similar pairs must,
 #: are compared whole; then the smallest id in reach.
 SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) END AS s
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+    ELSE list_distinct(list_transform(list_zip(words[:len(words) - 1], words[2:]), lambda p: p[1] || ' ' || p[2])) END AS s
   FROM w),
-kinds AS (SELECT list_sort(s) AS s, min(doc_id) AS d FROM sets WHERE len(s) > 0 GROUP BY ALL),
-items AS (SELECT d, len(s) AS n, unnest(s) AS k FROM kinds),
+kinds AS MATERIALIZED (SELECT list_sort(s) AS s, min(doc_id) AS d FROM sets WHERE len(s) > 0 GROUP BY ALL),
+items AS MATERIALIZED (SELECT d, len(s) AS n, unnest(list_transform(s, lambda x: hash(x))) AS k FROM kinds),
 common AS (SELECT k, count(*) AS f FROM items GROUP BY k),
-rare AS (
+rare AS MATERIALIZED (
   SELECT d, n, k FROM items JOIN common USING (k)
   QUALIFY row_number() OVER (PARTITION BY d ORDER BY f, k) <= n - (n * {PERCENT} + 99) // 100 + 1),
 asked AS (
@@ -273,7 +273,7 @@ asked AS (
 shared AS (
   SELECT u, v, any_value(m) AS m, any_value(asked.n) AS n, count(*) AS c
   FROM asked JOIN items a ON a.d = u JOIN items b ON b.d = v AND b.k = a.k GROUP BY u, v),
-links AS (SELECT u, v FROM shared WHERE 100 * c >= {PERCENT} * (m + n - c)),
+links AS MATERIALIZED (SELECT u, v FROM shared WHERE 100 * c >= {PERCENT} * (m + n - c)),
 ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (SELECT d, d AS r FROM kinds UNION SELECT reach.d, ways.v FROM reach JOIN ways ON reach.r = ways.u),
 roots AS (SELECT d, min(r) AS root FROM reach GROUP BY d)
