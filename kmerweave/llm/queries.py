@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from kmerweave.llm import (
-    byte_bpe, circulant, collocations, lm_score, mixing, neighbours, quality, simhash, substrings, token_files, toxicity, url_filter)
+    byte_bpe, circulant, collocations, lm_score, mixing, neighbours, quality, simhash, spelling, substrings, token_files,
+    toxicity, url_filter)
 from kmerweave.llm.common import bucket_of, table
 
 
@@ -84,8 +85,12 @@ def op12_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_substrings, op4_token_files, op5_neighbours, op6_mixing, op7_toxicity, op8_byte_bpe,
-    op9_lm_score, op10_url_filter, op11_circulant, op12_collocations)}
+    op9_lm_score, op10_url_filter, op11_circulant, op12_collocations, op13_spelling)}
 SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op6_mixing": mixing.SQL, "op10_url_filter": url_filter.sql(URL_RULES),
-                       "op11_circulant": circulant.SQL, "op12_collocations": collocations.SQL}
+                       "op11_circulant": circulant.SQL, "op12_collocations": collocations.SQL, "op13_spelling": spelling.SQL}
