@@ -15,7 +15,7 @@ from kmerweave.functions import coords, stats, transcripts as X
 from kmerweave.functions.alphabet import Alphabet, DNA_LOWER, content_id
 from kmerweave.functions.mutation import MutationModel, letter_distribution, log_odds_table
 from kmerweave.functions.render import render
-from kmerweave.operators import align as L, evaluate as E, kmers as K, multi as M, neighbors as N
+from kmerweave.operators import align as L, blocks as B, evaluate as E, kmers as K, multi as M, neighbors as N
 from kmerweave.operators import overlap as O, seeds as S, segments as G, simulate as R
 from kmerweave.operators.lineage import cut_lineage, scratch_path
 from kmerweave.plans import genotyping, overlaps, similarity, sql as Q, variants
@@ -959,6 +959,13 @@ def aln_b_affine(spark, d):
     return _gap_report(out, ["seq_id"])
 
 
+@query("aln_blocks", Q.select(Q.PAGES, _one_gap_sql("seq_id", "length(seq) // 3", "pgs")))
+def aln_blocks(spark, d):
+    """Whole pages without a band, in blocks that several tasks fill."""
+    pairs = _one_gap(T.pages(spark, d), ["seq_id"], lambda third: third)
+    return _gap_report(B.align_in_blocks(pairs, alphabet=A, kind="GLOBAL", cells=1 << 22, **AFFINE), ["seq_id"])
+
+
 # Letters of one kind (a and g, c and t) replace each other at no cost.
 _KINDS = [[0.0 if i % 2 == j % 2 else -1.0 for j in range(4)] for i in range(4)]
 
