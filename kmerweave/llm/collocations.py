@@ -3,9 +3,10 @@
 Every word of a text is a suffix pointer: it stands for the words from there on, up to the longest phrase and the end of
 its piece. Pointers with the same first words form a partition, and the size of a partition is the count of its phrase.
 
-1. The leading two words of all pointers are counted globally, by hash. Partitions too small for any candidate are
-   abandoned: a filter of fixed size tells which leading words are left. It may keep some in vain, and drops none.
-2. Tasks cut pointers where their partition was abandoned and count equal ones; what is left is routed by the leading
+1. The leading words of all pointers are counted globally, by hash: one and two words, then three of those whose first
+   and last two are left, and so on. Partitions too small for any candidate are abandoned: a filter of fixed size tells
+   which leading words are left. It may keep some in vain, and drops none.
+2. Tasks cut pointers where their partition was abandoned and count equal ones; what is left is routed by the leading two
    words. Leading words with a large share of all pointers go to several tasks by their further words.
 3. There a three-way quicksort on one word after the other splits all partitions in step, leaves those that became too
    small, goes one word deeper in those of equal words, and reports how large they are.
@@ -33,8 +34,9 @@ LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 FILTER_BITS = 1 << 27
 #: Leading words with more pointers than this go to several tasks.
 ROWS_PER_TASK = 1 << 19
-#: Bytes of text that are sorted at a time in the tasks that read texts, and pointers in those that sort.
-TOGETHER, POINTERS = 8 << 20, 1 << 18
+#: Bytes of text that are read at a time, rows that a task puts together before it passes them on, rows of a batch that
+#: it passes on, and pointers that are sorted at a time.
+TOGETHER, HELD, BATCH, POINTERS = 2 << 20, 1 << 20, 1 << 16, 1 << 18
 
 _GAP, _END = np.zeros(256, bool), np.zeros(256, bool)
 _GAP[[9, 32]] = True
@@ -58,18 +60,22 @@ class Pointers:
         self.hashes = span_hashes(self.data, self.starts, self.ends)
         # Not the hash of a word that looks like the language's name.
         with np.errstate(over="ignore"):
-            self.seeds = mix(span_hashes(*_joined(list(self.names))) + _STEP)[self.lang]
+            self.seed_of = mix(span_hashes(*_joined(list(self.names))) + _STEP)
+        self.seeds = self.seed_of[self.lang]
         self.depth = np.ones(len(piece), np.int64)
         for further in range(1, longest):
             inside = piece[further:] == piece[:-further] if len(piece) > further else np.zeros(0, bool)
             self.depth[:len(inside)] += inside
 
-    def leading(self) -> np.ndarray:
-        """A hash of the language and the first two words of each pointer that has two."""
-        pair = np.zeros(len(self.hashes), np.uint64)
-        with np.errstate(over="ignore"):
-            pair[:-1] = mix(mix(self.hashes[:-1] ^ self.seeds[:-1]) * _STEP + self.hashes[1:])
-        return pair
+    def leading(self, depth: int) -> list[np.ndarray]:
+        """Hashes of the language and the first 1, 2, ... ``depth`` words of each pointer; not for pointers that end before."""
+        found = [mix(self.hashes ^ self.seeds)]
+        for further in range(1, depth):
+            key = np.zeros(len(self.hashes), np.uint64)
+            with np.errstate(over="ignore"):
+                key[:-further or None] = mix(found[-1][:-further or None] * _STEP + self.hashes[further:]) + np.uint64(further)
+            found.append(key)
+        return found
 
     def phrases(self, at: np.ndarray, depth: np.ndarray) -> list[bytes]:
         starts, ends = self.starts.tolist(), self.ends.tolist()
@@ -95,37 +101,85 @@ def _batched(batches: Iterable[pa.RecordBatch], longest: int) -> Iterator[Pointe
         yield Pointers(langs, texts, longest)
 
 
-def _leading_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for pointers in _batched(batches, 2):
-        pairs, n = np.unique(pointers.leading()[pointers.depth > 1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["lead", "n"])
+def _leading_counts(depths: list[int], left: Broadcast | None):
+    """How many pointers of a task's texts begin with the same words, for several numbers of words. With ``left``, only of
+    those whose first and last words, one less, are left."""
+    def passed_on(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        leads, n = np.unique(np.concatenate(held), return_counts=True)
+        yield from _in_batches(pa.table({"lead": leads.view(np.int64), "n": n}))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(left.value, np.uint64) if left else None
+        held, size = [], 0
+        for pointers in _batched(batches, depths[-1]):
+            leads = pointers.leading(depths[-1])
+            for d in depths:
+                alive = pointers.depth >= d
+                if left:
+                    before = _is_in(words, leads[d - 2])
+                    alive = alive & before & np.append(before[1:], False)
+                held.append(leads[d - 1][alive])
+                size += len(held[-1])
+            if size >= HELD:
+                yield from passed_on(held)
+                held, size = [], 0
+        if size:
+            yield from passed_on(held)
+
+    return rows
+
+
+def _in_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    return iter(table.combine_chunks().to_batches(max_chunksize=BATCH))
+
+
+def _summed(blocks: list[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+    """Rows of all blocks; of rows with one key, one with the sum of their ``n``."""
+    keys, rows = np.concatenate([k for k, _ in blocks]), pa.concat_tables([t for _, t in blocks])
+    _, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.zeros(len(at), np.int64)
+    np.add.at(n, which, rows["n"].to_numpy())
+    return _in_batches(rows.drop_columns("n").take(pa.array(at)).append_column("n", pa.array(n)))
 
 
 def _suffixes(left: Broadcast, longest: int):
-    """Distinct pointers of a task's texts, cut where their leading words are in no partition that is left."""
+    """Distinct pointers of a task's texts, cut where their leading words are in no partition that is left, and with depth
+    0 how many words these have."""
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(left.value, np.uint64)
+        blocks, size = [], 0
         for pointers in _batched(batches, longest):
             if not len(pointers.starts):
                 continue
-            lead = pointers.leading()
-            frequent = (pointers.depth > 1) & _is_in(words, lead)
-            depth, going = np.ones(len(lead), np.int64), np.ones(len(lead), bool)
-            for further in range(1, longest):
-                going = going & (pointers.depth > further) & np.append(frequent[further - 1:], np.zeros(further - 1, bool))
-                depth += going
-            key = mix(pointers.hashes ^ pointers.seeds)
-            for further in range(1, longest):
-                more = np.flatnonzero(depth > further)
-                with np.errstate(over="ignore"):
-                    key[more] = mix(key[more] * _STEP + pointers.hashes[more + further])
-            _, at, n = np.unique(key, return_index=True, return_counts=True)
-            lead[depth == 1] = 0
-            yield pa.RecordBatch.from_arrays([
-                pa.DictionaryArray.from_arrays(pa.array(pointers.lang[at].astype(np.int32)),
-                                               pa.array(pointers.names.tolist(), pa.binary())).cast(pa.binary()).cast(pa.string()),
-                pa.array(pointers.phrases(at, depth[at]), pa.binary()).cast(pa.string()), pa.array(depth[at].astype(np.int32)),
-                pa.array(lead[at].view(np.int64)), pa.array(n)], names=["lang", "phrase", "depth", "lead", "n"])
+            blocks.append(distinct(pointers, words))
+            size += len(blocks[-1][0])
+            if size >= HELD:
+                yield from _summed(blocks)
+                blocks, size = [], 0
+        if size:
+            yield from _summed(blocks)
+
+    def distinct(pointers: Pointers, words: np.ndarray) -> tuple[np.ndarray, pa.Table]:
+        leads = pointers.leading(longest)
+        depth, going, key = np.zeros(len(leads[0]), np.int64), np.ones(len(leads[0]), bool), leads[0].copy()
+        for d in range(longest):
+            going = going & (pointers.depth > d) & _is_in(words, leads[d])
+            depth += going
+            key[going] = leads[d][going]
+        lead = np.where(depth > 1, leads[1], np.uint64(0))
+        frequent = np.flatnonzero(depth)
+        key, at, n = np.unique(key[frequent], return_index=True, return_counts=True)
+        at = frequent[at]
+        # One row a language for all its words.
+        langs, spoken = np.unique(pointers.lang, return_counts=True)
+        every = np.concatenate([langs, pointers.lang[at]])
+        names = pa.DictionaryArray.from_arrays(pa.array(every.astype(np.int32)), pa.array(pointers.names.tolist(), pa.binary()))
+        return np.concatenate([pointers.seed_of[langs], key]), pa.table({
+            "lang": names.cast(pa.binary()).cast(pa.string()),
+            "phrase": pa.array([b""] * len(langs) + pointers.phrases(at, depth[at]), pa.binary()).cast(pa.string()),
+            "depth": np.concatenate([0 * langs, depth[at]]).astype(np.int32),
+            "lead": np.concatenate([np.zeros(len(langs), np.int64), lead[at].view(np.int64)]),
+            "n": np.concatenate([spoken, n])})
 
     return rows
 
@@ -142,15 +196,14 @@ def _is_in(words: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return found
 
 
-def _filter(counts: DataFrame, least: int) -> bytes:
-    """Bits of all leading words that occur ``least`` times; its size does not depend on the corpus."""
-    bit = F.explode(F.array(*(F.col("lead").bitwiseAND(F.lit(FILTER_BITS - 1)) if k == 0 else
-                              F.shiftrightunsigned("lead", 32).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in range(2))))
-    words = counts.where(F.col("n") >= least).select(bit.alias("place")).groupBy(
+def _filter(counts: DataFrame, before: bytes | None) -> bytes:
+    """The bits of all leading words in ``counts``, besides those ``before``; its size does not depend on the corpus."""
+    low, high = (place.bitwiseAND(F.lit(FILTER_BITS - 1)) for place in (F.col("lead"), F.shiftrightunsigned("lead", 32)))
+    words = counts.select(F.explode(F.array(low, high)).alias("place")).groupBy(
         F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
     table = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    out = np.frombuffer(before or bytes(FILTER_BITS // 8), np.int64).copy()
+    out[table["word"].to_numpy()] |= table["bits"].to_numpy()
     return out.tobytes()
 
 
@@ -240,12 +293,18 @@ def counted(docs: DataFrame, text_col="text", lang_col="lang", longest=LONGEST,
     batch_texts(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).cast("binary").alias("lang"),
                         F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
-    pairs = texts.mapInArrow(_leading_counts, "lead bigint, n bigint").groupBy("lead").agg(F.sum("n").alias("n"))
-    pairs = cut_lineage(pairs.where(F.col("n") >= least), "collocations-leading")
-    left = docs.sparkSession.sparkContext.broadcast(_filter(pairs, least))
+    share = docs.sparkSession.sparkContext.broadcast
+    left, hot = None, None
+    for depths in [[1, 2], *([d] for d in range(3, longest + 1))]:
+        counts = texts.mapInArrow(_leading_counts(depths, left and share(left)), "lead bigint, n bigint").groupBy("lead").agg(
+            F.sum("n").alias("n"))
+        counts = cut_lineage(counts.where(F.col("n") >= least), "collocations-leading")
+        hot = hot or counts
+        left = _filter(counts, left)
+    left = share(left)
     suffixes = cut_lineage(texts.mapInArrow(
         _suffixes(left, longest), "lang string, phrase string, depth int, lead bigint, n bigint"), "collocations-suffixes")
-    hot = cut_lineage(pairs.where(F.col("n") > ROWS_PER_TASK).select(
+    hot = cut_lineage(hot.where(F.col("n") > ROWS_PER_TASK).select(
         "lead", F.ceil(F.col("n") / ROWS_PER_TASK).cast("int").alias("parts")), "collocations-hot")
     third = F.substring_index(F.substring_index("phrase", " ", 3), " ", -1)
     parts = F.coalesce("parts", F.lit(1))
@@ -253,9 +312,9 @@ def counted(docs: DataFrame, text_col="text", lang_col="lang", longest=LONGEST,
         "lang", "phrase", "n", (parts == 1).alias("whole"), F.xxhash64("lead", F.pmod(F.xxhash64(third), parts)).alias("key"))
     counts = routed.repartition("key").sortWithinPartitions("key").mapInArrow(
         _sorted_counts(longest, least), "lang string, phrase string, n bigint")
-    words = suffixes.select("lang", F.substring_index("phrase", " ", 1).alias("phrase"), "n")
+    words = suffixes.where("depth > 0").select("lang", F.substring_index("phrase", " ", 1).alias("phrase"), "n")
     phrases = words.unionByName(counts).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return cut_lineage(phrases, "collocations-phrases"), suffixes.groupBy("lang").agg(F.sum("n").alias("n"))
+    return cut_lineage(phrases, "collocations-phrases"), suffixes.where("depth = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _scored(phrases: DataFrame) -> DataFrame:
