@@ -17,6 +17,8 @@ from kmerweave.operators.components import connected_components
 from kmerweave.operators.kmers import kmer_scan
 from kmerweave.operators.lineage import cut_lineage
 
+# Positions of a list, and seeds that one row becomes.
+LIST, RANGE = 512, 1 << 16
 # Diagonal dimensions used for tiling; the others are checked pair by pair.
 TILED_DIMS = 2
 
@@ -40,20 +42,47 @@ def shared_kmers(groups: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
     return kmers.join(present, ["group_id", "kmer"], "left_semi")
 
 
+def position_lists(shared: DataFrame) -> DataFrame:
+    """Positions of each word in each sequence of its group, in lists of up to ``LIST``:
+    ``(group_id, n_seqs, kmer, rank, list, spots)``."""
+    word = ["group_id", "n_seqs", "kmer", "rank"]
+    number = F.row_number().over(Window.partitionBy(*word).orderBy("pos")) - 1
+    return shared.withColumn("list", F.floor(number / LIST)).groupBy(*word, "list").agg(
+        F.array_sort(F.collect_list("pos")).alias("spots"))
+
+
+def _product(numbers):
+    return F.aggregate(numbers, F.lit(1).cast("bigint"), lambda x, y: x * y)
+
+
 def seeds_multi(groups: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
-    """All N-way seeds: one equi-join on (group, word) per additional sequence.
-    Words missing from some sequence are removed beforehand, so a left join that
-    finds nothing means the group has no further sequence."""
-    shared = cut_lineage(shared_kmers(groups, alphabet, wordlen, mask), "shared")
-    most = shared.agg(F.max("n_seqs")).first()[0] or 0
-    seeds = shared.where("rank = 0").select(
-        "group_id", "n_seqs", "kmer", F.array("pos").alias("idxs"))
-    for rank in range(1, most):
-        more = shared.where(F.col("rank") == rank).select("group_id", "kmer", "pos")
-        seeds = seeds.join(more, ["group_id", "kmer"], "left").select(
-            "group_id", "n_seqs", "kmer",
-            F.when(F.col("pos").isNull(), F.col("idxs")).otherwise(
-                F.concat("idxs", F.array("pos"))).alias("idxs"))
+    """All N-way seeds. The plan does not depend on how many sequences a group has.
+
+    The seeds of a word are the combinations of its positions, one of each sequence. Combinations of lists of positions
+    are blocks, and both blocks and the seeds within a block are numbered like digits of a number with mixed radix: a list
+    computes the blocks that it belongs to, and a row the seeds that its numbers stand for. A word with many seeds becomes
+    many rows, by block and by range of numbers; none holds more than a list of each sequence.
+    """
+    lists = position_lists(cut_lineage(shared_kmers(groups, alphabet, wordlen, mask), "shared"))
+    word = ["group_id", "n_seqs", "kmer"]
+    counts = lists.groupBy(*word, "rank").agg(F.sum(F.size("spots")).alias("n")).groupBy(*word).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "n")))["n"].alias("counts"))
+    radix = F.transform("counts", lambda n: F.ceil(n / LIST))
+    placed = lists.join(counts, word).withColumns({"radix": radix}).withColumns({
+        "own": F.get("radix", F.col("rank")), "below": _product(F.slice("radix", F.lit(1), F.col("rank")))})
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), (_product(F.col("radix")) / F.col("own")).cast("bigint") - 1))
+    block = F.col("z") % F.col("below") + F.col("below") * (F.col("list") + F.col("own") * F.floor(F.col("z") / F.col("below")))
+    # How many positions each list of a block has: LIST, or what is left in the last one.
+    sizes = F.expr(f"""aggregate(sequence(0, size(radix) - 1), named_struct('rest', block, 'seeds', 1L), (acc, r) -> named_struct(
+      'rest', acc.rest div radix[r], 'seeds', acc.seeds * least({LIST}L, counts[r] - {LIST}L * (acc.rest % radix[r]))), acc -> acc.seeds)""")
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("seeds") - 1) / RANGE)))
+    rows = placed.withColumn("z", other).withColumn("block", block).withColumn("seeds", sizes).withColumn("part", parts)
+    combined = rows.groupBy(*word, "block", "part").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "spots")))["spots"].alias("lists"), F.first("seeds").alias("seeds"))
+    number = F.explode(F.sequence(F.col("part") * RANGE, F.least(F.col("seeds"), (F.col("part") + 1) * RANGE) - 1))
+    idxs = F.expr("""aggregate(lists, named_struct('rest', number, 'idxs', cast(array() as array<int>)), (acc, x) -> named_struct(
+      'rest', acc.rest div size(x), 'idxs', concat(acc.idxs, array(x[cast(acc.rest % size(x) as int)]))), acc -> acc.idxs)""")
+    seeds = combined.withColumn("number", number).select(*word, idxs.alias("idxs"))
     ds, a = to_diagonal_multi("idxs")
     return seeds.withColumn("ds", ds).withColumn("a", a)
 

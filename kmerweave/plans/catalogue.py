@@ -497,54 +497,50 @@ def overlap_all_pairs(spark, d):
 
 # -- groups of sequences -----------------------------------------------------
 
-MOST = 8  # turns of the longest conversation
-
-
 def _multi_ctes(w):
-    steps = [Q.TURNS, Q.words("tk", "turns", w, "group_id, ord"), """sizes AS (
+    return ",\n".join([Q.TURNS, Q.words("tk", "turns", w, "group_id, ord"), """sizes AS (
   SELECT group_id, count(*) AS n_seqs FROM turns GROUP BY group_id HAVING count(*) >= 3),
 ranks AS (SELECT group_id, ord, row_number() OVER (PARTITION BY group_id ORDER BY ord) - 1 AS rank FROM turns),
 shared AS (SELECT * FROM tk JOIN sizes USING (group_id) JOIN ranks USING (group_id, ord)
   QUALIFY len(list_distinct(list(rank) OVER (PARTITION BY group_id, kmer))) = n_seqs),
-m0 AS (SELECT group_id, n_seqs, kmer, [pos] AS idxs FROM shared WHERE rank = 0)"""]
-    for k in range(1, MOST):
-        steps.append(f"""m{k} AS (SELECT x.group_id, x.n_seqs, x.kmer,
-  CASE WHEN y.pos IS NULL THEN x.idxs ELSE list_append(x.idxs, y.pos) END AS idxs
-  FROM m{k - 1} x LEFT JOIN (SELECT * FROM shared WHERE rank = {k}) y
-    ON x.group_id = y.group_id AND x.kmer = y.kmer)""")
-    ds = ", ".join(f"coalesce(idxs[1] - idxs[{k + 1}], 0) AS d{k}" for k in range(1, MOST))
-    steps.append(f"""seeds AS (SELECT group_id, n_seqs, kmer, idxs, list_sum(idxs) AS a,
-  array_to_string(idxs, '-') AS spots, {ds} FROM m{MOST - 1})""")
-    return ",\n".join(steps)
+joined(group_id, n_seqs, kmer, k, idxs) AS (SELECT group_id, n_seqs, kmer, 0, [pos] FROM shared WHERE rank = 0
+  UNION ALL SELECT x.group_id, x.n_seqs, x.kmer, k + 1, list_append(idxs, pos)
+  FROM joined x JOIN shared y ON x.group_id = y.group_id AND x.kmer = y.kmer AND y.rank = k + 1),
+seeds AS MATERIALIZED (SELECT group_id, n_seqs, kmer, idxs, list_sum(idxs) AS a, array_to_string(idxs, '-') AS spots,
+  list_transform(idxs[2:], lambda x: idxs[1] - x) AS ds FROM joined WHERE k = n_seqs - 1)"""])
+
+
+def _multi_select(ctes, body):
+    return Q.select(ctes, body, recursive=True)
 
 
 def _at(col="idxs"):
     return F.array_join(F.transform(col, lambda x: x.cast("string")), "-")
 
 
-@query("seed_multi_shared_words", Q.select(
+@query("seed_multi_shared_words", _multi_select(
     _multi_ctes(W_MULTI), "SELECT group_id, kmer, count(*) AS n FROM shared GROUP BY group_id, kmer"))
 def seed_multi_shared_words(spark, d):
     return M.shared_kmers(T.conversations(spark, d), A, W_MULTI).groupBy("group_id", "kmer").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-@query("seed_multi_join", Q.select(_multi_ctes(W_MULTI), """SELECT group_id, n_seqs, kmer, spots, CAST(a AS BIGINT) AS a,
-  CAST(d1 AS BIGINT) AS d1, CAST(d2 AS BIGINT) AS d2 FROM seeds"""))
+@query("seed_multi_join", _multi_select(_multi_ctes(W_MULTI), """SELECT group_id, n_seqs, kmer, spots, CAST(a AS BIGINT) AS a,
+  CAST(ds[1] AS BIGINT) AS d1, CAST(ds[2] AS BIGINT) AS d2 FROM seeds"""))
 def seed_multi_join(spark, d):
     return M.seeds_multi(T.conversations(spark, d), A, W_MULTI).select(
         "group_id", "n_seqs", "kmer", _at().alias("spots"), *big("a"),
         F.get("ds", F.lit(0)).cast("bigint").alias("d1"), F.get("ds", F.lit(1)).cast("bigint").alias("d2"))
 
 
-@query("seed_multi_band_count", Q.select(_multi_ctes(W_MULTI), """SELECT group_id,
-  count(*) FILTER (WHERE d1 BETWEEN -40 AND 40 AND a BETWEEN 30 AND 900) AS n_seeds FROM seeds GROUP BY group_id"""))
+@query("seed_multi_band_count", _multi_select(_multi_ctes(W_MULTI), """SELECT group_id,
+  count(*) FILTER (WHERE ds[1] BETWEEN -40 AND 40 AND a BETWEEN 30 AND 900) AS n_seeds FROM seeds GROUP BY group_id"""))
 def seed_multi_band_count(spark, d):
     return M.seed_count_multi(M.seeds_multi(T.conversations(spark, d), A, W_MULTI),
                               ds_band=[(-40, 40), None], a_band=(30, 900))
 
 
-@query("seed_multi_ij_roundtrip", Q.select(_multi_ctes(W_MULTI), "SELECT group_id, kmer, spots FROM seeds"))
+@query("seed_multi_ij_roundtrip", _multi_select(_multi_ctes(W_MULTI), "SELECT group_id, kmer, spots FROM seeds"))
 def seed_multi_ij_roundtrip(spark, d):
     seeds = M.seeds_multi(T.conversations(spark, d), A, W_MULTI)
     return seeds.select("group_id", "kmer", _at(coords.to_positions_multi("ds", "a")).alias("spots"))
@@ -567,7 +563,7 @@ def _group_dims(spark, d):
     return dims.withColumn("volume", F.pow(F.lit(2.0 * R_GROUP), (F.col("n_seqs") - 1).cast("double")) * F.col("len"))
 
 
-@query("multi_match_prob", Q.select(_GROUP_DIMS, f"SELECT group_id, {Q.r6(_MMP)} AS p FROM per_group"))
+@query("multi_match_prob", _multi_select(_GROUP_DIMS, f"SELECT group_id, {Q.r6(_MMP)} AS p FROM per_group"))
 def multi_match_prob(spark, d):
     return _group_dims(spark, d).select(
         "group_id", r6(stats.match_probability_multi("n", "volume", "len", 4, "n_seqs", W_GROUP)).alias("p"))
@@ -579,7 +575,7 @@ _Q1 = f"(CASE WHEN p = 1 THEN {Q.dbl(1 - stats.MACHINE_EPS)} ELSE p END)"
 _PW1 = f"pow({_Q1}, {W_GROUP})"
 
 
-@query("multi_z_scores", Q.select(
+@query("multi_z_scores", _multi_select(
     _GROUP_DIMS + f", scored AS (SELECT *, {_MMP} AS p FROM per_group)",
     f"""SELECT group_id, {Q.r6(f'(n - {_VOLUME} * {_PW0}) / sqrt({_V0})').replace(', 6)', ', 3)')} AS z_h0,
   {Q.r6(f'(n - {_VOLUME} * {_PW0} - len * {_PW1}) / sqrt({_V0} + len * {Q.variance(_Q1, _PW1, W_GROUP)})').replace(', 6)', ', 3)')} AS z_h1
@@ -591,7 +587,7 @@ def multi_z_scores(spark, d):
     return dims.select("group_id", r3(z0).alias("z_h0"), r3(z1).alias("z_h1"))
 
 
-_NEAR = " AND ".join(f"abs(x.d{k} - y.d{k}) <= {R_GROUP}" for k in range(1, MOST))
+_NEAR = f"list_max(list_transform(list_zip(x.ds, y.ds), lambda p: abs(p[1] - p[2]))) <= {R_GROUP}"
 _MULTI_SCORED = f"""{_multi_ctes(W_GROUP)},
 boxed AS (SELECT x.group_id, x.spots, count(*) - 1 AS n_neigh FROM seeds x JOIN seeds y ON x.group_id = y.group_id
   AND abs(x.a - y.a) <= ceil(x.n_seqs * {K_GROUP} / 2.0) AND {_NEAR} GROUP BY ALL),
@@ -600,7 +596,7 @@ scored AS (SELECT seeds.*, n_neigh,
   FROM seeds JOIN boxed USING (group_id, spots))"""
 
 
-@query("multi_neighbors", Q.select(
+@query("multi_neighbors", _multi_select(
     _MULTI_SCORED, f"SELECT group_id, spots, CAST(n_neigh AS BIGINT) AS n_neigh, {Q.r6('p')} AS p FROM scored"))
 def multi_neighbors(spark, d):
     seeds = M.seeds_multi(T.conversations(spark, d), A, W_GROUP)
@@ -612,15 +608,10 @@ P_GROUP = 0.8
 
 
 def _multi_segments_sql():
-    dims = range(1, MOST)
-    lo = ", ".join(f"least(min_by(d{k}, id) - {R_GROUP}, min(d{k})) AS lo{k}, "
-                   f"greatest(min_by(d{k}, id) + {R_GROUP}, max(d{k})) AS hi{k}" for k in dims)
-    clip = ", ".join(
-        f"CASE WHEN n_seqs > {k} THEN least(lens[1], greatest({e}{k}, -lens[{k + 1}])) END AS {e}{k}"
-        for k in dims for e in ("lo", "hi"))
-    inside = " AND ".join(f"(b.lo{k} IS NULL OR z.d{k} BETWEEN b.lo{k} AND b.hi{k})" for k in dims)
-    box = "concat_ws(' ', " + ", ".join(f"lo{k} || ':' || hi{k}" for k in dims) + ")"
-    volume = "(a_max - a_min)::DOUBLE" + "".join(f" * coalesce(hi{k} - lo{k}, 1)" for k in dims)
+    clip = ", ".join(f"list(least(lens[1], greatest({e}, -lens[k + 1])) ORDER BY k) AS {e}" for e in ("lo", "hi"))
+    volume = "(a_max - a_min)::DOUBLE * list_product(list_transform(list_zip(lo, hi), lambda p: p[2] - p[1]))"
+    box = "array_to_string(list_transform(list_zip(lo, hi), lambda p: p[1] || ':' || p[2]), ' ')"
+    inside = "list_bool_and(list_transform(list_zip(z.ds, b.lo, b.hi), lambda p: p[1] BETWEEN p[2] AND p[3]))"
     ctes = _MULTI_SCORED + f""",
 good AS (SELECT *, row_number() OVER (ORDER BY group_id, kmer, idxs) AS id FROM (
   SELECT * FROM scored WHERE p >= {Q.dbl(P_GROUP)})),
@@ -629,12 +620,15 @@ links AS (SELECT x.id AS u, y.id AS v FROM good x JOIN good y ON x.group_id = y.
 reach(id, label) AS (SELECT id, id FROM good UNION
   SELECT links.v, reach.label FROM reach JOIN links ON reach.id = links.u WHERE reach.label < links.v),
 roots AS (SELECT id, min(label) AS root FROM reach GROUP BY id),
-merged AS (SELECT group_id, n_seqs, root, {lo}, min(a) - ceil(n_seqs * {K_GROUP} / 2.0) AS a0,
+merged AS (SELECT group_id, n_seqs, root, min(a) - ceil(n_seqs * {K_GROUP} / 2.0) AS a0,
   max(a) + ceil(n_seqs * {K_GROUP} / 2.0) AS a1, (sum(p) + min_by(p, id)) / (count(*) + 1) AS p, count(*) AS n_qualified
   FROM good JOIN roots USING (id) GROUP BY group_id, n_seqs, root),
 lens AS (SELECT group_id, list(length(seq) ORDER BY ord) AS lens FROM turns GROUP BY group_id),
-boxes AS (SELECT group_id, n_seqs, root, p, n_qualified, {clip}, CAST(greatest(a0, 0) AS BIGINT) AS a_min,
-  CAST(least(a1, list_sum(lens)) AS BIGINT) AS a_max FROM merged JOIN lens USING (group_id)),
+spans AS (SELECT group_id, root, k, least(min_by(d, id) - {R_GROUP}, min(d)) AS lo, greatest(min_by(d, id) + {R_GROUP}, max(d)) AS hi
+  FROM (SELECT group_id, root, id, unnest(ds) AS d, unnest(range(1, n_seqs)) AS k FROM good JOIN roots USING (id)) GROUP BY ALL),
+sides AS (SELECT root, {clip} FROM spans JOIN lens USING (group_id) GROUP BY root),
+boxes AS (SELECT group_id, n_seqs, root, p, n_qualified, lo, hi, CAST(greatest(a0, 0) AS BIGINT) AS a_min,
+  CAST(least(a1, list_sum(lens)) AS BIGINT) AS a_max FROM merged JOIN lens USING (group_id) JOIN sides USING (root)),
 counted AS (SELECT b.*, {volume} AS volume, (a_max - a_min) // n_seqs AS len, (SELECT count(*) FROM seeds z WHERE z.group_id = b.group_id
   AND z.a BETWEEN b.a_min AND b.a_max AND {inside}) AS n FROM boxes b),
 ready AS (SELECT *, {box} AS d_ranges, volume * {Q.variance(_P0, _PW0, W_GROUP)} AS v0 FROM counted)"""

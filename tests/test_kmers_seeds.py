@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -138,7 +139,10 @@ def test_self_seeds_of_a_word_that_fills_a_sequence(spark, monkeypatch):
     counts = {r.s_id: r["count"] for r in S.self_seeds(found, DNA, 5).groupBy("s_id").count().collect()}
     assert counts[1] == 41 * 42 // 2
 
-def test_multi_seeds(spark):
+@pytest.mark.parametrize("limits", [(512, 1 << 16), (2, 3)])
+def test_multi_seeds(spark, monkeypatch, limits):
+    monkeypatch.setattr(M, "LIST", limits[0])
+    monkeypatch.setattr(M, "RANGE", limits[1])
     w, rng = 5, random.Random(4)
     shared = "".join(rng.choice("ACGT") for _ in range(3 * w))
     texts = [shared + "".join(rng.choice("ACGT") for _ in range(20)) for _ in range(4)]
@@ -156,3 +160,18 @@ def test_multi_seeds(spark):
     assert got == want and {(k,) * 4 for k in range(2 * w + 1)} <= got
     n = M.seed_count_multi(M.seeds_multi(groups, DNA, w), ds_band=[(0, 0), (0, 0), None], a_band=(0, 4 * 2 * w)).first().n_seeds
     assert n == sum(1 for s in want if s[0] == s[1] == s[2] and sum(s) <= 8 * w)
+
+
+def test_multi_seeds_of_repeats(spark, monkeypatch):
+    """Every combination once, from several lists and ranges; one plan for groups of any size."""
+    monkeypatch.setattr(M, "LIST", 3)
+    monkeypatch.setattr(M, "RANGE", 10)
+    groups = spark.createDataFrame([(1, k, "A" * n) for k, n in enumerate((9, 4, 12))] + [(2, k, "ACGA") for k in range(5)]
+                                   + [(None, k, "AAAA") for k in range(3)], "group_id bigint, ord int, seq string")
+    found = M.seeds_multi(groups, DNA, 2)
+    rows = [tuple(r.idxs) for r in found.where("group_id = 1").collect()]
+    assert sorted(rows) == sorted(itertools.product(range(8), range(3), range(11)))
+    assert found.where("group_id = 2").count() == 3
+    joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    longer = groups.unionByName(spark.createDataFrame([(3, k, "ACGA") for k in range(40)], groups.schema))
+    assert M.seeds_multi(longer, DNA, 2)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
