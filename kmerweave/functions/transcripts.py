@@ -97,20 +97,59 @@ def remove_long_gaps(tx, max_gap=100) -> Column:
 
 # -- per-position views ------------------------------------------------------
 #
-# Transcripts are exploded to (position, op) once; windows then run along one
-# transcript, whose length bounds them.
+# A transcript is cut into chunks before it is exploded. A chunk knows how many
+# letters of either sequence are in front of it, and brings along as many
+# neighbouring operations as a window reaches over, so windows run inside chunks,
+# chunks are what is dealt over the tasks, and exploded rows stay where they are.
 
-def positions(df: DataFrame, tx="tx", keys=("seq_id",)) -> DataFrame:
-    """One row per operation with the sequence positions in front of it:
-    ``(*keys, idx, op, i, j)``."""
-    keys = list(keys)
-    ops = df.select(*keys, F.posexplode(F.regexp_extract_all(_c(tx), F.lit("(.)"), F.lit(1))).alias("idx", "op"))
-    before = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+#: Operations of a chunk, if windows are not wide.
+CHUNK = 1 << 13
+
+
+def _operations(df, tx, keys, before=0, after=0):
+    """One row per operation and chunk that reads it: ``(*keys, _chunk, _n, idx, op, i, j, _own)``, dealt and grouped by
+    chunk. A chunk reads ``before`` and ``after`` operations around its own. ``_n`` is the transcript's length."""
+    size = max(CHUNK, 4 * (before + after))
+    data = df.select(*keys, F.col(tx).cast("binary").alias("_b"), F.length(tx).alias("_n")).where("_n > 0")
+    numbers = F.sequence(F.lit(0), F.ceil(F.col("_n") / size).cast("int") - 1)
+
+    def letters(part, others):
+        return F.length(F.translate(part.cast("string"), others, ""))
+
+    def in_front(others):
+        counts = F.transform(numbers, lambda c: letters(F.substring("_b", c * size + 1, F.lit(size)), others))
+        return F.aggregate(counts, F.array(F.lit(0)), lambda upto, x: F.concat(upto, F.array(F.element_at(upto, -1) + x)))
+
+    lead = F.least(F.col("_chunk") * size, F.lit(before))
+    chunks = data.select(*keys, "_b", "_n", in_front("I$").alias("_is"), in_front("D$").alias("_js"),
+                         F.explode(numbers).alias("_chunk"))
+    halo = F.substring("_b", F.col("_chunk") * size - lead + 1, lead)
+    parts = chunks.select(
+        *keys, "_n", "_chunk", (F.col("_chunk") * size - lead).alias("_at"),
+        F.substring("_b", F.col("_chunk") * size - lead + 1, lead + size + after).alias("_part"),
+        (F.get("_is", F.col("_chunk")) - letters(halo, "I$")).alias("_i"),
+        (F.get("_js", F.col("_chunk")) - letters(halo, "D$")).alias("_j")).repartition(*keys, "_chunk")
+    ops = parts.select(*keys, "_chunk", "_n", "_at", "_i", "_j", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length("_part")), lambda p: F.substring("_part", p, F.lit(1)).cast("string"))).alias("_p", "op"))
+    back = Window.partitionBy(*keys, "_chunk").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
 
-    def seen(ops_):
-        return F.coalesce(F.count_if(F.col("op").isin(*ops_)).over(before), F.lit(0)).cast("int")
+    def seen(kinds):
+        return F.coalesce(F.count_if(F.col("op").isin(*kinds)).over(back), F.lit(0))
 
-    return ops.withColumn("i", seen("MSD")).withColumn("j", seen("MSI"))
+    idx = F.col("_at") + F.col("_p")
+    own = (idx >= F.col("_chunk") * size) & (idx < (F.col("_chunk") + 1) * size)
+    return ops.select(*keys, "_chunk", "_n", idx.alias("idx"), "op", (F.col("_i") + seen("MSD")).cast("int").alias("i"),
+                      (F.col("_j") + seen("MSI")).cast("int").alias("j"), own.alias("_own"))
+
+
+def _around(keys, first, last):
+    return Window.partitionBy(*keys, "_chunk").orderBy("idx").rowsBetween(first, last)
+
+
+def positions(df: DataFrame, tx="tx", keys=("seq_id",)) -> DataFrame:
+    """One row per operation with the sequence positions in front of it:
+    ``(*keys, idx, op, i, j)``. ``keys`` tell transcripts apart."""
+    return _operations(df, tx, list(keys)).select(*keys, "idx", "op", "i", "j")
 
 
 def path(df: DataFrame, tx="tx", keys=("seq_id",), x0=0, y0=0) -> DataFrame:
@@ -122,18 +161,15 @@ def path(df: DataFrame, tx="tx", keys=("seq_id",), x0=0, y0=0) -> DataFrame:
 
 
 def _sliding(df, radius, tx, keys, ops):
-    keys = list(keys)
-    around = Window.partitionBy(*keys).orderBy("idx").rowsBetween(-radius, radius - 1)
-    size = df.where(F.length(tx) > 2 * radius).withColumn("_n", F.length(tx))
-    at = positions(size, tx, [*keys, "_n"])
+    at = _operations(df, tx, list(keys), radius, radius - 1)
     inner = (F.col("idx") >= radius) & (F.col("idx") < F.col("_n") - radius)
-    share = F.count_if(F.col("op").isin(*ops)).over(around) / (2.0 * radius)
-    return at.withColumn("share", share).withColumn("inner", inner)
+    share = F.count_if(F.col("op").isin(*ops)).over(_around(keys, -radius, radius - 1)) / (2.0 * radius)
+    return at.withColumn("share", share).withColumn("inner", inner).where("_own")
 
 
 def match_rate(df, radius, tx="tx", keys=("seq_id",)) -> DataFrame:
-    """Share of ``M`` among the ``2 * radius`` operations around each position,
-    0 in the flanks; transcripts must be longer than that."""
+    """Share of ``M`` among the ``2 * radius`` operations around each position, 0 in the
+    flanks, which is everywhere in transcripts that are no longer than that."""
     out = _sliding(df, radius, tx, keys, "M")
     return out.select(*keys, "idx", "op", "i", "j",
                       F.when(F.col("inner"), F.col("share")).otherwise(F.lit(0.0)).alias("p_match"))
@@ -157,10 +193,9 @@ def projected_match_rate(df, radius, on="origin", tx="tx", keys=("seq_id",)) ->
 def matching_words(df, wordlen, tx="tx", keys=("seq_id",)) -> DataFrame:
     """Positions at which ``wordlen`` matches in a row start: ``(*keys, idx, i, j)``."""
     keys = list(keys)
-    ahead = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, wordlen - 1)
-    return positions(df, tx, keys).withColumn(
-        "_m", F.count_if(F.col("op") == "M").over(ahead)).where(
-        F.col("_m") == wordlen).select(*keys, "idx", "i", "j")
+    matches = F.count_if(F.col("op") == "M").over(_around(keys, 0, wordlen - 1))
+    return _operations(df, tx, keys, 0, wordlen - 1).withColumn("_m", matches).where(
+        (F.col("_m") == wordlen) & F.col("_own")).select(*keys, "idx", "i", "j")
 
 
 def sample_windows(df, length, n_samples, gap=None, match=None, resolution=1e-3, tx="tx",

@@ -733,7 +733,7 @@ def _rate(ops):
 
 
 _RATES = f"""{_DOC_TX}, {_OPS}, r AS (SELECT *, {_rate("'M'")} AS m, {_rate("'M', 'S'")} AS ms,
-  idx >= 8 AND idx < n - 8 AS inner_ FROM w WHERE n > 16)"""
+  idx >= 8 AND idx < n - 8 AS inner_ FROM w)"""
 
 
 @query("opseq_match_profile", Q.select(_RATES, f"""SELECT seq_id, count(*) AS n, {Q.r6("sum(CASE WHEN inner_ THEN m ELSE 0 END)")} AS total,

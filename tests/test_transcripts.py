@@ -52,9 +52,12 @@ def brute_rates(tx, r, ops):
     return [sum(c in ops for c in tx[i - r:i + r]) / (2 * r) if r <= i < len(tx) - r else 0.0 for i in range(len(tx))]
 
 
-def test_positions_and_rates(spark):
-    text = "MMSDIMMMDDSMIIMMMSMMDM"
-    df = tx_table(spark, text, "MM")
+@pytest.mark.parametrize("chunk", [X.CHUNK, 5])
+def test_positions_and_rates(spark, monkeypatch, chunk):
+    monkeypatch.setattr(X, "CHUNK", chunk)
+    text = "MMSDIMMMDDSMIIMMMSMMDM" * 2
+    df = tx_table(spark, text, "MM", "")
+    assert [r.p_match for r in X.match_rate(df, 3).where("seq_id = 1").collect()] == [0.0, 0.0]
     at = X.positions(df).where("seq_id = 0").orderBy("idx").collect()
     i = j = 0
     for r in at:
@@ -62,9 +65,9 @@ def test_positions_and_rates(spark):
         i, j = i + (r.op != "I"), j + (r.op != "D")
     pts = X.path(df, x0=3).where("seq_id = 0").orderBy("step").collect()
     assert len(pts) == len(text) + 1 and (pts[-1].x, pts[-1].y) == (i + 3, j)
-    rates = X.match_rate(df, 3).orderBy("idx").collect()
+    rates = X.match_rate(df, 3).where("seq_id = 0").orderBy("idx").collect()
     assert [r.p_match for r in rates] == pytest.approx(brute_rates(text, 3, "M"))
-    gaps = X.gap_rate(df, 3).orderBy("idx").collect()
+    gaps = X.gap_rate(df, 3).where("seq_id = 0").orderBy("idx").collect()
     assert [r.p_gap for r in gaps][3:-3] == pytest.approx([1 - x for x in brute_rates(text, 3, "MS")][3:-3])
     words = {r.idx for r in X.matching_words(df, 2).where("seq_id = 0").collect()}
     assert words == {k for k in range(len(text) - 1) if text[k:k + 2] == "MM"}
@@ -72,10 +75,17 @@ def test_positions_and_rates(spark):
         last = {}
         for r in rates:
             last[r[col]] = r.p_match
-        assert {r.pos: r.p_match for r in X.projected_match_rate(df, 3, on).collect()} == last
+        assert {r.pos: r.p_match for r in X.projected_match_rate(df, 3, on).where("seq_id = 0").collect()} == last
     assert one(spark, X.remove_long_gaps(F.lit("M" + "D" * 100 + "I" * 99 + "M")))[0] == "M" + "I" * 99 + "M"
 
 
+def test_exploded_rows_are_not_shuffled(spark):
+    df = tx_table(spark, "MMSD" * 50)
+    for rows in (X.positions(df), X.path(df), X.match_rate(df, 8), X.matching_words(df, 3)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("Generate posexplode")
+
+
 def test_sampled_windows(spark):
     df = tx_table(spark, "MD" * 40, "M" * 80)
     got = X.sample_windows(df, 8, 6, gap=.5, resolution=.01).collect()
