@@ -7,7 +7,7 @@ its piece. Pointers with the same first words form a partition, and the size of
    and last two are left, and so on. Partitions too small for any candidate are abandoned: a filter of fixed size tells
    which leading words are left. It may keep some in vain, and drops none.
 2. Tasks cut pointers where their partition was abandoned and count equal ones; what is left is routed by the leading two
-   words. Leading words with a large share of all pointers go to several tasks by their further words.
+   words, and single words by themselves. Leading words with very many pointers go to several tasks by the third word.
 3. There a three-way quicksort on one word after the other splits all partitions in step, leaves those that became too
    small, goes one word deeper in those of equal words, and reports how large they are.
 
@@ -32,11 +32,11 @@ from kmerweave.llm.hashing import mix, span_hashes
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: The filter of leading words has so many bits: 16 MB, whatever the corpus.
 FILTER_BITS = 1 << 27
-#: Leading words with more pointers than this go to several tasks.
-ROWS_PER_TASK = 1 << 19
+#: Leading words with more pointers than this go to ``SPLIT`` tasks; a filter of this many bits tells which ones.
+ROWS_PER_TASK, SPLIT, HOT_BITS = 1 << 19, 256, 1 << 20
 #: Bytes of text that are read at a time, rows that a task puts together before it passes them on, rows of a batch that
 #: it passes on, and pointers that are sorted at a time.
-TOGETHER, HELD, BATCH, POINTERS = 2 << 20, 1 << 20, 1 << 16, 1 << 18
+TOGETHER, HELD, BATCH, POINTERS = 1 << 20, 1 << 20, 1 << 16, 1 << 18
 
 _GAP, _END = np.zeros(256, bool), np.zeros(256, bool)
 _GAP[[9, 32]] = True
@@ -142,16 +142,17 @@ def _summed(blocks: list[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatc
     return _in_batches(rows.drop_columns("n").take(pa.array(at)).append_column("n", pa.array(n)))
 
 
-def _suffixes(left: Broadcast, longest: int):
-    """Distinct pointers of a task's texts, cut where their leading words are in no partition that is left, and with depth
-    0 how many words these have."""
+def _suffixes(left: Broadcast, hot: Broadcast, longest: int):
+    """Distinct pointers of a task's texts, cut where their leading words are in no partition that is left: of two words
+    and more; of one word, for all pointers; and of none, for all words of a language. ``key`` is where a pointer goes; not
+    ``whole`` are those whose leading words go to several tasks."""
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(left.value, np.uint64)
+        words, many = (np.frombuffer(x.value, np.uint64) for x in (left, hot))
         blocks, size = [], 0
         for pointers in _batched(batches, longest):
             if not len(pointers.starts):
                 continue
-            blocks.append(distinct(pointers, words))
+            blocks.append(distinct(pointers, words, many))
             size += len(blocks[-1][0])
             if size >= HELD:
                 yield from _summed(blocks)
@@ -159,50 +160,48 @@ def _suffixes(left: Broadcast, longest: int):
         if size:
             yield from _summed(blocks)
 
-    def distinct(pointers: Pointers, words: np.ndarray) -> tuple[np.ndarray, pa.Table]:
+    def distinct(pointers: Pointers, words: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, pa.Table]:
         leads = pointers.leading(longest)
-        depth, going, key = np.zeros(len(leads[0]), np.int64), np.ones(len(leads[0]), bool), leads[0].copy()
+        depth, going, same = np.zeros(len(leads[0]), np.int64), np.ones(len(leads[0]), bool), leads[0].copy()
         for d in range(longest):
             going = going & (pointers.depth > d) & _is_in(words, leads[d])
             depth += going
-            key[going] = leads[d][going]
-        lead = np.where(depth > 1, leads[1], np.uint64(0))
-        frequent = np.flatnonzero(depth)
-        key, at, n = np.unique(key[frequent], return_index=True, return_counts=True)
-        at = frequent[at]
-        # One row a language for all its words.
+            same[going] = leads[d][going]
+        single, longer = np.flatnonzero(depth), np.flatnonzero(depth > 1)
         langs, spoken = np.unique(pointers.lang, return_counts=True)
-        every = np.concatenate([langs, pointers.lang[at]])
-        names = pa.DictionaryArray.from_arrays(pa.array(every.astype(np.int32)), pa.array(pointers.names.tolist(), pa.binary()))
-        return np.concatenate([pointers.seed_of[langs], key]), pa.table({
+        found = [(pointers.seed_of[langs], np.unique(pointers.lang, return_index=True)[1], spoken, 0 * langs)]
+        for at, value in ((single, leads[0]), (longer, same)):
+            key, first, n = np.unique(value[at], return_index=True, return_counts=True)
+            found.append((key, at[first], n, depth[at[first]] if at is longer else np.ones(len(n), np.int64)))
+        same, at, n, depth = (np.concatenate(x) for x in zip(*found))
+        key, split = np.where(depth > 1, leads[1][at], same), (depth > 1) & _is_in(many, leads[1][at])
+        third = np.where(depth[split] > 2, pointers.hashes[np.minimum(at[split] + 2, len(pointers.hashes) - 1)] % np.uint64(SPLIT), 0)
+        with np.errstate(over="ignore"):
+            key[split] = mix(key[split] + third.astype(np.uint64))
+        names = pa.DictionaryArray.from_arrays(pa.array(pointers.lang[at].astype(np.int32)), pa.array(pointers.names.tolist(), pa.binary()))
+        return same, pa.table({
             "lang": names.cast(pa.binary()).cast(pa.string()),
-            "phrase": pa.array([b""] * len(langs) + pointers.phrases(at, depth[at]), pa.binary()).cast(pa.string()),
-            "depth": np.concatenate([0 * langs, depth[at]]).astype(np.int32),
-            "lead": np.concatenate([np.zeros(len(langs), np.int64), lead[at].view(np.int64)]),
-            "n": np.concatenate([spoken, n])})
+            "phrase": pa.array(pointers.phrases(at, depth), pa.binary()).cast(pa.string()),
+            "key": key.view(np.int64), "whole": ~split, "n": n})
 
     return rows
 
 
-def _places(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the filter that stand for a hash."""
-    return lead & np.uint64(FILTER_BITS - 1), (lead >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
-
-
 def _is_in(words: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    found = np.ones(len(lead), bool)
-    for place in _places(lead):
+    """Whether both bits that stand for a hash are set."""
+    found, last = np.ones(len(lead), bool), np.uint64(64 * len(words) - 1)
+    for place in (lead & last, (lead >> np.uint64(32)) & last):
         found &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
 
 
-def _filter(counts: DataFrame, before: bytes | None) -> bytes:
+def _filter(counts: DataFrame, bits: int, before: bytes | None = None) -> bytes:
     """The bits of all leading words in ``counts``, besides those ``before``; its size does not depend on the corpus."""
-    low, high = (place.bitwiseAND(F.lit(FILTER_BITS - 1)) for place in (F.col("lead"), F.shiftrightunsigned("lead", 32)))
+    low, high = (place.bitwiseAND(F.lit(bits - 1)) for place in (F.col("lead"), F.shiftrightunsigned("lead", 32)))
     words = counts.select(F.explode(F.array(low, high)).alias("place")).groupBy(
         F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
     table = words.toArrow()
-    out = np.frombuffer(before or bytes(FILTER_BITS // 8), np.int64).copy()
+    out = np.frombuffer(before or bytes(bits // 8), np.int64).copy()
     out[table["word"].to_numpy()] |= table["bits"].to_numpy()
     return out.tobytes()
 
@@ -246,10 +245,15 @@ def partitions(symbols: list[np.ndarray], weights: np.ndarray, whole: np.ndarray
 
 
 def _sorted_counts(longest: int, least: int):
-    """Phrases of two words and more and their counts, of a partition sorted by ``key``; holds about ``POINTERS`` and one
-    key's pointers. Counts of leading words that are not ``whole`` are parts of a sum."""
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
+    """Phrases and their counts, of a partition sorted by ``key``; holds about ``POINTERS`` and one key's pointers. Counts of
+    leading words that are not ``whole`` are parts of a sum."""
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        longer = pc.match_substring(table["phrase"], " ")
+        for rows, shallowest in ((table.filter(pc.invert(longer)), 2), (table.filter(longer), 3)):
+            if rows.num_rows:
+                yield from counts(rows.combine_chunks(), shallowest)
+
+    def counts(rows: pa.Table, shallowest: int) -> Iterator[pa.RecordBatch]:
         words = pc.split_pattern(rows["phrase"], " ").combine_chunks()
         first = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode().indices.to_numpy()
@@ -258,7 +262,7 @@ def _sorted_counts(longest: int, least: int):
         symbols = [lang.astype(np.int64)]
         for d in range(longest):
             symbols.append(np.where(length > d, coded[np.minimum(first[:-1] - first[0] + d, len(coded) - 1)], -1).astype(np.int64))
-        for depth, at, total in partitions(symbols, rows["n"].to_numpy(), rows["whole"].to_numpy(zero_copy_only=False), least, 3):
+        for depth, at, total in partitions(symbols, rows["n"].to_numpy(), rows["whole"].to_numpy(), least, shallowest):
             phrases = pc.binary_join(pc.list_slice(words.take(pa.array(at)), 0, depth - 1), " ")
             yield pa.RecordBatch.from_arrays([rows["lang"].combine_chunks().take(pa.array(at)), phrases,
                                               pa.array(total)], names=["lang", "phrase", "n"])
@@ -289,7 +293,7 @@ def _lengths(phrase: str):
 
 def counted(docs: DataFrame, text_col="text", lang_col="lang", longest=LONGEST, least=LEAST) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, f)`` of all phrases of up to ``longest`` words that occur ``least`` times or more within pieces of
-    the texts of a language, and ``(lang, n)``, how many words its texts have."""
+    the texts of a language, and ``(lang, n)``, how many words its texts have, if these are ``least`` or more."""
     batch_texts(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).cast("binary").alias("lang"),
                         F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
@@ -299,22 +303,14 @@ def counted(docs: DataFrame, text_col="text", lang_col="lang", longest=LONGEST,
         counts = texts.mapInArrow(_leading_counts(depths, left and share(left)), "lead bigint, n bigint").groupBy("lead").agg(
             F.sum("n").alias("n"))
         counts = cut_lineage(counts.where(F.col("n") >= least), "collocations-leading")
-        hot = hot or counts
-        left = _filter(counts, left)
-    left = share(left)
-    suffixes = cut_lineage(texts.mapInArrow(
-        _suffixes(left, longest), "lang string, phrase string, depth int, lead bigint, n bigint"), "collocations-suffixes")
-    hot = cut_lineage(hot.where(F.col("n") > ROWS_PER_TASK).select(
-        "lead", F.ceil(F.col("n") / ROWS_PER_TASK).cast("int").alias("parts")), "collocations-hot")
-    third = F.substring_index(F.substring_index("phrase", " ", 3), " ", -1)
-    parts = F.coalesce("parts", F.lit(1))
-    routed = suffixes.where("depth > 1").join(hot, "lead", "left").select(
-        "lang", "phrase", "n", (parts == 1).alias("whole"), F.xxhash64("lead", F.pmod(F.xxhash64(third), parts)).alias("key"))
-    counts = routed.repartition("key").sortWithinPartitions("key").mapInArrow(
+        hot = hot or _filter(counts.where(F.col("n") > ROWS_PER_TASK), HOT_BITS)
+        left = _filter(counts, FILTER_BITS, left)
+    suffixes = texts.mapInArrow(_suffixes(share(left), share(hot), longest),
+                                "lang string, phrase string, key bigint, whole boolean, n bigint")
+    parts = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(
         _sorted_counts(longest, least), "lang string, phrase string, n bigint")
-    words = suffixes.where("depth > 0").select("lang", F.substring_index("phrase", " ", 1).alias("phrase"), "n")
-    phrases = words.unionByName(counts).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return cut_lineage(phrases, "collocations-phrases"), suffixes.where("depth = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    found = cut_lineage(parts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "collocations-phrases")
+    return found.where("phrase <> ''"), found.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def _scored(phrases: DataFrame) -> DataFrame:
