@@ -163,6 +163,28 @@ def time_in_band(length: float, gap: float, radius: float) -> float:
     return inside + x * edge
 
 
+def erf(x) -> Column:
+    """Error function, to about 1e-15: ``2 / sqrt(pi) * exp(-x^2)`` times the sum of ``2^n x^(2n+1) / (1 * 3 * ... * (2n+1))``,
+    whose terms have one sign. Beyond 6 it is 1 in double precision."""
+    x = _c(x).cast("double")
+    near = F.least(F.abs(x), F.lit(6.0))
+    start = F.struct(near.alias("term"), near.alias("total"), (2 * near * near).alias("twice"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(140)), start, lambda acc, n: F.struct(
+        (acc["term"] * acc["twice"] / (2 * n + 1)).alias("term"),
+        (acc["total"] + acc["term"] * acc["twice"] / (2 * n + 1)).alias("total"), acc["twice"].alias("twice")),
+        lambda acc: acc["total"])
+    return F.signum(x) * F.when(F.abs(x) >= 6, F.lit(1.0)).otherwise(
+        F.lit(2 / math.sqrt(math.pi)) * F.exp(-near * near) * total)
+
+
+def expected_time_in_band(length, gap, radius) -> Column:
+    """``time_in_band`` of columns: the expected share of the steps of an edit path of a length and gap rate on diagonals
+    within a radius. Null where nothing can leave the band's middle: no length or no gaps."""
+    x = _c(radius) / F.sqrt(F.nullif(2.0 * _c(gap) * _c(length), F.lit(0.0)))
+    inside = erf(x)
+    return inside + x * (F.lit(2 / math.sqrt(math.pi)) * F.exp(-x * x) - 2 * x * (1 - inside))
+
+
 def neg_log_kmer_rank_prob(rank, wordlen) -> Column:
     """Rank-abundance model of words: ``w + p0 * rank + ln(rank) / 4`` with
     ``p0 = 4 ** -w``."""

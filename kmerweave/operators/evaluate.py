@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerweave.operators.lineage import cut_lineage
+from kmerweave.operators.skew import salted_join
+
+#: Reads of a bin that one task compares with as many others.
+PILE = 1 << 13
 
 
 def mean_sd(df: DataFrame, value: str, keys) -> DataFrame:
@@ -136,20 +140,26 @@ def rates(stats: DataFrame) -> DataFrame:
         "fpr", F.col("fp") / F.nullif(n, F.lit(0)))
 
 
-def overlapping_intervals(reads: DataFrame, min_overlap=50, bin_size=1024) -> DataFrame:
+def overlapping_intervals(reads: DataFrame, min_overlap=50, bin_size=1024, rows_per_task=None) -> DataFrame:
     """Pairs of mapped reads ``(id, strand, start, stop)`` on the same strand whose
     intervals share more than ``min_overlap`` positions: ``(id1, id2, overlap)``,
-    ``id1 < id2``. Intervals are binned; a pair is reported only in the bin in
-    which the later one starts."""
-    binned = reads.withColumn("bin", F.explode(F.sequence(
-        F.floor(F.col("start") / bin_size), F.floor(F.col("stop") / bin_size))))
-    x = binned.select("strand", "bin", F.col("id").alias("id1"), F.col("start").alias("s1"), F.col("stop").alias("e1"))
-    y = binned.select("strand", "bin", F.col("id").alias("id2"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
-    overlap = F.least("e1", "e2") - F.greatest("s1", "s2")
-    return x.join(y, ["strand", "bin"]).where(
-        (F.col("id1") < F.col("id2")) & (overlap > min_overlap)
-        & (F.floor(F.greatest("s1", "s2") / bin_size) == F.col("bin"))
-    ).select("id1", "id2", overlap.alias("overlap"))
+    ``id1 < id2``.
+
+    A pair meets in the bin in which the later one starts, so a read is repeated only
+    in its role as the earlier one. A bin with more than ``rows_per_task`` (by default
+    ``PILE``) rows on a side becomes a grid of parts of both, so a task has at most
+    about so many of either side however many reads pile up at a place.
+    """
+    bin_of = lambda at: F.floor(at / bin_size)
+    early = reads.select("strand", F.col("id").alias("e_id"), F.col("start").alias("e_start"), F.col("stop").alias("e_stop"),
+                         F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.greatest("start", "stop")))).alias("bin"))
+    late = reads.select("strand", F.col("id").alias("l_id"), F.col("start").alias("l_start"), F.col("stop").alias("l_stop"),
+                        bin_of(F.col("start")).alias("bin"))
+    overlap = F.least("e_stop", "l_stop") - F.col("l_start")
+    ordered = (F.col("e_start") < F.col("l_start")) | ((F.col("e_start") == F.col("l_start")) & (F.col("e_id") < F.col("l_id")))
+    met = salted_join(early, late, ["strand", "bin"], ["e_id"], ["l_id"], rows_per_task or PILE)
+    return met.where(ordered & (F.col("e_id") != F.col("l_id")) & (overlap > min_overlap)).select(
+        F.least("e_id", "l_id").alias("id1"), F.greatest("e_id", "l_id").alias("id2"), overlap.alias("overlap"))
 
 
 def time_in_band(paths: DataFrame, radius: int, keys=("seq_id",)) -> DataFrame:

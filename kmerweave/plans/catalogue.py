@@ -418,8 +418,8 @@ def score_seeds(spark, d):
 
 
 @query("seed_neighbors", Q.select(Q.doc_seeds(W), f"""SELECT x.s_id, x.t_id, x.i, x.j, y.i AS n_i, y.j AS n_j
-FROM seeds x JOIN seeds y ON x.s_id = y.s_id AND x.t_id = y.t_id AND abs(x.d - y.d) <= {RADIUS}
-  AND abs(x.a - y.a) <= {K_MIN} AND (x.i <> y.i OR x.j <> y.j)"""))
+FROM (SELECT *, d + unnest(range(-{RADIUS}, {RADIUS} + 1)) AS near FROM seeds) x JOIN seeds y ON x.s_id = y.s_id AND x.t_id = y.t_id
+  AND x.near = y.d AND abs(x.a - y.a) <= {K_MIN} AND (x.i <> y.i OR x.j <> y.j)"""))
 def seed_neighbors(spark, d):
     return N.neighbor_edges(_doc_seeds(spark, d), RADIUS, K_MIN).select(
         "s_id", "t_id", *big("i", "j", "n_i", "n_j"))
@@ -777,6 +777,18 @@ def time_in_band(spark, d):
     return E.time_in_band(X.positions(_doc_tx(spark, d)), RADIUS_TX).select("seq_id", r6("in_band").alias("in_band"))
 
 
+# The error function as an integral, by Simpson's rule.
+@query("time_in_band_model", Q.select(f"""{Q.DOCS}, sizes AS (SELECT DISTINCT length(seq) AS n FROM docs WHERE seq <> ''),
+shares AS (SELECT n, {RADIUS_TX} / sqrt(2 * 0.2e0 * n) AS x FROM sizes),
+areas AS (SELECT n, x, x / 1200 * sum(CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(x * k / 400, 2)))
+  * 2 / sqrt(pi()) AS inside FROM shares, unnest(range(401)) AS u(k) GROUP BY n, x)""",
+    f"""SELECT n, {Q.r6("inside + x * (2 / sqrt(pi()) * exp(-x * x) - 2 * x * (1 - inside))")} AS in_band FROM areas"""))
+def time_in_band_model(spark, d):
+    """What share is expected for edit paths as long as each document."""
+    sizes = T.documents(spark, d).select(F.length("seq").alias("n")).where("n > 0").distinct()
+    return sizes.select(*big("n"), r6(stats.expected_time_in_band("n", 0.2, RADIUS_TX)).alias("in_band"))
+
+
 @query("diagonal_profile", Q.select(f"{_DOC_TX}, {_OPS}", """SELECT d, n, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS upto FROM (
   SELECT i - j AS d, count(*) AS n FROM w GROUP BY 1)"""))
 def diagonal_profile(spark, d):

@@ -35,7 +35,7 @@ def words(name, source, w, ids="seq_id"):
 
 
 def seeds(s_words, t_words, extra=""):
-    return f"""seeds AS (
+    return f"""seeds AS MATERIALIZED (
   SELECT s.seq_id AS s_id, t.seq_id AS t_id, s.kmer, s.pos AS i, t.pos AS j,
          s.pos - t.pos AS d, s.pos + t.pos AS a
   FROM {s_words} s JOIN {t_words} t ON s.kmer = t.kmer {extra})"""
@@ -94,10 +94,14 @@ def r6(x):
 # -- scored seeds and segments -----------------------------------------------
 
 def scored(source, k, r, w, n_letters=4):
-    return f"""boxed AS (
-  SELECT x.s_id, x.t_id, x.i, x.j, count(*) - 1 AS n_neigh
-  FROM {source} x JOIN {source} y ON x.s_id = y.s_id AND x.t_id = y.t_id
-    AND abs(x.d - y.d) <= {r} AND abs(x.a - y.a) <= {k} GROUP BY ALL),
+    """Neighbours are counted along each diagonal, on which every seed within reach of it is repeated."""
+    return f"""reached AS (
+  SELECT s_id, t_id, i, j, d, a, true AS own FROM {source}
+  UNION ALL SELECT s_id, t_id, i, j, d + unnest(range(-{r}, {r} + 1)), a, false FROM {source}),
+boxed AS (
+  SELECT s_id, t_id, i, j, n - 1 AS n_neigh FROM (
+    SELECT *, count(*) FILTER (WHERE NOT own) OVER (PARTITION BY s_id, t_id, d ORDER BY a
+      RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS n FROM reached) WHERE own),
 scored AS (
   SELECT {source}.*, n_neigh, {match_p('n_neigh + 1', 2 * r * k, k, n_letters, w)} AS p
   FROM {source} JOIN boxed USING (s_id, t_id, i, j))"""

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -7,7 +9,7 @@ from kmerweave import Alphabet, DNA
 from kmerweave.functions import transcripts as X
 from kmerweave.functions.mutation import MutationModel, letter_distribution, log_odds_table
 from kmerweave.functions.render import render
-from kmerweave.operators import evaluate as E, simulate as R
+from kmerweave.operators import evaluate as E, simulate as R, skew
 
 
 def one(spark, *cols):
@@ -123,6 +125,26 @@ def test_evaluation(spark):
     assert found == {(1, 2): 51, (1, 5): 200, (2, 3): 250, (2, 5): 251, (3, 5): 250}
 
 
+def test_piled_up_intervals(spark, monkeypatch):
+    """Half of all reads at one place: cells of bounded size, the same pairs."""
+    rng = random.Random(12)
+    rows = [(k, rng.choice("+-"), s, s + rng.randrange(300)) for k, s in enumerate(
+        [1000 + rng.randrange(3) for _ in range(60)] + [rng.randrange(3000) for _ in range(60)])]
+    rows += [(3, None, 1000, 1300), (7, "+", None, None)]
+    reads = spark.createDataFrame(rows, "id int, strand string, start int, stop int")
+    want = {(min(a, c), max(a, c)): min(x, y) - max(s, t) for a, u, s, x in rows for c, v, t, y in rows
+            if a < c and u == v and None not in (u, s, t) and min(x, y) - max(s, t) > 50}
+    for limit in (4, 1 << 13):
+        found = E.overlapping_intervals(reads, 50, 64, rows_per_task=limit).collect()
+        assert len(found) == len(want) and {(r.id1, r.id2): r.overlap for r in found} == want
+    kept = []
+    monkeypatch.setattr(E, "salted_join", lambda *a: kept.append(a) or skew.salted_join(*a))
+    E.overlapping_intervals(reads, 50, 64, rows_per_task=4)
+    left, right = skew.salted_sides(*kept[0])
+    cells = left.groupBy("strand", "bin", "left_salt", "right_salt").count().agg(F.max("count")).first()[0]
+    assert cells <= 16  # about four, where all would be sixty
+
+
 def test_time_in_band_tends_to_the_closed_form(spark):
     from kmerweave.functions.stats import time_in_band
     paths = X.positions(R.random_transcripts(spark, 100, 400, .2, seed=11))
@@ -132,6 +154,17 @@ def test_time_in_band_tends_to_the_closed_form(spark):
     assert total == 100 * 400
 
 
+def test_error_function_and_expected_share(spark):
+    from kmerweave.functions import stats
+    xs = [0.0, 1e-9, -0.3, 0.5, 1.0, 2.2, -3.3, 4.4, 5.9, 6.0, 30.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erf("x").alias("e")).collect()
+    assert all(abs(r.e - math.erf(r.x)) < 1e-14 for r in rows)
+    cases = [(400, .2, 8), (25_000, .1, 50), (10, .5, 30), (1, .01, 1)]
+    got = spark.createDataFrame(cases, "n int, g double, r int").select("*", stats.expected_time_in_band("n", "g", "r").alias("p")).collect()
+    assert all(r.p == pytest.approx(stats.time_in_band(r.n, r.g, r.r), abs=1e-12) for r in got)
+    assert spark.range(1).select(stats.expected_time_in_band(F.lit(0), 0.2, 5)).first()[0] is None
+
+
 def test_mutation_model(spark):
     with pytest.raises(ValueError):
         MutationModel(DNA, ge_prob=.1, go_prob=.2)
