@@ -32,8 +32,8 @@ from kmerweave.llm.hashing import mix, span_hashes
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: The filter of leading words has so many bits: 16 MB, whatever the corpus.
 FILTER_BITS = 1 << 27
-#: Leading words with more pointers than this go to ``SPLIT`` tasks; a filter of this many bits tells which ones.
-ROWS_PER_TASK, SPLIT, HOT_BITS = 1 << 19, 256, 1 << 20
+#: Leading words with more pointers than this go to several tasks; a filter of this many bits tells which ones.
+ROWS_PER_TASK, HOT_BITS = 1 << 19, 1 << 20
 #: Bytes of text that are read at a time, rows that a task puts together before it passes them on, rows of a batch that
 #: it passes on, and pointers that are sorted at a time.
 TOGETHER, HELD, BATCH, POINTERS = 1 << 20, 1 << 20, 1 << 16, 1 << 18
@@ -144,8 +144,8 @@ def _summed(blocks: list[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatc
 
 def _suffixes(left: Broadcast, hot: Broadcast, longest: int):
     """Distinct pointers of a task's texts, cut where their leading words are in no partition that is left: of two words
-    and more; of one word, for all pointers; and of none, for all words of a language. ``key`` is where a pointer goes; not
-    ``whole`` are those whose leading words go to several tasks."""
+    and more; of one word, for all pointers; and of none, for all words of a language. Not ``whole`` are those whose
+    leading words go to several tasks."""
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, many = (np.frombuffer(x.value, np.uint64) for x in (left, hot))
         blocks, size = [], 0
@@ -174,15 +174,12 @@ def _suffixes(left: Broadcast, hot: Broadcast, longest: int):
             key, first, n = np.unique(value[at], return_index=True, return_counts=True)
             found.append((key, at[first], n, depth[at[first]] if at is longer else np.ones(len(n), np.int64)))
         same, at, n, depth = (np.concatenate(x) for x in zip(*found))
-        key, split = np.where(depth > 1, leads[1][at], same), (depth > 1) & _is_in(many, leads[1][at])
-        third = np.where(depth[split] > 2, pointers.hashes[np.minimum(at[split] + 2, len(pointers.hashes) - 1)] % np.uint64(SPLIT), 0)
-        with np.errstate(over="ignore"):
-            key[split] = mix(key[split] + third.astype(np.uint64))
+        split = (depth > 1) & _is_in(many, leads[1][at])
         names = pa.DictionaryArray.from_arrays(pa.array(pointers.lang[at].astype(np.int32)), pa.array(pointers.names.tolist(), pa.binary()))
         return same, pa.table({
             "lang": names.cast(pa.binary()).cast(pa.string()),
             "phrase": pa.array(pointers.phrases(at, depth), pa.binary()).cast(pa.string()),
-            "key": key.view(np.int64), "whole": ~split, "n": n})
+            "whole": ~split, "n": n})
 
     return rows
 
@@ -305,9 +302,11 @@ def counted(docs: DataFrame, text_col="text", lang_col="lang", longest=LONGEST,
         counts = cut_lineage(counts.where(F.col("n") >= least), "collocations-leading")
         hot = hot or _filter(counts.where(F.col("n") > ROWS_PER_TASK), HOT_BITS)
         left = _filter(counts, FILTER_BITS, left)
-    suffixes = texts.mapInArrow(_suffixes(share(left), share(hot), longest),
-                                "lang string, phrase string, key bigint, whole boolean, n bigint")
-    parts = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(
+    suffixes = texts.mapInArrow(_suffixes(share(left), share(hot), longest), "lang string, phrase string, whole boolean, n bigint")
+    # Worked out on either side of the shuffle, as it would be a good part of what a row weighs.
+    leading, third = (F.substring_index("phrase", " ", k) for k in (2, 3))
+    key = F.xxhash64("lang", leading, F.when(~F.col("whole"), F.substring_index(third, " ", -1)))
+    parts = suffixes.repartition(key).withColumn("key", key).sortWithinPartitions("key").mapInArrow(
         _sorted_counts(longest, least), "lang string, phrase string, n bigint")
     found = cut_lineage(parts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "collocations-phrases")
     return found.where("phrase <> ''"), found.where("phrase = ''").select("lang", F.col("f").alias("n"))
