@@ -50,8 +50,9 @@ class PreTokens(Segments):
 
     splits, chunk_bytes = True, 8 << 20
 
-    def __init__(self, pattern: str, plain=True):
+    def __init__(self, pattern: str, plain=True, chunk_bytes=None):
         self.pattern, self.plain = regex.compile(pattern), plain
+        self.chunk_bytes = chunk_bytes or self.chunk_bytes
 
     def parts(self, word):
         text = word.decode()
@@ -70,12 +71,13 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_id", text_col="text", form="array",
-           position_col=None) -> DataFrame:
+           position_col=None, chunk_bytes=None) -> DataFrame:
     """``(doc_id, ids)`` of every row of ``docs``, ids in a ``form`` of ``distinct.encoded``; a null or empty text has none. Special tokens' strings are
     ordinary text. Rows without id and repeated rows are encoded like any other.
 
     ``table`` holds the token bytes and is of fixed size; it travels with the tasks. ``docs`` must come in the same
-    order each time it is read, as rows from files do. A ``position_col`` comes along as the double ``position``.
+    order each time it is read, as rows from files do. A ``position_col`` comes along as the double ``position``. Tasks
+    take ``chunk_bytes`` of text at a time: fewer need less memory, and have more distinct words to pass on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -87,7 +89,7 @@ def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, id_col="doc_i
     if position_col:
         texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(
             docs[text_col].cast("binary"), F.lit(b"")).alias("text"), docs[position_col].cast("double").alias("position"))
-    return distinct.encoded(texts, PreTokens(pattern), encoder, form)
+    return distinct.encoded(texts, PreTokens(pattern, chunk_bytes=chunk_bytes), encoder, form)
 
 
 def decode(encoded: DataFrame, table: dict[bytes, int], ids_col="ids", out_col="bytes") -> DataFrame:
