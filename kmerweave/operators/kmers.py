@@ -109,6 +109,20 @@ def save_kmer_index(kmers: DataFrame, table: str, buckets: int, mode="overwrite"
     kmers.write.bucketBy(buckets, "kmer").sortBy("kmer").mode(mode).saveAsTable(table)
 
 
+def merge_kmer_index(kmers: DataFrame, table: str, buckets: int):
+    """Adds the words of arriving contents to a stored index, in its buckets. Words of contents that it has (see
+    ``not_yet_indexed``) would count twice."""
+    save_kmer_index(kmers, table, buckets, mode="append")
+
+
+def join_stored(spark, s_table: str, t_table: str) -> DataFrame:
+    """Occurrences of equal words in two stored indexes: ``(kmer, s_id, i, t_id, j)``. With equal bucket counts bucket meets
+    bucket, so neither index is shuffled."""
+    s = spark.table(s_table).select("kmer", F.col("seq_id").alias("s_id"), F.col("pos").alias("i"))
+    t = spark.table(t_table).select("kmer", F.col("seq_id").alias("t_id"), F.col("pos").alias("j"))
+    return s.hint("merge").join(t, "kmer")
+
+
 def drop_kmer_index(spark, table: str):
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 

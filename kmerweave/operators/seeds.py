@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerweave.operators.kmers import kmer_scan
 from kmerweave.operators.skew import salted_join
@@ -84,6 +84,24 @@ def self_seeds(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
                            .withColumn("t_id", F.col("s_id")))
 
 
+def self_seed_sums(seqs: DataFrame, alphabet, wordlen, mask=()) -> DataFrame:
+    """What ``self_seeds`` adds up to, without listing a seed: ``(s_id, n_stored, n_trivial, d_total, a_total)``.
+
+    The seeds of a word in a sequence are the pairs of its positions, so a position's rank among them says in how many it
+    comes last, and the sum of those before it gives their distances. Sequences are dealt by id before they are scanned;
+    neither ranks nor sums move a word again.
+    """
+    kmers = kmer_scan(seqs.repartition("seq_id"), alphabet, wordlen, mask)
+    before = Window.partitionBy("seq_id", "kmer").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.col("pos").cast("bigint")
+    ranked = kmers.select("seq_id", pos.alias("pos"), F.count(F.lit(1)).over(before).alias("n"),
+                          F.coalesce(F.sum(pos).over(before), F.lit(0)).alias("total"))
+    return ranked.groupBy(F.col("seq_id").alias("s_id")).agg(
+        F.sum(F.col("n") + 1).alias("n_stored"), F.count(F.lit(1)).alias("n_trivial"),
+        F.sum(F.col("total") - F.col("n") * F.col("pos")).alias("d_total"),
+        F.sum(F.col("total") + (F.col("n") + 2) * F.col("pos")).alias("a_total"))
+
+
 def enumerate_seeds(seeds: DataFrame, d_band=None, exclude_trivial=False, own=False) -> DataFrame:
     """Seeds in a closed diagonal band. With ``own`` the two sides are one set, so
     equal ids mean a self comparison: its seeds are stored once and mirrored here

@@ -271,9 +271,7 @@ _SELF = f"{Q.DOCS}, {Q.words('dk', 'docs', W)}, {Q.seeds('dk', 'dk', 'AND s.seq_
 @query("seed_self_compare", Q.select(_SELF, """SELECT s_id, count(*) AS n_stored,
   count(*) FILTER (WHERE i = j) AS n_trivial, CAST(sum(d) AS BIGINT) AS d_total FROM seeds GROUP BY s_id"""))
 def seed_self_compare(spark, d):
-    return S.self_seeds(T.documents(spark, d), A, W).groupBy("s_id").agg(
-        F.count(F.lit(1)).alias("n_stored"), F.count_if(F.col("i") == F.col("j")).alias("n_trivial"),
-        F.sum("d").alias("d_total"))
+    return S.self_seed_sums(T.documents(spark, d), A, W).select("s_id", "n_stored", "n_trivial", "d_total")
 
 
 @query("seed_exclude_trivial", Q.select(
@@ -1241,15 +1239,17 @@ def hits_table(spark, d):
 
 
 @query("maf_fasta", Q.select(_MAF + f""", {_PIECES},
-whole AS (SELECT 'turn' || ord AS name, string_agg(seq, '' ORDER BY group_id) AS seq FROM turns GROUP BY ord
-  UNION ALL SELECT 'turn' || o1 || ':turn' || o2, string_agg(opseq, '' ORDER BY group_id) FROM pieces GROUP BY o1, o2)""",
-    "SELECT name, seq FROM whole WHERE seq <> ''"))
+parts AS (SELECT 'turn' || ord AS name, ord AS o1, -1 AS o2, group_id, seq FROM turns
+  UNION ALL SELECT 'turn' || o1 || ':turn' || o2, o1, o2, group_id, opseq FROM pieces)""",
+    """SELECT * FROM (SELECT name, CAST(coalesce(sum(length(seq)) OVER (PARTITION BY o1, o2 ORDER BY group_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, seq FROM parts) WHERE seq <> ''"""))
 def maf_fasta(spark, d):
-    """Sequences and pairwise transcripts written as FASTA and read back."""
+    """Sequences and pairwise transcripts written as FASTA, in parts, and read back."""
     blocks, path = _turn_blocks(spark, d), scratch_path(spark, "maf-fasta")
     AL.write_individual(blocks, f"{path}/each")
     AL.write_pairwise(blocks, f"{path}/pairs")
-    return fasta.read_fasta(spark, f"{path}/*").select("name", "seq")
+    each, pairs = (fasta.read_parts(spark, f"{path}/{kind}") for kind in ("each", "pairs"))
+    return each.unionByName(pairs).select("name", "start", "seq")
 
 
 @query("fasta_first", Q.select(Q.DOCS, """SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM docs WHERE seq <> ''
@@ -1267,7 +1267,7 @@ def genome_bases(spark, d):
     """Records as one coordinate system per file: unknown bases drop out, each record starts where the last one ends."""
     path = scratch_path(spark, "genome")
     fasta.write_fasta(T.documents(spark, d).withColumn("seq", F.translate("seq", "t", "n")), path, name="seq_id")
-    line = Window.partitionBy("file").orderBy("pos")
+    line = Window.partitionBy("file").orderBy("block", "row")
     end = F.col("start") + F.length("seq")
     joined = F.coalesce(F.lag(end).over(line), F.lit(0)) == F.col("start")
     return fasta.read_bases(spark, path).select("name", "seq", joined.alias("joined"))
@@ -1285,6 +1285,22 @@ def kmer_index_store(spark, d):
     return found.withColumn("kept", F.lit(spark.catalog.tableExists(name)))
 
 
+@query("kmer_index_join", Q.select(Q.doc_seeds(W), """SELECT s_id, t_id, count(*) AS n, CAST(sum(i) AS BIGINT) AS i_total,
+  CAST(sum(j) AS BIGINT) AS j_total FROM seeds GROUP BY s_id, t_id"""))
+def kmer_index_join(spark, d):
+    """Two stored indexes joined bucket by bucket, one of them merged from two deliveries."""
+    names = [f"kmer_index_{uuid.uuid4().hex}" for _ in range(2)]
+    K.save_kmer_index(K.kmer_scan(T.benchmark(spark, d), A, W), names[0], 8)
+    docs = K.kmer_scan(T.documents(spark, d), A, W)
+    K.save_kmer_index(docs.where("seq_id % 2 = 0"), names[1], 8)
+    K.merge_kmer_index(docs.where("seq_id % 2 <> 0"), names[1], 8)
+    found = cut_lineage(K.join_stored(spark, *names).groupBy("s_id", "t_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("i").alias("i_total"), F.sum("j").alias("j_total")), "stored-join")
+    for name in names:
+        K.drop_kmer_index(spark, name)
+    return found
+
+
 @query("kmer_index_stream", Q.select(f"""{Q.DOCS}, once AS (SELECT min(seq_id) AS seq_id, seq FROM docs GROUP BY seq),
 {Q.words('k', 'once', W)}""", "SELECT kmer, count(*) AS n FROM k GROUP BY kmer"))
 def kmer_index_stream(spark, d):

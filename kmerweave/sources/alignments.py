@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerweave.operators.lineage import cut_lineage
-from kmerweave.sources.fasta import _records, write_fasta
+from kmerweave.sources.fasta import _records, write_parts
 
 COLUMNS_PER_TILE = 4096
 
@@ -57,12 +57,6 @@ def read_blocks(spark, path, fmt="maf") -> DataFrame:
         F.regexp_extract("line", pattern, text).alias("aligned"))
 
 
-def _joined(parts, keys, part, out):
-    """One string per group, for outputs in which a sequence is one line whatever its length."""
-    order = F.array_sort(F.collect_list(F.struct("start", F.col(part).alias("part"))))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(order, lambda p: p["part"]), "").alias(out))
-
-
 def _parts(df, keys, part) -> DataFrame:
     """Parts of each group's sequence with the offset at which they start; a part per block."""
     sized = df.withColumn("_n", F.length(part))
@@ -162,15 +156,13 @@ def exact_seeds(blocks: DataFrame, wordlen: int, ids=None) -> DataFrame:
 
 
 def write_individual(blocks: DataFrame, path, mode="errorifexists"):
-    """Ungapped sequences as FASTA."""
-    write_fasta(_joined(sequences(blocks), ["id"], "seq", "seq"), path, name="id", mode=mode)
+    """Ungapped sequences as FASTA, written in parts."""
+    write_parts(sequences(blocks), path, name="id", mode=mode)
 
 
 def write_pairwise(blocks: DataFrame, path, mode="errorifexists"):
-    """Pairwise transcripts as FASTA records named ``id1:id2``."""
-    whole = _joined(pairwise(blocks), ["id1", "id2"], "opseq", "opseq")
-    write_fasta(whole.select(F.concat_ws(":", "id1", "id2").alias("name"), F.col("opseq").alias("seq")),
-                path, mode=mode)
+    """Pairwise transcripts as FASTA records named ``id1:id2``, written in parts."""
+    write_parts(pairwise(blocks).withColumn("name", F.concat_ws(":", "id1", "id2")), path, part="opseq", mode=mode)
 
 
 def maf_text(rows: DataFrame, block="block", order="row", name="id", aligned="aligned") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def test_mapped_reads_and_bases(spark, tmp_path):
     assert [(r.strand, r.map_from, r.map_to, r.seq) for r in rows] == [("+", 10, 14, "ACGT"), ("-", 3, 5, "GG")]
     g = tmp_path / "g.fa"
     g.write_text(">a\nacgNNt\nAC\n>b\nNgg\n")
-    assert [(r.name, r.seq, r.start) for r in fasta.read_bases(spark, str(g)).orderBy("pos").collect()] == [("a", "ACGTAC", 0), ("b", "GG", 6)]
+    assert [(r.name, r.seq, r.start) for r in fasta.read_bases(spark, str(g)).orderBy("start").collect()] == [
+        ("a", "ACGT", 0), ("a", "AC", 4), ("b", "GG", 6)]
 
 
 def test_transcripts_without_long_gaps(spark, tmp_path):
@@ -107,9 +110,10 @@ def test_multiple_alignments(spark, tmp_path):
     seeds = {r.col: r.positions for r in AL.exact_seeds(blocks, 2, ids=["x", "z"]).collect()}
     assert seeds == {0: [1, 1], 4: [4, 5]}
     AL.write_pairwise(blocks, str(tmp_path / "pw"))
-    assert {r.name for r in fasta.read_fasta(spark, str(tmp_path / "pw")).collect()} == {"x:y", "x:z", "y:z"}
+    back = whole(fasta.read_parts(spark, str(tmp_path / "pw")), ["name"], "seq")
+    assert back == {f"{a}:{b}": tx for (a, b), tx in got.items()}
     AL.write_individual(blocks, str(tmp_path / "each"))
-    assert fasta.read_fasta(spark, str(tmp_path / "each")).count() == 3
+    assert whole(fasta.read_parts(spark, str(tmp_path / "each")), ["name"], "seq") == {"x": "ACGTGGA", "y": "ACTT", "z": "ACTNTGA"}
     clustal = tmp_path / "a.aln"
     clustal.write_text("CLUSTAL W\n\nx  AC-G\ny  ACTG\n   ** *\n\nx  TT\ny  T-\n")
     assert whole(AL.sequences(AL.read_blocks(spark, str(clustal), "clustal")), ["id"], "seq") == {"x": "ACGTT", "y": "ACTGT"}
@@ -117,6 +121,34 @@ def test_multiple_alignments(spark, tmp_path):
     assert [r[0] for r in n] == ["S", "S"]
 
 
+def test_records_in_parts_over_splits_and_files(spark, tmp_path, monkeypatch):
+    """Records that go over lines, input splits and files come back with the offsets of their parts."""
+    rng = random.Random(1)
+    text = {f"r{k}": "".join(rng.choice("ACGTN") for _ in range(n)) for k, n in enumerate((700, 3, 1, 2500, 40))}
+    parts = [(name, at, seq[at:at + 90]) for name, seq in text.items() for at in range(0, len(seq), 90)] + [("none", 0, "")]
+    monkeypatch.setattr(fasta, "LINE", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    fasta.write_parts(spark.createDataFrame(parts, "name string, start int, seq string").repartition(5), str(tmp_path / "out"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) > 3 and sum(f.read_text().count(">") for f in files) == len(text)
+    monkeypatch.undo()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "64"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = fasta.read_parts(spark, str(tmp_path / "out"))
+            assert whole(found, ["name"], "seq") == text
+            assert all(text[r.name][r.start:r.start + len(r.seq)] == r.seq for r in found.collect())
+            one = tmp_path / f"one-{size}.fa"
+            one.write_text("".join(f.read_text() for f in files))
+            genome = sorted((r.start, r.seq) for r in fasta.read_bases(spark, str(one)).where("seq <> ''").collect())
+            assert "".join(seq for _, seq in genome) == "".join(text[n] for n in sorted(text)).replace("N", "")
+            assert all(b == a + len(s) for (a, s), (b, _) in zip(genome, genome[1:])) and genome[0][0] == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_hits_and_cache(spark, tmp_path):
     (tmp_path / "hits").write_text("V r1 IGHV1 98.5 200/203\n")
     r = AL.read_hits(spark, str(tmp_path / "hits")).first()

@@ -175,3 +175,33 @@ def test_multi_seeds_of_repeats(spark, monkeypatch):
     joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     longer = groups.unionByName(spark.createDataFrame([(3, k, "ACGA") for k in range(40)], groups.schema))
     assert M.seeds_multi(longer, DNA, 2)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
+
+
+def test_self_seed_sums(spark):
+    found = seqs(spark, "A" * 30 + "CGAT", "ACGTACGTACG", "AC", "", "TTTTT")
+    listed = {}
+    for r in S.self_seeds(found, DNA, 3).collect():
+        n, trivial, d, a = listed.get(r.s_id, (0, 0, 0, 0))
+        listed[r.s_id] = (n + 1, trivial + (r.i == r.j), d + r.d, a + r.a)
+    sums = S.self_seed_sums(found, DNA, 3)
+    assert {r.s_id: (r.n_stored, r.n_trivial, r.d_total, r.a_total) for r in sums.collect()} == listed
+    assert S.self_seed_sums(found, DNA, 3)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_stored_indexes_join_without_a_shuffle(spark):
+    left, right = seqs(spark, "ACGTACGT", "GGGGG"), seqs(spark, "CGTACC", "GGGA", "TT")
+    names = ["stored_left", "stored_right"]
+    for name in names:
+        K.drop_kmer_index(spark, name)
+    try:
+        K.save_kmer_index(K.kmer_scan(left, DNA, 3), names[0], 4)
+        K.save_kmer_index(K.kmer_scan(right.where("seq_id = 0"), DNA, 3), names[1], 4)
+        K.merge_kmer_index(K.kmer_scan(right.where("seq_id > 0"), DNA, 3), names[1], 4)
+        joined = K.join_stored(spark, *names)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        want = S.join_kmers(K.kmer_scan(left, DNA, 3), K.kmer_scan(right, DNA, 3))
+        order = ["s_id", "t_id", "i", "j"]
+        assert sorted(map(tuple, joined.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+    finally:
+        for name in names:
+            K.drop_kmer_index(spark, name)
