@@ -107,7 +107,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[rows[-1][0]] += 1
     # A gradient is at most 1 in size, so a document moves a feature by at most EPOCHS: L1 keeps rarer ones at zero.
     enough = seen * EPOCHS > L1
-    rows = [(np.append(at[enough[at]].astype(np.int64), 1 << FEATURE_BITS), label) for at, label in rows]
+    for k, (at, label) in enumerate(rows):  # one after the other, so that the sample is not held twice
+        rows[k] = (np.append(at[enough[at]], np.int32(1 << FEATURE_BITS)), label)
     if rows:
         weights = ftrl(rows)
         at = np.flatnonzero(weights)
