@@ -65,19 +65,20 @@ def targets(sized: DataFrame) -> DataFrame:
         F.col("weight") * final)).select("key", "n_docs", "source_size", "weight", "target")
 
 
-def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", out_col="mix") -> DataFrame:
+def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", out_col="mix", size_col=None) -> DataFrame:
     """``docs`` with the struct ``out_col`` (in place of a column of that name): ``size`` in words, ``source_size``,
     ``target``, ``weight``, ``start`` (words of its source that come before it in a pass), ``passes`` (how often the
     mix takes the document) and ``taken`` (``passes`` times ``size``).
 
     Every document is taken as often as its source fits into the target, and some of them once more to meet the rest.
-    Texts that are null or without words have size 0. Rows without id share a place in the order, as repeated rows do.
+    Texts that are null or without words have size 0. A ``size_col`` has sizes counted before (see ``sizes``), and no text
+    is read. Rows without id share a place in the order, as repeated rows do.
     The result is the same in every run.
     """
     row, mix = fresh(docs, "row"), fresh(docs, out_col + "_")
     share, order = _place(docs[id_col])
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), _source_key(docs[source_col]).alias("key"),
-                       n_words(docs[text_col]).alias("size"), docs[id_col].alias("id"), share.alias("share"),
+                       (docs[size_col] if size_col else n_words(docs[text_col])).alias("size"), docs[id_col].alias("id"), share.alias("share"),
                        order.alias("order"))
     sources = cut_lineage(targets(rows.select("key", "size")), "mix-sources")
     dealt = rows.join(sources, "key").withColumn("long", F.col("size") * F.col("n_docs") > 2 * F.col("source_size")).withColumn(
@@ -135,19 +136,41 @@ def position(mix: str, pass_number) -> Column:
     return F.when(slope == 0, share).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def curriculum(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", out_col="position") -> DataFrame:
+def sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", out_col="size") -> DataFrame:
+    """Ids, sources and sizes in words (``out_col``), counted once and stored: what the mix is worked out from."""
+    return cut_lineage(docs.select(id_col, source_col, n_words(docs[text_col]).alias(out_col)), "mix-sizes")
+
+
+def curriculum(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", out_col="position", size_col=None,
+               mix_col=None) -> DataFrame:
     """The mix in training order: a row for each pass that takes a document, with the columns of ``docs`` and its
-    training position as ``out_col``, range-sorted by position. Documents without words come once, where their source
-    has come to; documents that the mix does not take are not in it."""
-    mix, number = fresh(docs, "mix"), fresh(docs, "pass")
-    taken = assign(docs, id_col, text_col, source_col, mix)
+    training position as ``out_col`` (in place of a column of that name), range-sorted by position. Documents without words
+    come once, where their source has come to; documents that the mix does not take are not in it.
+
+    With ``mix_col`` rows have the struct of ``assign``, too, and documents that the mix does not take come once, without a
+    position.
+    """
+    mix, number = fresh(docs, mix_col or "mix"), fresh(docs, "pass")
+    taken = assign(docs, id_col, text_col, source_col, mix, size_col)
     times = F.when(F.col(f"{mix}.size") == 0, F.lit(1)).otherwise(F.col(f"{mix}.passes").cast("int"))
-    each = taken.where(times > 0).withColumn(number, F.explode(F.sequence(F.lit(0), times - 1)))
-    placed = each.withColumn(out_col, position(mix, F.col(number)))
-    return placed.repartitionByRange(out_col).sortWithinPartitions(out_col, id_col).drop(mix, number)
+    passes = F.when(times > 0, F.sequence(F.lit(0), times - 1))
+    each = taken.withColumn(number, F.explode_outer(passes) if mix_col else F.explode(passes))
+    placed = each.withColumn(out_col, F.when(F.col(number).isNotNull(), position(mix, F.col(number))))
+    ordered = placed.repartitionByRange(out_col).sortWithinPartitions(out_col, id_col).drop(number)
+    return ordered if mix_col else ordered.drop(mix)
 
 
-#: The same mix in DuckDB's SQL.
+def summed(ordered: DataFrame, id_col="doc_id", position_col="position", mix_col="mix") -> DataFrame:
+    """What each document's passes add up to, from the rows of ``curriculum``: ``(doc_id, size, source_size, target, taken,
+    first_position, last_position)``. Rows that repeat an id and a size are one document."""
+    size = F.col(f"{mix_col}.size")
+    return ordered.groupBy(F.col(id_col).alias("doc_id"), size.alias("size"), F.col(f"{mix_col}.source_size").alias("source_size"),
+                           F.col(f"{mix_col}.target").alias("target")).agg(
+        F.sum(F.when(F.col(position_col).isNull(), 0).otherwise(size)).alias("taken"),
+        F.min(position_col).alias("first_position"), F.max(position_col).alias("last_position"))
+
+
+#: The same mix and its positions in DuckDB's SQL.
 SQL = """
 WITH sized AS (
   SELECT doc_id, coalesce('s' || source, 't') AS key,
@@ -187,7 +210,19 @@ met AS (
   SELECT *, CASE WHEN long THEN longer
                  WHEN size > 0 AND start + size / 2 <= rest - sum(longer * size) OVER (PARTITION BY key) THEN 1
                  ELSE 0 END AS more
-  FROM first_met)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(least(whole + more, 3) * size AS BIGINT) AS taken
-FROM met
-"""
+  FROM first_met),
+timed AS (
+  SELECT *, least(whole + more, 3) AS passes, CASE WHEN kind_size > 0 THEN start * source_size / kind_size ELSE 0 END AS first_word,
+    SLOPES[CAST(weight AS INTEGER)] AS slope
+  FROM met JOIN (SELECT key, weight FROM sources) USING (key)),
+shares AS (
+  SELECT *, pass, CASE WHEN target > 0 THEN least((pass * source_size + first_word + size / 2) / target, 1) ELSE 0 END AS share
+  FROM timed, unnest(list_distinct([0, greatest(passes, 1) - 1])) AS u(pass)),
+positions AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN pass = 0 THEN passes * size ELSE 0 END AS taken, CASE WHEN passes > 0 OR size = 0 THEN
+    CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS position
+  FROM shares)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(sum(taken) AS BIGINT) AS taken,
+  round(min(position), 9) AS first_position, round(max(position), 9) AS last_position
+FROM positions GROUP BY doc_id, size, source_size, target
+""".replace("SLOPES", str([float(s) for s in SLOPES]))

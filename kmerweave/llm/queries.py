@@ -40,8 +40,10 @@ def op5_neighbours(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    mixed = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    sized = mixing.sizes(table(spark, sf_dir, "documents"))
+    found = mixing.summed(mixing.curriculum(sized, size_col="size", mix_col="mix"))
+    at = [F.round(c, 9).alias(c) for c in ("first_position", "last_position")]
+    return found.select("doc_id", "size", "source_size", "target", "taken", *at)
 
 
 def op7_toxicity(spark, sf_dir):

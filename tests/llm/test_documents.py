@@ -111,8 +111,10 @@ def test_mix_matches_sql_and_comes_near_targets(odd_docs, odd_rows, no_docs):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [list(r[:3]) for r in odd_rows])
     wanted = con.execute(mixing.SQL).fetchall()
-    got = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in rows)
-    assert got == Counter((a, b, c, round(d, 6), e) for a, b, c, d, e in wanted)
+    found = mixing.summed(mixing.curriculum(mixing.sizes(odd_docs), size_col="size", mix_col="mix")).collect()
+    rounded = lambda r: tuple(x if x is None else round(x, 6) for x in r)
+    assert Counter(map(rounded, found)) == Counter(map(rounded, wanted))
+    assert sum(r.taken for r in found) == sum(r.taken for r in rows)
     assert all(r.taken <= 3 * r.size for r in rows)
     assert mixing.assign(no_docs).collect() == [] and mixing.curriculum(no_docs).collect() == []
 
@@ -124,6 +126,19 @@ def test_small_buckets_give_the_same_mix(odd_docs, monkeypatch):
     assert rows() == before
 
 
+def test_slopes_decide_the_rows(spark, monkeypatch):
+    rows = [(n, "word " * (1 + n % 9), f"s{n % 3}") for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = lambda: {r.doc_id: r for r in mixing.summed(mixing.curriculum(docs, mix_col="mix")).collect()}
+    before = taken()
+    monkeypatch.setattr(mixing, "SLOPES", (0.0, 0.0, 0.0))
+    after = taken()
+    assert before.keys() == after.keys() == set(range(60))
+    assert {k: r.taken for k, r in before.items()} == {k: r.taken for k, r in after.items()}
+    assert any(r.first_position != after[k].first_position for k, r in before.items())
+    assert all((r.taken == 0) == (r.first_position is None) for r in before.values())
+
+
 def test_curriculum_follows_the_schedule(spark):
     """Up to any time, a source has given what its integrated schedule asks for, to within a document."""
     rows = [(n, "word " * 10, f"s{n % 3}") for n in range(900)]
