@@ -544,7 +544,7 @@ def seed_multi_ij_roundtrip(spark, d):
     return seeds.select("group_id", "kmer", _at(coords.to_positions_multi("ds", "a")).alias("spots"))
 
 
-W_GROUP, K_GROUP = 7, 10
+W_GROUP, K_GROUP = 6, 10
 R_GROUP = stats.band_radius_value(K_GROUP, G_MAX, SENS)
 _GROUP_DIMS = _multi_ctes(W_GROUP) + """, per_group AS (
   SELECT group_id, n_seqs, count(*) AS n, max(a) - min(a) + 1 AS len, CAST(1 AS DOUBLE) AS one
@@ -575,8 +575,8 @@ _PW1 = f"pow({_Q1}, {W_GROUP})"
 
 @query("multi_z_scores", _multi_select(
     _GROUP_DIMS + f", scored AS (SELECT *, {_MMP} AS p FROM per_group)",
-    f"""SELECT group_id, {Q.r6(f'(n - {_VOLUME} * {_PW0}) / sqrt({_V0})').replace(', 6)', ', 3)')} AS z_h0,
-  {Q.r6(f'(n - {_VOLUME} * {_PW0} - len * {_PW1}) / sqrt({_V0} + len * {Q.variance(_Q1, _PW1, W_GROUP)})').replace(', 6)', ', 3)')} AS z_h1
+    f"""SELECT group_id, round((n - {_VOLUME} * {_PW0}) / sqrt({_V0}), 3) + 0e0 AS z_h0,
+  round((n - {_VOLUME} * {_PW0} - len * {_PW1}) / sqrt({_V0} + len * {Q.variance(_Q1, _PW1, W_GROUP)}), 3) + 0e0 AS z_h1
 FROM scored"""))
 def multi_z_scores(spark, d):
     dims = _group_dims(spark, d).withColumn(
@@ -585,7 +585,7 @@ def multi_z_scores(spark, d):
     return dims.select("group_id", r3(z0).alias("z_h0"), r3(z1).alias("z_h1"))
 
 
-_NEAR = f"list_max(list_transform(list_zip(x.ds, y.ds), lambda p: abs(p[1] - p[2]))) <= {R_GROUP}"
+_NEAR = f"abs(x.ds[1] - y.ds[1]) <= {R_GROUP} AND abs(x.ds[2] - y.ds[2]) <= {R_GROUP} AND list_max(list_transform(list_zip(x.ds, y.ds), lambda p: abs(p[1] - p[2]))) <= {R_GROUP}"
 _MULTI_SCORED = f"""{_multi_ctes(W_GROUP)},
 boxed AS (SELECT x.group_id, x.spots, count(*) - 1 AS n_neigh FROM seeds x JOIN seeds y ON x.group_id = y.group_id
   AND abs(x.a - y.a) <= ceil(x.n_seqs * {K_GROUP} / 2.0) AND {_NEAR} GROUP BY ALL),
