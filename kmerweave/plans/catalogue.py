@@ -849,6 +849,28 @@ def tx_render(spark, d):
         X.gapped("origin", "tx", F.lit(0), "I").alias("line"))
 
 
+WIDTH_TX = 70
+
+
+def _head(name, k, size):
+    return f"lpad('{name}[' || {k} || ']: ', CAST({size} AS INTEGER), ' ')"
+
+
+@query("tx_render_wrapped", Q.select(f"""{_TURN_PAIRS}, shape AS (
+  SELECT group_id, ord, n, m, greatest(n, m) AS columns, origin || repeat('-', greatest(m - n, 0)) AS o,
+    mutant || repeat('-', greatest(n - m, 0)) AS t FROM tx),
+lines AS (SELECT group_id, ord, 0 AS k, 11 AS size FROM shape
+  UNION ALL SELECT x.group_id, x.ord, x.next, 10 + greatest(length(CAST(least(x.next, s.n) AS VARCHAR)), length(CAST(least(x.next, s.m) AS VARCHAR)))
+  FROM (SELECT *, k + {WIDTH_TX} - size AS next FROM lines) x JOIN shape s USING (group_id, ord) WHERE x.next < s.columns)""",
+    f"""SELECT group_id, ord, string_agg({_head('origin', 'least(k, n)', 'size')} || substr(o, CAST(k + 1 AS BIGINT), CAST({WIDTH_TX} - size AS BIGINT)) || chr(10) ||
+  {_head('mutant', 'least(k, m)', 'size')} || substr(t, CAST(k + 1 AS BIGINT), CAST({WIDTH_TX} - size AS BIGINT)) || chr(10), '' ORDER BY k) AS shown
+FROM lines JOIN shape USING (group_id, ord) GROUP BY group_id, ord""", recursive=True))
+def tx_render_wrapped(spark, d):
+    """The same in lines of limited width, each headed by its positions."""
+    return _turn_pairs(spark, d).select("group_id", "ord", render(
+        "origin", "mutant", "tx", F.lit(0), F.lit(0), width=WIDTH_TX, colored=False).alias("shown"))
+
+
 # -- alignment ---------------------------------------------------------------
 #
 # Schemes under which an optimum has a closed form (an edit distance, a longest common
