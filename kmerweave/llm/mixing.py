@@ -156,7 +156,9 @@ def curriculum(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
     passes = F.when(times > 0, F.sequence(F.lit(0), times - 1))
     each = taken.withColumn(number, F.explode_outer(passes) if mix_col else F.explode(passes))
     placed = each.withColumn(out_col, F.when(F.col(number).isNotNull(), position(mix, F.col(number))))
-    ordered = placed.repartitionByRange(out_col).sortWithinPartitions(out_col, id_col).drop(number)
+    # Rows without a position are told apart by their ids.
+    dealt = placed.repartitionByRange(out_col, id_col) if mix_col else placed.repartitionByRange(out_col)
+    ordered = dealt.sortWithinPartitions(out_col, id_col).drop(number)
     return ordered if mix_col else ordered.drop(mix)
 
 
