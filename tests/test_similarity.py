@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerweave import DNA
 from kmerweave.functions import stats
-from kmerweave.operators import multi as M, overlap as O, seeds as S, segments as G
+from kmerweave.operators import multi as M, neighbors as N, overlap as O, seeds as S, segments as G
 from kmerweave.operators.components import connected_components
 from kmerweave.operators.peaks import find_peaks
 from kmerweave.plans import similarity, variants
@@ -200,3 +200,28 @@ def test_repeats_and_variants(spark):
     assert not calls[0].deletion and not calls[0].insertion
     assert calls[1].deletion and abs(calls[1].del_from - 250) < 60 and abs(calls[1].del_to - 350) < 60
     assert calls[2].insertion and abs(calls[2].ins_at - 300) < 40
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_seeds_are_not_shuffled_again_by_pair(spark):
+    s = spark.createDataFrame([(1, "ACGTTGCAAC"), (2, "TTGCAACGGT")], "seq_id bigint, seq string")
+    t = spark.createDataFrame([(7, "ACGTTGCAACGGT"), (8, "TTTTTTTTTT"), (None, "GCAACGG")], "seq_id bigint, seq string")
+    found = G.score_seeds(S.seeds_between(s, t, DNA, 4), 5, .2, .99, 4, 4)
+    assert _exchanges(found) == 1  # of the sequences, before they are scanned
+
+
+def test_neighbour_edges_cross_tiles_once(spark):
+    rnd = random.Random(3)
+    spots = sorted({(rnd.randrange(120), rnd.randrange(120)) for _ in range(400)})
+    seeds = spark.createDataFrame([(1, 2, i, j, i - j, i + j) for i, j in spots],
+                                  "s_id bigint, t_id bigint, i int, j int, d int, a int")
+    found = N.neighbor_edges(seeds, 2, 3)
+    got = sorted(tuple(r) for r in found.select("i", "j", "d", "a", "n_i", "n_j", "n_d", "n_a").collect())
+    assert got == sorted((i, j, i - j, i + j, x, y, x - y, x + y) for i, j in spots for x, y in spots if (i, j) != (x, y)
+                         and abs(i - j - x + y) <= 2 and abs(i + j - x - y) <= 3)
+    # Tiles are wider than the reach on both sides, so a seed lies in few of them.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "/ cast(8 as double)" in plan and "/ cast(24 as double)" in plan
