@@ -147,12 +147,14 @@ def curriculum(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
     training position as ``out_col`` (in place of a column of that name), range-sorted by position. Documents without words
     come once, where their source has come to; documents that the mix does not take are not in it.
 
-    With ``mix_col`` rows have the struct of ``assign``, too, and documents that the mix does not take come once, without a
-    position.
+    With ``mix_col`` rows have the struct of ``assign``, too, documents that the mix does not take come once, without a
+    position, and documents without words come in each whole pass of their source.
     """
     mix, number = fresh(docs, mix_col or "mix"), fresh(docs, "pass")
     taken = assign(docs, id_col, text_col, source_col, mix, size_col)
-    times = F.when(F.col(f"{mix}.size") == 0, F.lit(1)).otherwise(F.col(f"{mix}.passes").cast("int"))
+    taken_times = F.col(f"{mix}.passes").cast("int")
+    empty_times = F.greatest(taken_times, F.lit(1)) if mix_col else F.lit(1)
+    times = F.when(F.col(f"{mix}.size") == 0, empty_times).otherwise(taken_times)
     passes = F.when(times > 0, F.sequence(F.lit(0), times - 1))
     each = taken.withColumn(number, F.explode_outer(passes) if mix_col else F.explode(passes))
     placed = each.withColumn(out_col, F.when(F.col(number).isNotNull(), position(mix, F.col(number))))
