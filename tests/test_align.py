@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from kmerweave import Alphabet
@@ -155,3 +156,28 @@ def test_table_scores(spark):
     df = spark.createDataFrame([("ACG", "AC")], "o string, m string")
     got = df.select(al.table_scores("o", "m", A, ge_score=-1).alias("t")).first().t
     assert got == [[0, -1], [-1, 1], [-2, 0]]
+
+
+def test_far_bands_fill_their_own_cells_only():
+    """Pairs whose bands lie far apart in long tables share no rows; what is filled stays near the bands."""
+    rng = np.random.default_rng(3)
+    bands = np.array([(a, a + 4) for a in (-180, 0, 700, 2900)])
+    origins = [rng.integers(0, 4, 3000).astype(np.uint8) for _ in bands]
+    mutants = [rng.integers(0, 4, 200).astype(np.uint8) for _ in bands]
+    dp = al._Group(origins, mutants, "B_LOCAL", al.score_matrix(4, 1, -1), -1.0, -0.5, bands)
+    filled = sum(t.size for t in dp.ties if t is not None)
+    assert filled <= 4 * 5 * 2 * (200 + 5) * len(bands)
+    for r, (lo, hi) in enumerate(bands):
+        alone = al._Group(origins[r:r + 1], mutants[r:r + 1], "B_LOCAL", al.score_matrix(4, 1, -1), -1.0, -0.5, bands[r:r + 1])
+        score, ops, x, y = dp.result(r, 0.0)
+        assert (score, ops, x, y) == alone.result(0, 0.0) and lo <= x - y <= hi
+
+
+def test_tables_leave_python_in_parts(spark, monkeypatch):
+    rows = [(k, "ACGTTGCA"[:k % 9], "TTGACA"[:k % 7]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, o string, m string").coalesce(1)
+    tables = lambda: df.select("k", al.table_scores("o", "m", A, mismatch=-1.0, ge_score=-1).alias("t")).collect()
+    before = tables()
+    monkeypatch.setattr(al, "TABLE_CELLS", 20)
+    assert tables() == before
+    assert [(len(r.t), [len(x) for x in r.t]) for r in before] == [(len(o), [len(m)] * len(o)) for _, o, m in rows]
