@@ -10,6 +10,7 @@ from kmerweave.functions import transcripts as X
 from kmerweave.functions.mutation import MutationModel, letter_distribution, log_odds_table
 from kmerweave.functions.render import render
 from kmerweave.operators import evaluate as E, simulate as R, skew
+from kmerweave.plans import similarity
 
 
 def one(spark, *cols):
@@ -234,3 +235,37 @@ def test_generated_data_sets(spark):
     for g in genomes:
         assert len(set(g.elements)) == 3 and len(g.seq) == 3 * 60 + 4 * 20
         assert all(text[e] in g.seq for e in g.elements)
+
+
+def test_operations_are_not_sorted_or_joined(spark):
+    df = tx_table(spark, "MMSD" * 50, "MIDS" * 30)
+    for rows in (X.matching_words(df, 3), X.match_rate(df, 8), similarity.similar_regions(df, 8, .5)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+    for rows in (X.matching_words(df, 3), X.match_rate(df, 8)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+    plan = X.sample_windows(df, 8, 6, match=.25, resolution=.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+
+
+def test_projected_rate_is_the_last_one_in_front_of_a_letter(spark, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 8)
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("MSID") for _ in range(rng.randint(1, 90)))) for k in range(30)]
+    rows += [(1, rows[1][1]), (None, "MMIID"), (None, "MMIID")]
+    df = spark.createDataFrame(rows, "seq_id bigint, tx string")
+    for on, at in (("origin", "i"), ("mutant", "j")):
+        plain = X.match_rate(df, 2).groupBy("seq_id", F.col(at).alias("pos")).agg(F.count("idx"))
+        found = X.projected_match_rate(df, 2, on).collect()
+        assert sorted((r.seq_id or -1, r.pos) for r in found) == sorted((r.seq_id or -1, r.pos) for r in plain.collect())
+        rates = {(r.seq_id, r[at]): r for r in X.match_rate(df, 2).orderBy("idx").collect()}
+        assert all(r.p_match == rates[r.seq_id, r.pos].p_match for r in found if r.seq_id not in (1, None))
+
+
+def test_sampled_windows_over_chunks(spark, monkeypatch):
+    df = tx_table(spark, "MSID" * 60, "MMSD" * 5, "M")
+    whole = sorted(map(str, X.sample_windows(df, 8, 6, match=.25, resolution=.01).collect()))
+    monkeypatch.setattr(X, "CHUNK", 8)
+    assert sorted(map(str, X.sample_windows(df, 8, 6, match=.25, resolution=.01).collect())) == whole
+    assert sum("window='" in r for r in whole) == 6
