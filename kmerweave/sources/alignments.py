@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerweave.operators.lineage import cut_lineage
 from kmerweave.sources.fasta import _records, write_parts
 
 COLUMNS_PER_TILE = 4096
+#: Equal columns that leave Python together.
+COLUMNS_TOGETHER = 1 << 16
 
 
 # -- SAM ---------------------------------------------------------------------
@@ -120,14 +126,39 @@ def _upto(df, keys, value, out):
         shifts, [*keys, "file"]).withColumn(out, F.col("_in") + F.col("_shift")).drop("_in", "_shift")
 
 
+def _equal_columns(n_ids):
+    """Of each block, the columns that ``n_ids`` rows have and in which these are equal, with the rows' letters so far."""
+    def columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows in zip(*batch.columns):
+                rows = sorted(rows.as_py(), key=lambda r: (r["id"], r["base"]))
+                letters = [np.frombuffer(r["aligned"].encode("utf-32-le"), np.uint32) for r in rows]
+                upto = [r["base"] + np.cumsum(x != ord("-")) for r, x in zip(rows, letters)]
+                size = max(map(len, letters))
+                n, low, high = np.zeros(size, np.int64), np.full(size, 1 << 32), np.full(size, -1)
+                for x in letters:
+                    n[:len(x)] += 1
+                    low[:len(x)], high[:len(x)] = np.minimum(low[:len(x)], x), np.maximum(high[:len(x)], x)
+                found = np.flatnonzero((n == n_ids) & (low == high))
+                for at in (found[k:k + COLUMNS_TOGETHER] for k in range(0, len(found), COLUMNS_TOGETHER)):
+                    there = np.stack([at < len(x) for x in letters], axis=1)
+                    positions = np.stack([u[np.minimum(at, len(u) - 1)] if len(u) else at for u in upto], axis=1)[there]
+                    ends = np.arange(len(at) + 1, dtype=np.int32) * n_ids
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(first.as_py() + at, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(positions, pa.int64()))],
+                        names=["col", "positions"])
+
+    return columns
+
+
 def exact_seeds(blocks: DataFrame, wordlen: int, ids=None) -> DataFrame:
     """Columns at which ``wordlen`` consecutive columns are equal in all rows:
     ``(col, positions)`` with the number of letters each id has seen up to and
     including the column, in id order. Letters are compared upper-cased, and ids
     missing from a block count as gaps there.
 
-    Columns are numbered over all blocks; equality is one aggregate per column and
-    runs are counted in tiles of columns that overlap by a word.
+    Columns are numbered over all blocks; a block's rows are compared where they lie,
+    and runs of equal columns are counted in tiles that overlap by a word.
     """
     if ids is not None:
         blocks = blocks.where(F.col("id").isin(*ids))
@@ -137,22 +168,16 @@ def exact_seeds(blocks: DataFrame, wordlen: int, ids=None) -> DataFrame:
     total = shape.agg(F.sum("n")).first()[0] or 0
     bases = _upto(blocks.select("file", "block", "id", F.length(F.replace("aligned", F.lit("-"), F.lit(""))).alias("k")),
                   ["id"], "k", "base").drop("k")
-    cells = (blocks.join(shape.drop("n"), ["file", "block"]).join(bases, ["file", "block", "id"])
-             .select("file", "block", "id", "first_col", "base", F.posexplode(
-                 F.regexp_extract_all("aligned", F.lit("(.)"), F.lit(1))).alias("k", "letter")))
-    line = Window.partitionBy("file", "block", "id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.select("id", (F.col("first_col") + F.col("k")).alias("col"), "letter",
-                         (F.col("base") + F.count_if(F.col("letter") != "-").over(line)).alias("pos"))
-    columns = cells.groupBy("col").agg(
-        (F.min("letter") == F.max("letter")).alias("same"), F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("id", "pos"))).alias("at"))  # one entry per id
-    good = columns.where((F.col("n") == n_ids) & F.col("same"))
+    rows = blocks.join(shape.drop("n"), ["file", "block"]).join(bases, ["file", "block", "id"])
+    whole = rows.groupBy("file", "block", "first_col").agg(F.collect_list(F.struct("id", "base", "aligned")).alias("rows"))
+    good = whole.where(F.size("rows") >= n_ids).select("first_col", "rows").mapInArrow(
+        _equal_columns(n_ids), "col bigint, positions array<bigint>")
     tiled = good.withColumn("tile", F.explode(F.sequence(
         F.floor((F.col("col") - wordlen + 1) / COLUMNS_PER_TILE), F.floor(F.col("col") / COLUMNS_PER_TILE))))
     ahead = Window.partitionBy("tile").orderBy("col").rangeBetween(0, wordlen - 1)
     return tiled.withColumn("run", F.count(F.lit(1)).over(ahead)).where(
         (F.col("run") == wordlen) & (F.col("tile") == F.floor(F.col("col") / COLUMNS_PER_TILE))
-        & (F.col("col") <= total - wordlen)).select("col", F.transform("at", lambda e: e["pos"]).alias("positions"))
+        & (F.col("col") <= total - wordlen)).select("col", "positions")
 
 
 def write_individual(blocks: DataFrame, path, mode="errorifexists"):

@@ -100,6 +100,16 @@ def test_the_last_start_is_a_seed(spark, tmp_path):
     assert {r.col: r.positions for r in seeds} == {0: [1, 1], 1: [2, 2]}
 
 
+def test_exact_seeds_compare_columns_in_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(AL, "COLUMNS_TOGETHER", 3)
+    path = tmp_path / "long.maf"
+    path.write_text("a\ns x 0 9 + 9 acg-tgé-cgt\ns y 0 8 + 8 ACG-AGÉ-CG\n\na\ns x 0 3 + 3 GGG\n\na\ns y 0 4 + 4 GT-CA\ns x 0 4 + 4 GT-CAA\n")
+    seeds = AL.exact_seeds(AL.read_blocks(spark, str(path)), 2)
+    assert {r.col: r.positions for r in seeds.collect()} == {
+        0: [1, 1], 1: [2, 2], 2: [3, 3], 5: [5, 5], 6: [6, 6], 7: [6, 6], 8: [7, 7], 14: [13, 9], 15: [14, 10], 16: [14, 10], 17: [15, 11]}
+    assert "posexplode" not in seeds._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_multiple_alignments(spark, tmp_path):
     path = tmp_path / "a.maf"
     path.write_text(MAF)
