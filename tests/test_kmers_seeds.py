@@ -205,3 +205,22 @@ def test_stored_indexes_join_without_a_shuffle(spark):
     finally:
         for name in names:
             K.drop_kmer_index(spark, name)
+
+
+def test_shown_seed_sums_add_up_the_seeds(spark):
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choice("ACGT"[:2 + k % 3]) for _ in range(rng.randint(0, 60)))) for k in range(20)]
+    rows += [(1, rows[1][1]), (None, "AAAAAA"), (50, None), (51, "A" * 40)]
+    df = spark.createDataFrame(rows, "seq_id bigint, seq string")
+    shown = S.enumerate_seeds(S.self_seeds(df, DNA, 3), exclude_trivial=True, own=True).groupBy("s_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a_total"), F.sum("d").alias("d_total"))
+    found = S.shown_seed_sums(df, DNA, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, shown.collect()))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_grow_with_the_words(spark, monkeypatch):
+    df = seqs(spark, "ACGT" * 100, "", "A")
+    assert K.bucket_count(df) == 8
+    monkeypatch.setattr(K, "WORDS", 10)
+    assert K.bucket_count(df) == 41
