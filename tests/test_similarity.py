@@ -225,3 +225,17 @@ def test_neighbour_edges_cross_tiles_once(spark):
     # Tiles are wider than the reach on both sides, so a seed lies in few of them.
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "/ cast(8 as double)" in plan and "/ cast(24 as double)" in plan
+
+
+def test_labels_and_bands_read_one_histogram(spark, tmp_path, monkeypatch):
+    """Curves find seeds once, not once for the bands, once for the labels and all again for the grid."""
+    from kmerweave.plans import catalogue
+    texts = ["acgtacgtaaccggttacgatcgatcgatt", "ttgacca" * 9]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, "gattaca" * k + texts[k % 2] + "ccat" * k) for k in range(12)], "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    calls, seeds = [], catalogue._doc_seeds
+    monkeypatch.setattr(catalogue, "_doc_seeds", lambda *a: calls.append(a) or seeds(*a))
+    for run in (catalogue.roc, catalogue.ppv_npv):
+        calls.clear()
+        assert run(spark, str(tmp_path)).count() == 200 and len(calls) == 1
