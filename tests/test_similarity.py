@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,60 @@ def test_groups_find_the_shared_part(spark):
     assert M.similar_segments_multi(groups, DNA, 5, k_min=60, p_min=1.01, g_max=.1, sensitivity=.99, at_least_one=True).count() == 1
 
 
+def test_seeds_of_a_repetitive_group_are_not_paired(spark):
+    groups = spark.createDataFrame([(1, k, "A" * 12) for k in range(5)], "group_id bigint, ord int, seq string")
+    r, ar = stats.band_radius_value(4, .1, .99), math.ceil(5 * 4 / 2)
+    seeds = M.seeds_multi(groups, DNA, 6)
+    got = {tuple(q.idxs): q.n_neigh for q in M.score_seeds_multi(seeds, 4, .1, .99, 4, 6).select("idxs", "n_neigh").collect()}
+    assert len(got) == 7 ** 5
+    every = np.array(sorted(got))
+    ds, a = every[:, :1] - every[:, 1:], every.sum(axis=1)
+    for k in random.Random(3).sample(range(len(every)), 40):
+        near = (np.abs(ds - ds[k]) <= r).all(axis=1) & (np.abs(a - a[k]) <= ar)
+        assert got[tuple(every[k])] == near.sum() - 1
+    found = M.similar_segments_multi(groups, DNA, 6, k_min=4, p_min=.1, g_max=.1, sensitivity=.99).collect()
+    assert [(q.n_qualified, q.n_seeds) for q in found] == [(7 ** 5, 7 ** 5)]
+
+
+def test_neighbors_of_some_seeds_of_a_word(spark):
+    groups = spark.createDataFrame([(g, k, "ACGTACGTAC"[k:] + "AAAA") for g in (1, 2) for k in range(3)],
+                                   "group_id bigint, ord int, seq string")
+    seeds = M.seeds_multi(groups, DNA, 2).where("group_id = 2 OR (idxs[0] + idxs[2]) % 3 > 0")
+    r, ar = stats.band_radius_value(4, .1, .99), math.ceil(3 * 4 / 2)
+    scored = M.score_seeds_multi(seeds, 4, .1, .99, 4, 2).collect()
+    assert len(scored) == seeds.count() > 100
+    for q in scored:
+        assert q.n_neigh == sum(q.group_id == z.group_id and all(abs(x - y) <= r for x, y in zip(q.ds, z.ds))
+                                and abs(q.a - z.a) <= ar for z in scored) - 1
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_cells_connect_what_seeds_connect(spark, n):
+    rng, r, ar = random.Random(n), 2, 4
+    spots = sorted({(rng.randrange(2), *(rng.randrange(7 if n == 5 else 26) for _ in range(n))) for _ in range(260)})
+    rows = [(g, n, 0, list(x), [x[0] - y for y in x[1:]], sum(x), ar, 1.) for g, *x in spots]
+    good = spark.createDataFrame(rows, "group_id bigint, n_seqs bigint, kmer bigint, idxs array<int>, ds array<int>, a bigint, "
+                                 "a_r int, p double")
+    cells, members = M._cells_of(good, r, range(n - 1), p_sum=F.sum("p"))
+    roots = {q.u: q.root for q in connected_components(M._linked_cells(cells, members, r)).collect()}
+    placed = members.join(cells.select("u", "group_id"), "u").collect()
+    got = {}
+    for q in placed:
+        got.setdefault(roots.get(q.u, q.u), set()).add((q.group_id, *q.ds, q.a))
+    left, want = {(g, *ds, a) for g, _, _, _, ds, a, _, _ in rows}, set()
+    while left:
+        todo = [left.pop()]
+        whole = set(todo)
+        while todo:
+            x = todo.pop()
+            near = {y for y in left if x[0] == y[0] and all(abs(b - c) <= r for b, c in zip(x[1:-1], y[1:-1])) and abs(x[-1] - y[-1]) <= ar}
+            left -= near
+            whole |= near
+            todo += near
+        want.add(frozenset(whole))
+    assert len(want) > 3 and set(map(frozenset, got.values())) == want
+
+
 def test_repeats_and_variants(spark):
     rng = random.Random(10)
     unit, ref = rand(rng, 120), rand(rng, 600)
