@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import xxhash
 from collections import Counter
 from pyspark.sql import functions as F
@@ -119,3 +121,17 @@ def test_drop_repeats_leaves_other_texts_alone(odd_docs, odd_rows):
     assert out.columns == odd_docs.columns and out.count() == len(odd_rows)
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[0] is None and texts[2] == "  \n\t " and texts[7] == ""
+
+
+def test_paths_of_many_texts_take_little_memory():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(360)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(1000)), "text": [t.encode() for t in texts]})
+    list(substrings._paths([batch]))
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in substrings._paths([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 10_000 and peak < 48 << 20
