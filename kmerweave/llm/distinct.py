@@ -231,7 +231,7 @@ def dealt_by_word(rows: DataFrame) -> DataFrame:
 
 def ids_by_chunk(words: DataFrame, encoder: Callable[[], Callable[[list[bytes]], list]]) -> DataFrame:
     """``(chunk, steps, lengths, ids)``: the token ids of each chunk's words. ``encoder()`` gives a task's function
-    from words to ids; it gets every distinct word once."""
+    from words to ids, or to these as little-endian unsigned 32-bit integers; it gets every distinct word once."""
     def encode(batches):
         known, function = {}, encoder()
         for batch in batches:
@@ -239,7 +239,7 @@ def ids_by_chunk(words: DataFrame, encoder: Callable[[], Callable[[list[bytes]],
                 asked = unpack_bytes(row["lengths"], row["words"])
                 new = [w for w in asked if w not in known]
                 for word, ids in zip(new, function(new) if new else []):
-                    known[word] = np.array(ids, "<u4").tobytes()
+                    known[word] = ids if isinstance(ids, bytes) else np.array(ids, "<u4").tobytes()
                 found = [known[w] for w in asked]
                 lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 yield pa.RecordBatch.from_pydict({

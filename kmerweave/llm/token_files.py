@@ -28,6 +28,8 @@ from kmerweave.llm.byte_bpe import Segments
 from kmerweave.llm.common import cut_lineage, partitions, scratch_path, shuffles_end_with_jobs, texts_of
 
 LENGTH, SEQUENCES = 1024, 256
+#: Segments in a call's text, and texts in a call.
+TOGETHER, BATCH = 64, 256
 END = 0
 
 
@@ -37,6 +39,41 @@ def schema(vocabulary: int) -> pa.Schema:
                       ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int32()))])
 
 
+def encoder_of(tokenizer: Tokenizer):
+    """A function from segments (``byte_bpe.Segments``) to their ids as bytes, for a byte-level tokenizer. A call for one
+    segment costs more than its encoding, so segments that begin with a space and end with something else go together:
+    that is where texts are cut, too. Tokens stand for as many bytes as they have characters, which tells whose they are."""
+    vocabulary = tokenizer.get_vocab()
+    sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, number in vocabulary.items():
+        sizes[number] = len(token)
+
+    def ids_of(texts):
+        found = tokenizer.encode_batch_fast([b"".join(t).decode() for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def encode(words):
+        for at in range(0, len(words), TOGETHER * BATCH):
+            some = words[at:at + TOGETHER * BATCH]
+            inner = [w for w in some if w[:1] == b" " and 32 < w[-1] < 127]
+            groups = [inner[k:k + TOGETHER] for k in range(0, len(inner), TOGETHER)]
+            known, alone = {}, [w for w in some if not (w[:1] == b" " and 32 < w[-1] < 127)]
+            for group, ids in zip(groups, ids_of(groups)):
+                ends, wanted = np.cumsum(sizes[ids]), np.cumsum([len(w) for w in group])
+                cuts = np.searchsorted(ends, wanted) + 1
+                if cuts[-1] == len(ids) and (ends[cuts - 1] == wanted).all():
+                    data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                    known.update(zip(group, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+                else:
+                    alone += group
+            for k in range(0, len(alone), BATCH):
+                part = alone[k:k + BATCH]
+                known.update(zip(part, (ids.tobytes() for ids in ids_of([[w] for w in part]))))
+            yield from (known[w] for w in some)
+
+    return encode
+
+
 def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="text") -> DataFrame:
     """``(doc_id, ids, part)`` of every row by the tokenizers library, without special tokens; strings of special tokens are
     ordinary text. The ids are packed (``distinct.pack``), and ``part`` numbers ranges of document ids with about as many
@@ -50,13 +87,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, id_col="doc_id", text_col="t
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True
-
-        def encode(words):
-            for at in range(0, len(words), 4096):
-                some = [w.decode() for w in words[at:at + 4096]]
-                yield from (found.ids for found in tokenizer.encode_batch_fast(some, add_special_tokens=False))
-
-        return encode
+        return encoder_of(tokenizer)
 
     return distinct.encoded(texts_of(docs, id_col, text_col), Segments(), encoder, "packed", bounds)
 

@@ -176,3 +176,25 @@ def test_state_is_carried_and_batches_do_not_matter():
         whole, state, last = whole + gru.log_probabilities(params, states[0], np.array([symbol]))[0], states[0], symbol
     assert alone[5] == pytest.approx(whole, rel=1e-4)
     assert gru.score(params, [], 3).tolist() == []
+
+
+def test_segments_are_encoded_together_and_kept_apart():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    numbers = " ".join(f"w{k}, {k}é" for k in range(2000))
+    whole, starts, ends, _ = byte_bpe.Segments().spans([t.encode() for t in [*TRICKY, numbers]])
+    segments = list(dict.fromkeys(whole[a:b] for a, b in zip(starts, ends)))
+    asked = []
+
+    class Counting:
+        get_vocab = tokenizer.get_vocab
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    found = list(token_files.encoder_of(Counting())(segments))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [
+        tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in segments]
+    apart = [w for w in segments if not (w[:1] == b" " and 32 < w[-1] < 127)]
+    assert len(asked) <= len(apart) + len(segments) / token_files.TOGETHER + 1
