@@ -20,8 +20,14 @@ from pyspark.sql.types import BinaryType
 from kmerweave.llm import distinct
 from kmerweave.llm.common import texts_of
 
-#: White space outside ASCII, as UTF-8.
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: White space outside ASCII, as UTF-8: single letters, and those that begin with the same two bytes.
+_WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+_MORE_SPACES = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+
+
+def _has_wide_space(data: bytes) -> bool:
+    """Plain searches, as a pattern with alternatives looks at every byte."""
+    return any(x in data for x in _WIDE_SPACES) or b"\xe2\x80" in data and _MORE_SPACES.search(data) is not None
 
 
 class Segments(distinct.Words):
@@ -34,7 +40,7 @@ class Segments(distinct.Words):
         whole = b"".join(texts)
         data = np.frombuffer(whole, np.uint8)
         solid = (data > 32) & (data != 127)
-        if _WIDE_SPACE.search(whole):
+        if _has_wide_space(whole):
             solid &= data < 128
         bounds = np.cumsum([0] + [len(t) for t in texts])
         cut = np.zeros(len(data) + 1, bool)

@@ -13,6 +13,7 @@ A chunk is known by a hash of what is in it: if the order changes all the same,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,36 @@ from kmerweave.llm.hashing import span_hashes, together, word_spans
 ROW_WORDS = 1 << 17
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a process: many values are short, and making these costs more than using them."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def squeeze(data: bytes) -> bytes:
+    return _zstd()[0].compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return _zstd()[1].decompress(data)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers below 2^32, byte by byte of all of them."""
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return squeeze(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(expand(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def pack_bytes(values: list[bytes]) -> tuple[bytes, bytes]:
-    return pack(np.fromiter(map(len, values), np.int64, len(values))), zstandard.compress(b"".join(values), 3)
+    return pack(np.fromiter(map(len, values), np.int64, len(values))), squeeze(b"".join(values))
 
 
 def unpack_bytes(lengths: bytes, data: bytes) -> list[bytes]:
-    ends, whole = np.cumsum(unpack(lengths)).tolist(), zstandard.decompress(data)
+    ends, whole = np.cumsum(unpack(lengths)).tolist(), expand(data)
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -78,9 +93,8 @@ class _Chunk:
             sizes.append(np.diff(first))
         self.key, self.sizes, self.words = key.intdigest() - (1 << 63), np.concatenate(sizes), None
         self.hashes, at, self.numbers = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        if with_words or reader.splits:
-            self.words = _spans(pieces, at)
         if reader.splits:
+            self.words = _spans(pieces, at)
             self._split(reader)
         counts = np.bincount(self.numbers, minlength=len(self.hashes))
         order = np.argsort(-counts, kind="stable")
@@ -92,6 +106,14 @@ class _Chunk:
         self.hashes, self.counts, self.numbers = self.hashes[order], counts[order], rank[self.numbers]
         if self.words is not None:
             self.words = [self.words[k] for k in order.tolist()]
+        elif with_words:
+            self.data, self.starts, self.lengths = _places(pieces, at[order])
+
+    def packed(self, numbers: np.ndarray) -> tuple[bytes, bytes]:
+        """The words with these numbers, as by ``pack_bytes``."""
+        if self.words is not None:
+            return pack_bytes([self.words[k] for k in numbers.tolist()])
+        return pack(self.lengths[numbers]), squeeze(gather(self.starts, self.lengths, self.data, numbers).tobytes())
 
     def _split(self, reader: Words):
         """Replaces words by their parts."""
@@ -123,6 +145,14 @@ def _spans(pieces: list, at: np.ndarray) -> list[bytes]:
     return words
 
 
+def _places(pieces: list, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces' bytes, and where there the spans with the given places begin and how long they are."""
+    until, offsets = (np.cumsum([0] + [len(x[k]) for x in pieces]) for k in (1, 0))
+    starts, ends = (np.concatenate([x[k] for x in pieces])[at].astype(np.int64) for k in (1, 2))
+    data = np.frombuffer(b"".join(x[0] for x in pieces), np.uint8)
+    return data, starts + offsets[np.searchsorted(until, at, side="right") - 1], ends - starts
+
+
 def _chunks(batches: Iterable[pa.RecordBatch], reader: Words, with_words: bool) -> Iterator[_Chunk]:
     ids, texts, counted, positions, size = [], [], [], [], 0
 
@@ -156,12 +186,11 @@ def word_rows(texts: DataFrame, reader: Words, buckets: int) -> DataFrame:
     between their numbers and how often the chunk has them, in documents that are ``counted`` if there is that column."""
     def rows(batches):
         for chunk in _chunks(batches, reader, with_words=True):
-            words = chunk.words
             bucket = (chunk.hashes % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
-            for numbers in np.split(by_bucket, cuts) if len(words) else []:
-                lengths, data = pack_bytes([words[k] for k in numbers.tolist()])
+            for numbers in np.split(by_bucket, cuts) if len(bucket) else []:
+                lengths, data = chunk.packed(numbers)
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([bucket[numbers[0]]], pa.int32()), "chunk": [chunk.key],
                     "steps": [pack(np.diff(numbers, prepend=0))], "counts": [pack(chunk.counts[numbers])],

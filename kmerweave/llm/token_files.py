@@ -5,7 +5,8 @@ or, where the vocabulary asks for it, 32; ``mask``, ``LENGTH`` bits, true for a
 ``doc_ids`` and ``doc_ends``, the documents that end in it and where. Row ``n`` of a file is in batch
 ``n // SEQUENCES``, at a fixed offset.
 
-Documents are dealt by ranges of ids. A first job leaves them sorted within each range, and in a second one each task
+Documents are dealt by ranges of ids. A first job leaves them sorted within each range, many to a row, as ids of one
+document alone compress less, and in a second one each task
 writes the ranges that it reads, one file each, under names of its own. It lists a file once that is complete, so a task
 that runs again leaves no half or double file in the list. Documents run on from sequence to sequence; only a file's last
 sequence has padding.
@@ -31,6 +32,8 @@ LENGTH, SEQUENCES = 1024, 256
 #: Segments in a call's text, and texts in a call.
 TOGETHER, BATCH = 64, 256
 END = 0
+#: Ids of about so many lie in one row between the two jobs.
+ROW_IDS = 1 << 14
 
 
 def schema(vocabulary: int) -> pa.Schema:
@@ -140,37 +143,70 @@ class _Writer:
             ("part", pa.int32()), ("first", pa.int64()), ("path", pa.string()), ("n_tokens", pa.int64())]))
 
 
+def _many_to_a_row(kind: np.dtype):
+    """From rows ``(doc_id, ids, part)`` in order to rows ``(part, doc_ids, sizes, ids)`` of successive documents."""
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, doc_ids, found, size = None, [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                "sizes": [distinct.pack(np.fromiter(map(len, found), np.int64, len(found)))],
+                "ids": [distinct.squeeze(np.concatenate(found).tobytes())]})
+
+        for batch in batches:
+            for of, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                if doc_ids and (of != part or size >= ROW_IDS):
+                    yield row()
+                    doc_ids, found, size = [], [], 0
+                part = of
+                doc_ids.append(doc_id)
+                found.append(distinct.unpack(ids).astype(kind))
+                size += len(found[-1])
+        if doc_ids:
+            yield row()
+
+    return rows
+
+
 def write(encoded: DataFrame, folder: str, vocabulary: int) -> DataFrame:
     """Writes ``encoded (doc_id, ids, part)``, ids packed and ``part`` rising with them, in ascending order of ids, each
     document with the id ``END`` after it. Returns the list of files ``(part, first, path, n_tokens)``, which is in order
     by part and first id. Rows without id come first. ``folder`` is a path or address that all executors can write to;
     ids are below ``vocabulary``."""
     layout = schema(vocabulary)
+    kind = np.dtype(layout.field("ids").type.value_type.to_pandas_dtype())
 
     def files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _store(folder)
         system.create_dir(root, recursive=True)
         now, writer, listed, before = None, None, None, None
         for batch in batches:
-            for part, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
-                place = -1 << 63 if doc_id is None else doc_id
+            for row in batch.to_pylist():
+                part, sizes = row["part"], distinct.unpack(row["sizes"])
                 if part != now:
                     if writer is not None:
                         yield writer.close(listed)
                     path = f"{root}/{part:06d}-{uuid.uuid4().hex}.arrow"
-                    now, writer = part, _Writer(system.open_output_stream(path), layout)
-                    listed = {"part": part, "first": place, "path": path, "n_tokens": 0}
-                elif place < before:
-                    raise ValueError("a range of documents was not read in the order in which it was written")
-                tokens = np.append(distinct.unpack(ids), END)
-                writer.add(doc_id, tokens)
-                listed["n_tokens"] += len(tokens)
-                before = place
+                    now, writer, before = part, _Writer(system.open_output_stream(path), layout), -1 << 63
+                    listed = {"part": part, "first": None, "path": path, "n_tokens": 0}
+                ids = np.frombuffer(distinct.expand(row["ids"]), kind)
+                for doc_id, tokens in zip(row["doc_ids"], np.split(ids, np.cumsum(sizes)[:-1])):
+                    place = -1 << 63 if doc_id is None else doc_id
+                    if place < before:
+                        raise ValueError("a range of documents was not read in the order in which it was written")
+                    if listed["first"] is None:
+                        listed["first"] = place
+                    writer.add(doc_id, np.append(tokens, kind.type(END)))
+                    before = place
+                listed["n_tokens"] += len(ids) + len(sizes)
         if writer is not None:
             yield writer.close(listed)
 
     with shuffles_end_with_jobs(encoded.sparkSession):
-        ordered = cut_lineage(encoded.repartition("part").sortWithinPartitions("part", "doc_id", "ids"), "token-ids")
+        ordered = cut_lineage(
+            encoded.repartition("part").sortWithinPartitions("part", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(
+                _many_to_a_row(kind), "part int, doc_ids array<bigint>, sizes binary, ids binary"), "token-ids")
         return cut_lineage(ordered.mapInArrow(files, "part int, first bigint, path string, n_tokens bigint"), "token-files")
 
 

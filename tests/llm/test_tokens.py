@@ -56,6 +56,28 @@ def test_segments_and_parts_give_the_patterns_matches():
         assert first.tolist() == [0, len(starts)]
 
 
+def test_white_space_outside_ascii_is_found():
+    spaces = [chr(c) for c in range(128, 0x3100) if chr(c).isspace()]
+    found = [chr(c) for c in range(128, 0x3100) if byte_bpe._has_wide_space(f"é\u2019{chr(c)}a".encode())]
+    assert found == spaces
+
+
+def test_words_of_chunks_are_cut_from_the_bytes():
+    class Rows:
+        def mapInArrow(self, rows, schema):
+            return rows
+
+    texts = [TRICKY[n % len(TRICKY)].encode() * 3 for n in range(60)]
+    for reader in (distinct.Words(), byte_bpe.Segments()):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+        found = []
+        for row in distinct.word_rows(Rows(), reader, 7)(iter([batch])):
+            r = row.to_pylist()[0]
+            found += zip(distinct.unpack_bytes(r["lengths"], r["words"]), distinct.unpack(r["counts"]).tolist())
+        data, starts, ends, _ = reader.spans(texts)
+        assert dict(found) == Counter(data[a:b] for a, b in zip(starts, ends)) and len(found) == len(dict(found))
+
+
 def test_ids_match_the_library_and_decode(spark, odd_docs, odd_rows, no_docs, ranks, small_chunks):
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = byte_bpe.encode(odd_docs, ranks, public_tokenizers.PATTERN)
@@ -111,6 +133,27 @@ def test_token_files_round_trip(spark, odd_docs, odd_rows, no_docs, tokenizer_js
         assert rows.schema.field("mask").type == pa.list_(pa.bool_(), token_files.LENGTH)
 
 
+def test_ids_between_the_jobs_take_less_than_document_by_document(spark, tmp_path, monkeypatch):
+    random = np.random.default_rng(3)
+    passages = [random.zipf(1.2, 60) % 50_000 for _ in range(40)]
+    documents = [np.concatenate([passages[k] for k in random.integers(0, 40, 4)]) for _ in range(500)]
+    rows = [(n, distinct.pack(x), n // 250) for n, x in enumerate(documents)]
+    encoded = spark.createDataFrame(rows, "doc_id bigint, ids binary, part int").repartition(3)
+    stored, cut = {}, token_files.cut_lineage
+
+    def kept(df, label):
+        stored[label] = cut(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(token_files, "cut_lineage", kept)
+    folder = str(tmp_path / "files")
+    read = token_files.documents(token_files.write(encoded, folder, 50_000), folder).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in read} == {
+        n: [*x.tolist(), token_files.END] for n, x in enumerate(documents)}
+    size = sum(len(v) for row in stored["token-ids"].collect() for v in row if isinstance(v, (bytes, bytearray)))
+    assert size < 0.8 * sum(len(ids) for _, ids, _ in rows)
+
+
 def test_a_wide_vocabulary_takes_32_bits():
     assert token_files.schema(70_000).field("ids").type.value_type == pa.uint32()
 
