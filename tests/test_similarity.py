@@ -160,6 +160,26 @@ def test_overlap_band(spark):
         assert q.n_band >= len(near)
 
 
+def test_diagonals_of_all_pairs_are_not_shuffled(spark):
+    reads = spark.createDataFrame([(k, "ACGTTGCAAC" * 6 + "ACGGT" * k) for k in range(1, 9)], "seq_id bigint, seq string")
+    found = O.best_overlap_within(reads, DNA, 8, g_max=0.2, sensitivity=0.99)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    after = plan[:plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "HashJoin")]
+    assert after.count("Exchange hashpartitioning") == 1
+    assert found.count() == 28
+
+
+def test_copies_of_an_id_count_their_seeds_once(spark):
+    rows = [(1, "ACGTTGCAACGGTACC" * 3), (2, "ACGTTGCAACGGTACC" * 2 + "TTGACA"), (3, "GGTACCACGTTGCAACG")]
+    model = dict(g_max=0.2, sensitivity=0.99)
+    for more in ([rows[1]], [(2, "ACGTTGCAACGGTACCA")], [(2, None), (None, rows[0][1])]):
+        reads = spark.createDataFrame(rows + more, "seq_id bigint, seq string")
+        seeds = S.seeds_within(reads, DNA, 8)
+        wanted = O.best_overlap_band(seeds, reads, reads, n_letters=4, wordlen=8, **model).collect()
+        found = O.best_overlap_within(reads, DNA, 8, **model).collect()
+        assert len(wanted) == 3 and sorted(map(tuple, found)) == sorted(map(tuple, wanted))
+
+
 def test_run_histogram_in_low_complexity(spark):
     reads = seqs(spark, "A" * 40 + "CG" * 10, "T" + "A" * 25 + "CGCG" + "A" * 9, "A" * 12, "CGT" * 12 + "CG" * 12,
                  "CGCGCGTCGTCGT" * 4 + "CGT" * 6, "ACGCG" * 8)
