@@ -224,3 +224,10 @@ def test_buckets_grow_with_the_words(spark, monkeypatch):
     assert K.bucket_count(df) == 8
     monkeypatch.setattr(K, "WORDS", 10)
     assert K.bucket_count(df) == 41
+
+
+def test_words_are_counted_once_for_pairs_of_large_sets(spark):
+    reads = spark.createDataFrame([(k, "ACGTTGCA" * 3 + "ACGGT" * k) for k in range(1, 5)], "seq_id bigint, seq string")
+    for found in (S.pair_seed_counts_within(reads, DNA, 8), S.pair_seed_counts(reads, reads, DNA, 8, allowed_memory=1e-9)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan  # the join and the search for hot words read the same table of counts
