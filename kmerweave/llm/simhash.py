@@ -50,14 +50,14 @@ def fingerprint(text: bytes) -> int:
 
 
 @F.pandas_udf(LongType())
-def _fingerprints(text: pd.Series) -> pd.Series:
+def fingerprint_of(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype="int64")
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``(doc_id, fp)`` of every row; an empty or null text has fingerprint 0."""
     rows = texts_of(docs, id_col, text_col)
-    return rows.select("doc_id", _fingerprints("text").alias("fp"))
+    return rows.select("doc_id", fingerprint_of("text").alias("fp"))
 
 
 def _block_masks() -> list[int]:

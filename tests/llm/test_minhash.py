@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from kmerweave.llm import minhash
+from kmerweave.llm import minhash, simhash
 
 
 def shingles(text):
@@ -72,3 +72,27 @@ def test_texts_with_close_fingerprints_share_a_file(spark):
     for r in found:
         files.setdefault(r.file, set()).add(r.content)
     assert sorted(map(sorted, files.values())) == [[10, 11, 12, 20], [13]]
+
+
+def test_stage_drops_copies_that_fingerprints_link(spark):
+    rnd = random.Random(6)
+    refrain = "one two three four five " * 400
+    tails = [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(30)) for _ in range(3)]
+    rows = [(1, refrain + tails[0]), (2, refrain + tails[1]), (3, tails[2]), (4, tails[2] + " " + refrain)]
+    assert len(shingles(rows[0][1]) & shingles(rows[1][1])) < 0.3 * len(shingles(rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    linked = simhash.near_duplicates(docs).where("doc_id = component_id").collect()
+    assert sorted(r.doc_id for r in linked) == [1, 3]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3]
+
+
+def test_linked_odd_rows(spark, odd_docs, odd_rows, no_docs):
+    found = minhash.keep_first_linked(odd_docs)
+    assert found.columns == odd_docs.columns
+    lowest = {}
+    for doc_id, text in sorted({r[:2] for r in odd_rows}, key=lambda r: (r[0] is None, r[0] or 0)):
+        lowest.setdefault(simhash.fingerprint((text or "").encode()), (doc_id, text))
+    # None of these texts is within three bits of another, but for equal fingerprints.
+    assert {str((r.doc_id, r.text)) for r in found.collect()} == {str(r) for r in lowest.values()}
+    assert minhash.keep_first_linked(no_docs).collect() == []
