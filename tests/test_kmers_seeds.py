@@ -2,11 +2,12 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kmerweave import Alphabet, DNA
-from kmerweave.operators import kmers as K, multi as M, seeds as S
+from kmerweave.operators import grid, kmers as K, multi as M, seeds as S
 from kmerweave.operators.skew import hot_keys, salted_join, salted_sides
 
 
@@ -231,3 +232,37 @@ def test_words_are_counted_once_for_pairs_of_large_sets(spark):
     for found in (S.pair_seed_counts_within(reads, DNA, 8), S.pair_seed_counts(reads, reads, DNA, 8, allowed_memory=1e-9)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "posexplode" not in plan  # the join and the search for hot words read the same table of counts
+
+
+def test_pair_counts_join_no_words(spark, monkeypatch):
+    """Words of pairs are multiplied inside the tasks of a grid: none becomes a row of a join."""
+    rng = random.Random(8)
+    rows = [(k if k % 7 else None, "".join(rng.choice("ACCC") for _ in range(50))) for k in range(40)]
+    s, t = (spark.createDataFrame(part + part[:2], "seq_id bigint, seq string") for part in (rows[:15], rows[10:]))
+    monkeypatch.setattr(grid, "BLOCK", 300)
+    found = S.pair_seed_counts(s, t, DNA, 4, allowed_memory=1e-9)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    words = {x: {i: [w for j, seq in side if j == i for w in (seq[p:p + 4] for p in range(47))] for i in {i for i, _ in side}}
+             for x, side in (("s", rows[:15] + rows[:2]), ("t", rows[10:] + rows[10:12]))}
+    wanted = {(i, j): sum(a.count(w) for w in b) for i, a in words["s"].items() for j, b in words["t"].items()}
+    assert {(r.s_id, r.t_id): r.n_seeds for r in found.collect()} == {k: n for k, n in wanted.items() if n}
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_cells_add_up_parts(monkeypatch, ordered):
+    for name, size in (("SUMS", 64), ("PRODUCTS", 16), ("TAKEN", 10)):
+        monkeypatch.setattr(grid, name, size)
+    for seed in range(10):
+        rng = random.Random(seed)
+        ids = [1, 2, 3, 5, 8, 9] + [None] * (not ordered)
+        left, right = ([(w, i, rng.randrange(1, 4)) for w in range(12) for i in ids if rng.random() < 0.6] for _ in range(2))
+        right.sort(key=lambda r: (r[1] is None, r[1] or 0))
+        wanted = Counter()
+        for w, i, n in left:
+            for v, j, m in right:
+                if w == v and (not ordered or i < j):
+                    wanted[i, j] += n * m
+        columns = zip(*[(0, 0, w, i, None, n) for w, i, n in left], *[(0, 1, w, None, j, m) for w, j, m in right], (1, 1, 0, None, 1, 1))
+        table = pa.table(dict(zip(("cell", "side", "kmer", "s_id", "t_id", "n"), (pa.array(c, pa.int64()) for c in columns))))
+        found = [tuple(r.values()) for b in grid._cells(ordered, ["s_id", "t_id", "n"])(table.to_batches(max_chunksize=7)) for r in b.to_pylist()]
+        assert len(found) == len(wanted) and {(i, j): n for i, j, n in found} == dict(wanted)
