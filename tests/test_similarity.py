@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from kmerweave import DNA
 from kmerweave.functions import stats
@@ -314,3 +314,29 @@ def test_labels_and_bands_read_one_histogram(spark, tmp_path, monkeypatch):
     for run in (catalogue.roc, catalogue.ppv_npv):
         calls.clear()
         assert run(spark, str(tmp_path)).count() == 200 and len(calls) == 1
+
+
+def test_bands_of_all_pairs_come_in_parts(spark, monkeypatch):
+    """A task takes some pairs of runs at a time, a pair's diagonals in parts, and no window or join follows the join of runs."""
+    rng = random.Random(12)
+    texts = ["A" * rng.randrange(20) + rand(rng, 60) + "AC" * rng.randrange(12) + rng.choice(["", "CGT" * 9, "A" * 30]) for _ in range(9)]
+    rows = [*enumerate(texts), (3, texts[3]), (4, None)]
+    reads = spark.createDataFrame(rows, "seq_id bigint, seq string")
+    model = dict(g_max=.2, sensitivity=.99)
+    for order in ("kmer", "position"):
+        wanted = {tuple(r) for r in O.best_overlap_band(S.seeds_within(reads, DNA, 4), reads, reads, n_letters=4, wordlen=4, order=order, **model).collect()}
+        found = O.best_overlap_within(reads, DNA, 4, order=order, **model)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        after = plan[:plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "HashJoin")]
+        assert "Window" not in after and "Aggregate" not in after
+        assert {tuple(r) for r in found.collect()} == wanted and len(wanted) > 20
+        met = O._met_runs(reads, DNA, 4, (), O._LENGTHS).na.fill(1 << 30, ["s_len", "t_len"]).select("s_id", "t_id", *O._RUNS).sort(
+            "s_id", "t_id", "s_len", "t_len").toArrow()
+        parts = {}
+        for taken, diagonals in ((1 << 16, 1 << 19), (7, 5)):
+            monkeypatch.setattr(O, "TAKEN", taken)
+            monkeypatch.setattr(O, "DIAGONALS", diagonals)
+            bands = O._banded(T.StructType.fromDDL("s_id long, t_id long, d int, r int, len int, p double, n_seeds long"),
+                              order=order, n_letters=4, wordlen=4, **model)(met.to_batches(max_chunksize=3))
+            parts[taken] = [tuple(r.values()) for b in bands for r in b.to_pylist()]
+        assert parts[7] == parts[1 << 16] and {r[:2] for r in parts[7]} == {r[:2] for r in wanted}
